@@ -87,9 +87,16 @@ class Fit:
         return len(self.labels)
 
 
-def _fit(data: DataFrame, labels: list[str], family: str, link: str, rows: int) -> Fit:
+# Design tables up to this size are iterated over in one partition.
+ONE_TASK_ROWS = 50_000
+
+
+def _fit(data: DataFrame, labels: list[str], family: str, link: str, rows: int, base_deviance: float = 0.0) -> Fit:
+    """Fit on cached (features, __label, __weight) rows; ``rows`` counts observations, not design cells."""
+    if data.count() <= ONE_TASK_ROWS:
+        data = data.coalesce(1)
     glm = GeneralizedLinearRegression(family=family, link=link, labelCol="__label", weightCol="__weight",
-                                      featuresCol="features", maxIter=100, tol=1e-10)
+                                      featuresCol="features", maxIter=50, tol=1e-9)
     model = glm.fit(data)
     summary = model.summary
     errors = list(summary.coefficientStandardErrors)
@@ -98,7 +105,7 @@ def _fit(data: DataFrame, labels: list[str], family: str, link: str, rows: int)
         labels=["(Intercept)", *labels],
         estimates=[float(model.intercept), *[float(b) for b in model.coefficients]],
         errors=[float(errors[-1]), *[float(e) for e in errors[:-1]]],
-        deviance=float(summary.deviance),
+        deviance=float(summary.deviance) + base_deviance,
         df_residual=rows - len(labels) - 1,
         rows=rows,
     )
@@ -115,23 +122,31 @@ def poisson_loglinear(table: DataFrame, terms: Sequence[str], levels: Mapping[st
         data.unpersist()
 
 
+def _entropy(p: Column) -> Column:
+    """p ln p, 0 at p = 0."""
+    return F.when(p > 0, p * F.ln(p)).otherwise(0.0)
+
+
 def logistic(df: DataFrame, response: str, terms: Sequence[str], levels: Mapping[str, Sequence],
              failure=None) -> Fit:
     """Binomial model; the first response level is the failure, every other level a success.
 
-    Rows are counted per (factor combination, outcome); deviance and degrees of
-    freedom are those of the single rows.
+    Rows are reduced to the share of successes per factor combination. Deviance
+    and degrees of freedom are those of the single rows, so the deviance of the
+    cells around their own share is added back.
     """
     factors = sorted({f for term in expand_terms(terms) for f in term})
     failure = levels[response][0] if failure is None else failure
-    label = (F.col(response) != F.lit(failure)).cast("double")
-    cells = df.where(F.col(response).isNotNull()).groupBy(*factors, label.alias("__label")).agg(
-        F.count("*").cast("double").alias("__weight"))
+    success = (F.col(response) != F.lit(failure)).cast("double")
+    cells = df.where(F.col(response).isNotNull()).groupBy(*factors).agg(
+        F.avg(success).alias("__label"), F.count("*").cast("double").alias("__weight"))
     data, labels = design_matrix(cells, terms, levels)
     data = data.select("features", "__label", "__weight").cache()
     try:
-        rows = int(data.agg(F.sum("__weight")).first()[0])
-        return _fit(data, labels, "binomial", "logit", rows)
+        share = F.col("__label")
+        within = -2 * F.sum(F.col("__weight") * (_entropy(share) + _entropy(1 - share)))
+        rows, base = data.agg(F.sum("__weight"), within).first()
+        return _fit(data, labels, "binomial", "logit", int(rows), float(base))
     finally:
         data.unpersist()
 

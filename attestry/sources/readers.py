@@ -58,7 +58,7 @@ def read_sheet_grid(spark: SparkSession, path: str | Sequence[str], schema: str,
     Needs line numbers, so every file is one record; a worksheet has at most
     1,048,576 rows. ``rows`` are 1-based and inclusive, as in a cell range.
     """
-    sheet = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    sheet = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     lines = sheet.select(F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("at", "line"))
     first = (rows[0] - 1 if rows else skip) + (1 if header else 0)
     wanted = (F.col("at") >= first) & (F.length("line") > 0)
@@ -70,10 +70,16 @@ def read_sheet_grid(spark: SparkSession, path: str | Sequence[str], schema: str,
     return lines.where(wanted).select(parsed.alias("r")).select("r.*")
 
 
-def read_json_records(spark: SparkSession, path: str | Sequence[str], root: str, record: str) -> DataFrame:
-    """JSON documents that hold their rows in one array field ``root``."""
+def read_json_records(spark: SparkSession, path: str | Sequence[str], root: str, record: str,
+                      document_per_line: bool = False) -> DataFrame:
+    """JSON documents that hold their rows in one array field ``root``.
+
+    A file is one document, as an interface returns it, or has one document per
+    line, which lets large files be split.
+    """
     schema = T.StructType([T.StructField(root, T.ArrayType(T.StructType.fromDDL(record)))])
-    documents = (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path))
+    reader = spark.read.schema(schema).option("multiLine", not document_per_line)
+    documents = reader.option("recursiveFileLookup", True).json(path)
     return documents.select(F.inline(F.col(root)))
 
 
