@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -91,10 +92,21 @@ class Fit:
 ONE_TASK_ROWS = 50_000
 
 
-def _fit(data: DataFrame, labels: list[str], family: str, link: str, rows: int, base_deviance: float = 0.0) -> Fit:
-    """Fit on cached (features, __label, __weight) rows; ``rows`` counts observations, not design cells."""
-    if data.count() <= ONE_TASK_ROWS:
-        data = data.coalesce(1)
+@contextmanager
+def _held(table: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """Keep a design table in memory while models iterate over it; small ones in one partition."""
+    held = table.cache()
+    try:
+        rows = held.count()
+        yield (held.coalesce(1) if rows <= ONE_TASK_ROWS else held), rows
+    finally:
+        held.unpersist()
+
+
+def _fit(cells: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence], family: str, link: str,
+         rows: int, base_deviance: float = 0.0) -> Fit:
+    """Fit on rows with ``__label`` and ``__weight``; ``rows`` counts observations, not design cells."""
+    data, labels = design_matrix(cells, terms, levels)
     glm = GeneralizedLinearRegression(family=family, link=link, labelCol="__label", weightCol="__weight",
                                       featuresCol="features", maxIter=50, tol=1e-9)
     model = glm.fit(data)
@@ -111,15 +123,20 @@ def _fit(data: DataFrame, labels: list[str], family: str, link: str, rows: int,
     )
 
 
+def poisson_models(table: DataFrame, formulas: Mapping[str, Sequence[str]], levels: Mapping[str, Sequence],
+                   count: str = "n") -> dict[str, Fit]:
+    """Log-linear models of one contingency table, which is computed once for all of them.
+
+    Unobserved combinations are absent rows, not zeros.
+    """
+    counted = table.withColumns({"__label": F.col(count).cast("double"), "__weight": F.lit(1.0)})
+    with _held(counted) as (cells, rows):
+        return {name: _fit(cells, terms, levels, "poisson", "log", rows) for name, terms in formulas.items()}
+
+
 def poisson_loglinear(table: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence],
                       count: str = "n") -> Fit:
-    """Log-linear model of a contingency table; unobserved combinations are absent, not zero."""
-    data, labels = design_matrix(table, terms, levels)
-    data = data.select("features", F.col(count).cast("double").alias("__label"), F.lit(1.0).alias("__weight")).cache()
-    try:
-        return _fit(data, labels, "poisson", "log", data.count())
-    finally:
-        data.unpersist()
+    return poisson_models(table, {"model": terms}, levels, count)["model"]
 
 
 def _entropy(p: Column) -> Column:
@@ -140,15 +157,11 @@ def logistic(df: DataFrame, response: str, terms: Sequence[str], levels: Mapping
     success = (F.col(response) != F.lit(failure)).cast("double")
     cells = df.where(F.col(response).isNotNull()).groupBy(*factors).agg(
         F.avg(success).alias("__label"), F.count("*").cast("double").alias("__weight"))
-    data, labels = design_matrix(cells, terms, levels)
-    data = data.select("features", "__label", "__weight").cache()
-    try:
-        share = F.col("__label")
-        within = -2 * F.sum(F.col("__weight") * (_entropy(share) + _entropy(1 - share)))
-        rows, base = data.agg(F.sum("__weight"), within).first()
-        return _fit(data, labels, "binomial", "logit", int(rows), float(base))
-    finally:
-        data.unpersist()
+    share = F.col("__label")
+    within = -2 * F.sum(F.col("__weight") * (_entropy(share) + _entropy(1 - share)))
+    with _held(cells) as (held, _):
+        rows, base = held.agg(F.sum("__weight"), within).first()
+        return _fit(held, terms, levels, "binomial", "logit", int(rows), float(base))
 
 
 def chi_square_tail(x: float, df: int) -> float:

@@ -58,13 +58,9 @@ def _(spark, sf):
     return models.coefficient_table(spark, fit).drop("p")
 
 
-def _ladder(spark, sf):
-    table = _table(spark, sf).cache()
-    try:
-        return {name: models.poisson_loglinear(table, terms, LEVELS)
-                for name, terms in models.loglinear_formulas(*FACTORS).items()}
-    finally:
-        table.unpersist()
+def _ladder(spark, sf, only=None):
+    formulas = models.loglinear_formulas(*FACTORS)
+    return models.poisson_models(_table(spark, sf), {m: formulas[m] for m in only or formulas}, LEVELS)
 
 
 _OVER = "sum(n) OVER (PARTITION BY {})"
@@ -92,7 +88,7 @@ _DEVIANCES = " UNION ALL ".join(
 
 @query("poisson_deviances", _DEVIANCES, "table3", approx="deviance", digits=4)
 def _(spark, sf):
-    fits = _ladder(spark, sf)
+    fits = _ladder(spark, sf, _FITTED)
     rows = [(m, fits[m].df_residual, fits[m].deviance) for m in _FITTED]
     return spark.createDataFrame(rows, "model STRING, df_residual INT, deviance DOUBLE")
 
@@ -129,12 +125,10 @@ FROM (VALUES ('subject', 'l1, gender_coarse + subject', 'l1, gender_coarse'), ('
              ('l1', 'subject, gender_coarse + l1', 'subject, gender_coarse')) AS k(factor, large, small)
 JOIN {_D} AS a ON a.model = k.large JOIN {_D} AS b ON b.model = k.small""", "table3", approx="deviance", digits=4)
 def _(spark, sf):
-    formulas = models.loglinear_formulas(*FACTORS)
-    table = _table(spark, sf).cache()
-    pairs = {name: tuple(models.poisson_loglinear(table, formulas[m], LEVELS) for m in pair)
-             for name, pair in models.loglinear_pairs(*FACTORS).items() if name in FACTORS}
-    table.unpersist()
-    return models.compare_models(spark, pairs).select("comparison", "df", "deviance")
+    pairs = {name: pair for name, pair in models.loglinear_pairs(*FACTORS).items() if name in FACTORS}
+    fits = _ladder(spark, sf, sorted({m for pair in pairs.values() for m in pair}))
+    compared = models.compare_models(spark, {name: (fits[x], fits[y]) for name, (x, y) in pairs.items()})
+    return compared.select("comparison", "df", "deviance")
 
 
 cte("logits", """
