@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 
-from attestry.operators import experiment, models
+from attestry.operators import experiment, mixed, models
 from attestry.plans.registry import cte, query
 from attestry.plans.survey_queries import analysis
 
@@ -164,3 +164,31 @@ UNION ALL SELECT 'gender_coarse', gender_coarse FROM analysis GROUP BY ALL UNION
 def _(spark, sf):
     levels = models.factor_levels(analysis(spark, sf), list(LEVELS))
     return spark.createDataFrame([(f, v) for f, vs in levels.items() for v in vs], "factor STRING, level STRING")
+
+
+def _mixed_logistic(spark, sf, formulas):
+    data = analysis(spark, sf).select("participant", "subject", "l1", "gender_coarse", "picture").cache()
+    try:
+        return {name: mixed.random_intercept_glm(data, "subject", terms, LEVELS) for name, terms in formulas.items()}
+    finally:
+        data.unpersist()
+
+
+@query("random_intercept_logistic")
+def _(spark, sf):
+    fits = _mixed_logistic(spark, sf, {"l1 * picture": ["l1 * picture"]})
+    return models.coefficient_table(spark, fits["l1 * picture"])
+
+
+@query("random_intercept_comparison")
+def _(spark, sf):
+    fits = _mixed_logistic(spark, sf, {"both": ["l1", "picture"], "l1": ["l1"], "picture": ["picture"]})
+    return models.compare_models(spark, {"picture": (fits["both"], fits["l1"]), "l1": (fits["both"], fits["picture"])})
+
+
+@query("random_intercept_poisson")
+def _(spark, sf):
+    counts = experiment.contingency(analysis(spark, sf), ["participant", "l1", "subject", "picture"]).cache()
+    fit = mixed.random_intercept_glm(counts, "n", ["l1 * subject"], LEVELS, family="poisson")
+    counts.unpersist()
+    return models.coefficient_table(spark, fit)
