@@ -12,24 +12,32 @@ from pyspark.sql import types as T
 
 from attestry.functions.exprs import join_null_safe
 from attestry.operators import ranking
+from attestry.session import materialize
 
 # Distinct points one task sums up for a facet; larger facets are salted over several tasks.
 POINTS_PER_TASK = 200_000
 
 
 def bandwidths(points: DataFrame, group: Sequence[str], window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
-    """Normal-reference bandwidth per facet: 1.06 min(sd, IQR / 1.34) n^(-1/5) for x and y."""
-    stats = points.groupBy(*group).agg(
-        F.count("*").alias("__n"), F.stddev_samp("x").alias("__sd_x"), F.stddev_samp("y").alias("__sd_y"),
+    """Normal-reference bandwidth per facet: 1.06 min(sd, IQR / 1.34) n^(-1/5) for x and y.
+
+    ``points`` are distinct (x, y) per facet with their count ``w``.
+    """
+    w = F.col("w")
+    means = points.groupBy(*group).agg(
+        F.sum(w).alias("n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"__mean_{c}") for c in ("x", "y")],
+    )
+    off = {c: F.col(c) - F.col(f"__mean_{c}") for c in ("x", "y")}
+    stats = join_null_safe(points, means, group).groupBy(*group, "n").agg(
+        *[F.sqrt(F.try_divide(F.sum(w * d * d), F.col("n") - 1)).alias(f"__sd_{c}") for c, d in off.items()],
     )
-    for c in ("x", "y"):
-        quartiles = ranking.group_quantiles(points, c, {f"__lo_q_{c}": 0.25, f"__hi_q_{c}": 0.75}, group, window_rows)
-        stats = join_null_safe(stats, quartiles, group)
     widths = {}
     for c in ("x", "y"):
-        iqr = (F.col(f"__hi_q_{c}") - F.col(f"__lo_q_{c}")) / 1.34
-        widths[f"h_{c}"] = F.least(F.col(f"__sd_{c}"), iqr) * 1.06 * F.pow(F.col("__n").cast("double"), F.lit(-0.2))
-    return stats.withColumns(widths).select(*group, F.col("__n").alias("n"), "h_x", "h_y")
+        quartiles = ranking.group_quantiles(points, c, {f"__low_{c}": 0.25, f"__high_{c}": 0.75}, group, window_rows, "w")
+        stats = join_null_safe(stats, quartiles, group)
+        iqr = (F.col(f"__high_{c}") - F.col(f"__low_{c}")) / 1.34
+        widths[f"h_{c}"] = F.least(F.col(f"__sd_{c}"), iqr) * 1.06 * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    return stats.withColumns(widths).select(*group, "n", "h_x", "h_y")
 
 
 def _grid_sums(group: Sequence[str], xs: np.ndarray, ys: np.ndarray):
@@ -53,7 +61,7 @@ def _grid_sums(group: Sequence[str], xs: np.ndarray, ys: np.ndarray):
                     key, total = k, np.zeros((len(xs), len(ys)))
                 zx = (xs[:, None] - part["x"].to_numpy()) / part["h_x"].to_numpy()
                 zy = (part["y"].to_numpy()[:, None] - ys) / part["h_y"].to_numpy()[:, None]
-                left = np.exp(-0.5 * zx * zx) * part["__w"].to_numpy()
+                left = np.exp(-0.5 * zx * zx) * part["w"].to_numpy()
                 total += left @ np.exp(-0.5 * zy * zy)
         if total is not None:
             yield emit(key, total)
@@ -73,8 +81,9 @@ def density2d(df: DataFrame, group: Sequence[str], x: str | Column, y: str | Col
     as_col = [F.col(c) if isinstance(c, str) else c for c in (x, y)]
     points = df.select(*group, as_col[0].cast("double").alias("x"), as_col[1].cast("double").alias("y"))
     points = points.where(F.col("x").between(*xlim) & F.col("y").between(*ylim))
-    widths = bandwidths(points, group, window_rows).where((F.col("h_x") > 0) & (F.col("h_y") > 0))
-    weighted = points.groupBy(*group, "x", "y").agg(F.count("*").alias("__w"))
+    # read several times below
+    weighted = materialize(points.groupBy(*group, "x", "y").agg(F.count("*").alias("w")))
+    widths = materialize(bandwidths(weighted, group, window_rows).where((F.col("h_x") > 0) & (F.col("h_y") > 0)))
     ready = join_null_safe(weighted, widths, group)
     tasks = F.ceil(F.col("n") / F.lit(points_per_task))
     salt = F.pmod(F.xxhash64("x", "y"), tasks)
@@ -85,7 +94,7 @@ def density2d(df: DataFrame, group: Sequence[str], x: str | Column, y: str | Col
         T.StructField("ix", T.IntegerType()),
         T.StructField("kernel", T.ArrayType(T.DoubleType())),
     ])
-    partial = placed.select(*group, "x", "y", "__w", "h_x", "h_y").mapInPandas(_grid_sums(group, xs, ys), schema)
+    partial = placed.select(*group, "x", "y", "w", "h_x", "h_y").mapInPandas(_grid_sums(group, xs, ys), schema)
     cells = partial.select(*group, "ix", F.posexplode("kernel").alias("iy", "k"))
     summed = join_null_safe(cells.groupBy(*group, "ix", "iy").agg(F.sum("k").alias("k")), widths, group)
     density = F.col("k") / (F.lit(2 * np.pi) * F.col("n") * F.col("h_x") * F.col("h_y"))

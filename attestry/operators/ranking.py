@@ -99,16 +99,18 @@ def random_rank(df: DataFrame, value: str, tiebreak: str, seed: int, by: Sequenc
 
 
 def group_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-                    window_rows: int = WINDOW_ROWS) -> DataFrame:
+                    window_rows: int = WINDOW_ROWS, weight: str | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probs``.
 
-    Distinct values are counted first; the order statistics are then read off the
-    running counts, so no task holds a whole group.
+    Distinct values are counted first (rows may already stand for ``weight``
+    equal ones); the order statistics are then read off the running counts, so no
+    task holds a whole group.
     """
     if not by:
         one_group = df.withColumn("__all", F.lit(0))
-        return group_quantiles(one_group, value, probs, ("__all",), window_rows).drop("__all")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+        return group_quantiles(one_group, value, probs, ("__all",), window_rows, weight).drop("__all")
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("__n"))
     placed = running_total(counts, [value], F.col("__n"), by, "__upto", window_rows)
     sizes = placed.groupBy(*by).agg(F.sum("__n").alias("__size"))
     placed = join_null_safe(placed, sizes, by)

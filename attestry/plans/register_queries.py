@@ -10,6 +10,13 @@ from attestry.plans import registers as reg
 from attestry.plans import standins as st
 from attestry.plans.ctes import title
 from attestry.plans.registry import cte, query
+from attestry.session import materialize
+
+
+def _two(spark, sf):
+    """The whole register as ranked two-sex lists."""
+    return st.ranked(st.two_sexes(st.register_rows(spark, sf)))
+
 
 # --- generic reshaping ------------------------------------------------------------
 
@@ -24,7 +31,7 @@ _YEARS = ", ".join(f"({y})" for y in st.YEARS)
 SELECT n.name AS "Name", y.year, r.rank, r.number FROM (SELECT DISTINCT name FROM two WHERE asab = 'F') AS n
 CROSS JOIN (VALUES {_YEARS}) AS y(year) LEFT JOIN two_ranked AS r ON r.name = n.name AND r.year = y.year AND r.asab = 'F'""", "two_ranked")
 def _(spark, sf):
-    grid = st.year_grid(st.register_rows(spark, sf), "F")
+    grid = st.year_grid(_two(spark, sf), "F")
     return reshape.unpivot_year_type(grid, ["Name"], {"Rank": ("rank", "int"), "Count": ("number", "bigint")})
 
 
@@ -32,14 +39,14 @@ def _(spark, sf):
 SELECT k.rank, y.year, r.name, CAST(r.number AS VARCHAR) AS number FROM (SELECT DISTINCT rank FROM two_ranked WHERE asab = 'M' AND rank <= 100) AS k
 CROSS JOIN (VALUES {_YEARS}) AS y(year) LEFT JOIN two_ranked AS r ON r.rank = k.rank AND r.year = y.year AND r.asab = 'M'""", "two_ranked")
 def _(spark, sf):
-    return reshape.unpivot_alternating(st.alternating_grid(st.register_rows(spark, sf), "M"))
+    return reshape.unpivot_alternating(st.alternating_grid(_two(spark, sf), "M"))
 
 
 @query("unpivot_sex_pairs", """
 SELECT p.year, s.asab, r.name, r.number FROM (SELECT DISTINCT year, rank FROM two_ranked) AS p CROSS JOIN (VALUES ('F'), ('M')) AS s(asab)
 LEFT JOIN two_ranked AS r ON r.year = p.year AND r.rank = p.rank AND r.asab = s.asab""", "two_ranked")
 def _(spark, sf):
-    pairs = st.sex_pairs(st.register_rows(spark, sf)).withColumnsRenamed({
+    pairs = st.sex_pairs(_two(spark, sf)).withColumnsRenamed({
         "girl_names": "name_F", "count_of_girl_names": "number_F", "boy_names": "name_M", "count_of_boy_names": "number_M"})
     return reshape.unpivot_sex_pairs(pairs, ["year"])
 
@@ -223,84 +230,121 @@ def australia(source: str) -> str:
     return f"SELECT {_columns('Australia', proportion=share, name='name')} FROM {pooled} AS p LEFT JOIN births_since USING (year)"
 
 
-def usa_of(rows, b):
-    return reg.names_usa(rows.select("name", "asab", "number", "year"), b)
+class Rows:
+    """One register's rows in the forms the layouts start from, each made when first asked for."""
+
+    def __init__(self, rows, ranked=None, ranked_two=None):
+        self.rows = rows
+        self._ranked, self._two = ranked, ranked_two
+
+    @property
+    def ranked(self):
+        if self._ranked is None:
+            self._ranked = st.ranked(self.rows)
+        return self._ranked
+
+    @property
+    def two(self):
+        if self._two is None:
+            self._two = st.ranked(st.two_sexes(self.rows))
+        return self._two
+
+
+def split_by(rows, unit: str) -> dict[int, Rows]:
+    """The registers of every ``unit`` value, ranked together instead of one by one."""
+    summed = materialize(rows.groupBy(unit, "year", "name", "asab").agg(F.sum("number").alias("number")))
+    three = materialize(st.ranked(summed, (unit,)))
+    two = materialize(st.ranked(st.two_sexes(summed, (unit,)), (unit,)))
 
+    def part(df, i):
+        return df.where(F.col(unit) == i).drop(unit)
 
-def canada_of(rows):
-    return reg.names_canada(st.canada_layout(rows))
+    return {i: Rows(part(summed, i), part(three, i), part(two, i)) for i in range(8)}
 
 
-def england_wales_of(rows):
-    return reg.names_england_wales(st.year_grid(rows, "M"), st.year_grid(rows, "F"))
+def usa_of(r: Rows, b):
+    return reg.names_usa(r.rows.select("name", "asab", "number", "year"), b)
+
+
+def canada_of(r: Rows):
+    return reg.names_canada(st.canada_layout(r.ranked))
+
+
+def england_wales_of(r: Rows):
+    return reg.names_england_wales(st.year_grid(r.two, "M"), st.year_grid(r.two, "F"))
 
 
 def northern_ireland_of(rows, b):
     return reg.names_northern_ireland(st.northern_ireland_layout(rows), st.northern_ireland_births(b))
 
 
-def scotland_of(rows):
-    return reg.names_scotland(st.scotland_layout(rows))
+def scotland_of(r: Rows):
+    return reg.names_scotland(st.scotland_layout(r.ranked))
 
 
-def ireland_of(rows):
-    return reg.names_ireland(st.ireland_layout(rows, "M"), st.ireland_layout(rows, "F"))
+def ireland_of(r: Rows):
+    return reg.names_ireland(st.ireland_layout(r.two, "M"), st.ireland_layout(r.two, "F"))
 
 
-def new_zealand_of(rows, b, mode="reference"):
-    grids = [st.alternating_grid(rows, sex) for sex in ("M", "F")]
+def new_zealand_of(r: Rows, b, mode="reference"):
+    grids = [st.alternating_grid(r.two, sex) for sex in ("M", "F")]
     return reg.names_new_zealand(*grids, st.births_by_sex_since(b), mode, _ARTIFACT)
 
 
-def queensland_of(rows):
-    recent = rows.where(F.col("year") >= 1998)
-    return reg.names_queensland(st.sex_pairs(recent), st.queensland_history(rows.where(F.col("year") < 1998)))
+def queensland_of(r: Rows):
+    pairs = st.sex_pairs(r.two.where(F.col("year") >= 1998))
+    return reg.names_queensland(pairs, st.queensland_history(r.rows.where(F.col("year") < 1998)))
 
 
 STATE_BUILDERS = {
-    "nsw": lambda rows: reg.names_nsw(st.nsw_layout(rows)),
-    "nt": lambda rows: reg.names_northern_territory(rows),
+    "nsw": lambda r: reg.names_nsw(st.nsw_layout(r.ranked)),
+    "nt": lambda r: reg.names_northern_territory(r.rows),
     "qld": queensland_of,
-    "sa": lambda rows: reg.names_south_australia(st.south_australia_layout(rows)),
-    "tas": lambda rows: reg.names_tasmania(st.tasmania_blocks(rows)),
-    "vic": lambda rows: reg.names_victoria(st.victoria_layout(rows)),
-    "wa": lambda rows: reg.names_western_australia(clean.rank_in_group(rows)),
+    "sa": lambda r: reg.names_south_australia(st.south_australia_layout(r.two)),
+    "tas": lambda r: reg.names_tasmania(st.tasmania_blocks(r.rows)),
+    "vic": lambda r: reg.names_victoria(st.victoria_layout(r.ranked)),
+    "wa": lambda r: reg.names_western_australia(r.ranked),
 }
 
 
 def australia_of(rows, b):
-    states = [build(rows.where(F.col("state") == i).groupBy("year", "name", "asab").agg(F.sum("number").alias("number")))
-              for i, build in enumerate(STATE_BUILDERS.values(), 1)]
+    units = split_by(rows, "state")
+    states = [build(units[i]) for i, build in enumerate(STATE_BUILDERS.values(), 1)]
     by_sex = clean.remap_births(st.official_births(b))
     return reg.names_australia(states, by_sex, b.select("year", F.col("total").alias("population")))
 
 
+def _whole(spark, sf) -> Rows:
+    return Rows(st.register_rows(spark, sf))
+
+
 def _register(name: str, sql: str, uses: str, build) -> None:
     query(name, _from(sql, "reg"), f"reg {uses}".strip(), approx="proportion", digits=9)(build)
 
 
-_register("names_usa", USA, "births", lambda s, sf: usa_of(st.register_rows(s, sf), st.births(s, sf)))
-_register("names_canada", CANADA, "", lambda s, sf: canada_of(st.register_rows(s, sf)))
-_register("names_england_wales", ENGLAND_WALES, "", lambda s, sf: england_wales_of(st.register_rows(s, sf)))
+_register("names_usa", USA, "births", lambda s, sf: usa_of(_whole(s, sf), st.births(s, sf)))
+_register("names_canada", CANADA, "", lambda s, sf: canada_of(_whole(s, sf)))
+_register("names_england_wales", ENGLAND_WALES, "", lambda s, sf: england_wales_of(_whole(s, sf)))
 # one row per place, so the same name is there several times a year
 _register("names_northern_ireland", NORTHERN_IRELAND, "births",
           lambda s, sf: northern_ireland_of(st.attestations(s, sf).drop("region"), st.births(s, sf)))
-_register("names_scotland", SCOTLAND, "", lambda s, sf: scotland_of(st.register_rows(s, sf)))
-_register("names_ireland", IRELAND, "", lambda s, sf: ireland_of(st.register_rows(s, sf)))
-_register("names_new_zealand", NEW_ZEALAND, "births_since", lambda s, sf: new_zealand_of(st.register_rows(s, sf), st.births(s, sf)))
+_register("names_scotland", SCOTLAND, "", lambda s, sf: scotland_of(_whole(s, sf)))
+_register("names_ireland", IRELAND, "", lambda s, sf: ireland_of(_whole(s, sf)))
+_register("names_new_zealand", NEW_ZEALAND, "births_since", lambda s, sf: new_zealand_of(_whole(s, sf), st.births(s, sf)))
 _register("names_new_zealand_intended", new_zealand("NOT (year = 1998 AND rank = 100 AND name = 'Red Ring Brand#1')"), "births_since",
-          lambda s, sf: new_zealand_of(st.register_rows(s, sf), st.births(s, sf), "intended"))
+          lambda s, sf: new_zealand_of(_whole(s, sf), st.births(s, sf), "intended"))
 
 _STATE_QUERIES = {"nsw": "names_nsw", "nt": "names_northern_territory", "qld": "names_queensland", "sa": "names_south_australia",
                   "tas": "names_tasmania", "vic": "names_victoria", "wa": "names_western_australia"}
 for _key, _name in _STATE_QUERIES.items():
     _sql = f"SELECT year, name, number, rank, asab, '{STATE_NAMES[_key]}' AS region FROM ({_from(STATES[_key], 'reg')}) AS state"
-    query(_name, _sql, "reg")(lambda s, sf, k=_key: STATE_BUILDERS[k](st.register_rows(s, sf)))
+    query(_name, _sql, "reg")(lambda s, sf, k=_key: STATE_BUILDERS[k](_whole(s, sf)))
 
 
 @query("names_australia", australia("country"), "country births_since", approx="proportion", digits=9)
 def _(spark, sf):
-    return australia_of(st.country_rows(spark, sf), st.births(spark, sf))
+    # seven branches read these rows
+    return australia_of(materialize(st.country_rows(spark, sf)), materialize(st.births(spark, sf)))
 
 
 _COUNTRIES = [("australia", None), ("canada", CANADA), ("england_wales", ENGLAND_WALES), ("ireland", IRELAND),
@@ -312,14 +356,13 @@ _UNION = " UNION ALL ".join(
 
 @query("names_combined", _UNION, "country births births_since", approx="proportion", digits=9)
 def _(spark, sf):
-    places, b = st.country_rows(spark, sf), st.births(spark, sf)
-
-    def rows(country: int):
-        return places.where(F.col("country") == country).groupBy("year", "name", "asab").agg(F.sum("number").alias("number"))
+    places, b = materialize(st.country_rows(spark, sf)), materialize(st.births(spark, sf))
 
+    country = split_by(places, "country")
     return reg.names_combined([
-        australia_of(places.where(F.col("country") == 0), b), canada_of(rows(1)), england_wales_of(rows(2)), ireland_of(rows(3)),
-        northern_ireland_of(rows(4), b), new_zealand_of(rows(5), b), scotland_of(rows(6)), usa_of(rows(7), b),
+        australia_of(places.where(F.col("country") == 0), b), canada_of(country[1]), england_wales_of(country[2]),
+        ireland_of(country[3]), northern_ireland_of(country[4].rows, b), new_zealand_of(country[5], b),
+        scotland_of(country[6]), usa_of(country[7], b),
     ])
 
 

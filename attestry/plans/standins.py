@@ -7,8 +7,11 @@ into the shapes in which the registers and surveys are published.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions.exprs import recode
 from attestry.functions.vocab import DEMOGRAPHIC_FIELDS, GENDER_COARSE
@@ -25,8 +28,15 @@ REGIONS = {
 }
 
 
+@lru_cache(maxsize=None)
+def _schema(path: str) -> T.StructType:
+    """A table's schema, inferred by one job per path instead of one per query."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 # What makes a name: few names attested everywhere, or many with gaps.
@@ -38,19 +48,18 @@ def _births_of_items(spark: SparkSession, sf_dir: str, names: str = "fine") -> D
     items = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", *NAME_COLUMNS[names]).alias("name"))
-    places = (
-        table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
-        .join(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey")), "n_nationkey")
-        .join(table(spark, sf_dir, "region"), "r_regionkey")
-        .select("l_suppkey", "n_nationkey", recode(F.col("r_name"), REGIONS).alias("region"))
-    )
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
+    regions = table(spark, sf_dir, "region").select("r_regionkey", recode(F.col("r_name"), REGIONS).alias("region"))
     other = (F.col("l_returnflag") == "A") & (F.col("l_tax") == 0.08)
     sex = F.when(other, "X").when(F.col("l_linestatus") == "F", "F").otherwise("M")
     rows = items.select(
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         F.year("l_shipdate").alias("year"), sex.alias("asab"),
     )
-    return rows.join(parts, "l_partkey").join(places, "l_suppkey")
+    # joined table by table and without hints: each lookup is broadcast if its files are
+    # small, else both sides are shuffled and hot keys split
+    return rows.join(parts, "l_partkey").join(suppliers, "l_suppkey").join(nations, "n_nationkey").join(regions, "r_regionkey")
 
 
 def _number() -> Column:
@@ -106,16 +115,19 @@ def _labels(c: str, m: str, f: str, other: str) -> Column:
     return F.when(F.col(c) == "M", m).when(F.col(c) == "F", f).otherwise(other)
 
 
-def _girl_or_boy(rows: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def two_sexes(rows: DataFrame, unit: tuple[str, ...] = ()) -> DataFrame:
     """Layouts that know two sexes count everyone who is not F as M."""
-    keys = ["year", "name", *(extra or [])]
     two = rows.withColumn("asab", F.when(F.col("asab") == "F", "F").otherwise("M"))
-    return two.groupBy(*keys, "asab").agg(F.sum("number").alias("number"))
+    return two.groupBy(*unit, "year", "name", "asab").agg(F.sum("number").alias("number"))
+
+
+def ranked(rows: DataFrame, unit: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the rank a register publishes; ``unit`` ranks many registers in one pass."""
+    return clean.rank_in_group(rows, [*unit, "year", "asab"])
 
 
-def canada_layout(rows: DataFrame, geo: str = "Canada") -> DataFrame:
-    ranked = clean.share_of_group(clean.rank_in_group(rows))
-    return ranked.select(
+def canada_layout(ranked_rows: DataFrame, geo: str = "Canada") -> DataFrame:
+    return clean.share_of_group(ranked_rows).select(
         F.col("year").alias("ref_date"), F.lit(geo).alias("geo"), _labels("asab", "Male", "Female", "Total").alias("sex_at_birth"),
         F.upper("name").alias("first_name_at_birth"),
         F.inline(F.array(
@@ -126,27 +138,25 @@ def canada_layout(rows: DataFrame, geo: str = "Canada") -> DataFrame:
     )
 
 
-def year_grid(rows: DataFrame, sex: str) -> DataFrame:
+def year_grid(ranked_two: DataFrame, sex: str) -> DataFrame:
     """``Name, 1995 Rank, 1995 Count, ...`` for one sex."""
-    ranked = clean.rank_in_group(_girl_or_boy(rows).where(F.col("asab") == sex))
     cells = []
     for y in YEARS:
         here = F.col("year") == y
         cells.append(F.max(F.when(here, F.col("rank"))).alias(f"{y} Rank"))
         cells.append(F.max(F.when(here, F.col("number"))).alias(f"{y} Count"))
-    return ranked.groupBy(F.col("name").alias("Name")).agg(*cells)
+    return ranked_two.where(F.col("asab") == sex).groupBy(F.col("name").alias("Name")).agg(*cells)
 
 
-def alternating_grid(rows: DataFrame, sex: str, top: int = 100) -> DataFrame:
+def alternating_grid(ranked_two: DataFrame, sex: str, top: int = 100) -> DataFrame:
     """``Rank, x1995...2, x1995...3, ...``: the published top list of one sex."""
-    ranked = clean.rank_in_group(_girl_or_boy(rows).where(F.col("asab") == sex)).where(F.col("rank") <= top)
     cells, position = [], 2
     for y in YEARS:
         here = F.col("year") == y
         for c in ("name", "number"):
             cells.append(F.max(F.when(here, F.col(c))).alias(f"x{y}...{position}"))
             position += 1
-    return ranked.groupBy("rank").agg(*cells)
+    return ranked_two.where((F.col("asab") == sex) & (F.col("rank") <= top)).groupBy("rank").agg(*cells)
 
 
 def northern_ireland_layout(rows: DataFrame) -> DataFrame:
@@ -159,18 +169,16 @@ def northern_ireland_births(b: DataFrame) -> DataFrame:
     return b.select(F.col("year").cast("string").alias("year"), F.col("male").alias("males"), F.col("female").alias("females"))
 
 
-def scotland_layout(rows: DataFrame) -> DataFrame:
-    ranked = clean.rank_in_group(rows)
-    return ranked.select(F.col("year").alias("yr"), _labels("asab", "B", "G", "U").alias("sex"),
+def scotland_layout(ranked_rows: DataFrame) -> DataFrame:
+    return ranked_rows.select(F.col("year").alias("yr"), _labels("asab", "B", "G", "U").alias("sex"),
                          F.col("name").alias("firstforename"), "number", "rank",
                          F.concat(F.col("rank").cast("string"), F.lit("=")).alias("position"))
 
 
-def ireland_layout(rows: DataFrame, sex: str) -> DataFrame:
+def ireland_layout(ranked_two: DataFrame, sex: str) -> DataFrame:
     """Rank rows carry an R at character 50 (boys) or 51 (girls) of the label."""
-    ranked = clean.rank_in_group(_girl_or_boy(rows).where(F.col("asab") == sex))
     stem = "-" * (49 if sex == "M" else 50)
-    return ranked.select("year", F.col("name").alias("names"), F.inline(F.array(
+    return ranked_two.where(F.col("asab") == sex).select("year", F.col("name").alias("names"), F.inline(F.array(
         F.struct(F.lit(stem + "Rank").alias("statistic_label"), F.lit("Rank").alias("unit"),
                  F.col("rank").cast("double").alias("value")),
         F.struct(F.lit(stem + "Number").alias("statistic_label"), F.lit("Persons").alias("unit"),
@@ -178,28 +186,27 @@ def ireland_layout(rows: DataFrame, sex: str) -> DataFrame:
     )))
 
 
-def nsw_layout(rows: DataFrame) -> DataFrame:
-    return clean.rank_in_group(rows).select("rank", "name", "number", _labels("asab", "Male", "Female", "Other").alias("gender"), "year")
+def nsw_layout(ranked_rows: DataFrame) -> DataFrame:
+    return ranked_rows.select("rank", "name", "number", _labels("asab", "Male", "Female", "Other").alias("gender"), "year")
 
 
-def sex_pairs(rows: DataFrame) -> DataFrame:
+def sex_pairs(ranked_two: DataFrame) -> DataFrame:
     """Girls and boys side by side by position in their list."""
-    ranked = clean.rank_in_group(_girl_or_boy(rows))
     cells = []
     for sex, word in (("F", "girl"), ("M", "boy")):
         here = F.col("asab") == sex
         cells.append(F.max(F.when(here, F.col("name"))).alias(f"{word}_names"))
         cells.append(F.max(F.when(here, F.col("number"))).alias(f"count_of_{word}_names"))
-    return ranked.groupBy("year", "rank").agg(*cells).drop("rank")
+    return ranked_two.groupBy("year", "rank").agg(*cells).drop("rank")
 
 
 def queensland_history(rows: DataFrame) -> DataFrame:
     return rows.select("name", _labels("asab", "Male", "Female", "Other").alias("sex"), "year", F.col("number").alias("count"))
 
 
-def south_australia_layout(rows: DataFrame) -> DataFrame:
+def south_australia_layout(two: DataFrame) -> DataFrame:
     """Two-sex lists with a TOTAL row per list, upper-case as published."""
-    two = _girl_or_boy(rows)
+    two = two.select("year", "asab", "name", "number")
     totals = two.groupBy("year", "asab").agg(F.lit("TOTAL").alias("name"), F.sum("number").alias("number"))
     both = two.unionByName(totals)
     return both.select(F.when(F.col("asab") == "F", "female").otherwise("male").alias("sex"), "year",
@@ -208,15 +215,15 @@ def south_australia_layout(rows: DataFrame) -> DataFrame:
 
 def tasmania_blocks(rows: DataFrame) -> dict[tuple[int, str], DataFrame]:
     """Two sheets: odd years are published as 2015, even years as 2016."""
-    sheets = _girl_or_boy(rows.withColumn("year", F.lit(2016) - F.col("year") % 2))
+    sheets = two_sexes(rows.withColumn("year", F.lit(2016) - F.col("year") % 2))
     return {
         (year, sex): sheets.where((F.col("year") == year) & (F.col("asab") == sex)).select("name", "number")
         for year in (2016, 2015) for sex in ("F", "M")
     }
 
 
-def victoria_layout(rows: DataFrame) -> DataFrame:
-    return clean.rank_in_group(rows).select(F.col("rank").alias("position"), "name",
+def victoria_layout(ranked_rows: DataFrame) -> DataFrame:
+    return ranked_rows.select(F.col("rank").alias("position"), "name",
                                             _labels("asab", "MALE", "FEMALE", "OTHER").alias("sex"), "year",
                                             F.col("number").alias("count"))
 
