@@ -13,7 +13,11 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import UnsupportedOperationException
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +107,27 @@ def _held(table: DataFrame) -> Iterator[tuple[DataFrame, int]]:
         held.unpersist()
 
 
+def _information_errors(data: DataFrame, estimates: np.ndarray, family: str) -> list[float]:
+    """Standard errors from the Fisher information, summed over the design rows."""
+    size = len(estimates)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), np.vstack(batch["x"].to_numpy())])
+            mu = np.exp(x @ estimates)
+            spread = mu if family == "poisson" else mu / (1 + mu) ** 2
+            total += (x * (batch["__weight"].to_numpy() * spread)[:, None]).T @ x
+        yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
+
+    parts = data.select(vector_to_array("features").alias("x"), "__weight").mapInPandas(run, "i INT, row ARRAY<DOUBLE>")
+    sums = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    information = np.zeros((size, size))
+    for i, j, v in sums:
+        information[i, j] = v
+    return [float(e) for e in np.sqrt(np.clip(np.diag(np.linalg.pinv(information)), 0, None))]
+
+
 def _fit(cells: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence], family: str, link: str,
          rows: int, base_deviance: float = 0.0) -> Fit:
     """Fit on rows with ``__label`` and ``__weight``; ``rows`` counts observations, not design cells."""
@@ -111,12 +136,18 @@ def _fit(cells: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence],
                                       featuresCol="features", maxIter=50, tol=1e-9)
     model = glm.fit(data)
     summary = model.summary
-    errors = list(summary.coefficientStandardErrors)
-    # Spark lists the intercept last
+    estimates = [float(model.intercept), *[float(b) for b in model.coefficients]]
+    try:
+        # Spark lists the intercept last
+        *slopes, first = (float(e) for e in summary.coefficientStandardErrors)
+        errors = [first, *slopes]
+    except UnsupportedOperationException:
+        # no normal equations were solved: all cells are alike, or columns are aliased
+        errors = _information_errors(data, np.array(estimates), family)
     return Fit(
         labels=["(Intercept)", *labels],
-        estimates=[float(model.intercept), *[float(b) for b in model.coefficients]],
-        errors=[float(errors[-1]), *[float(e) for e in errors[:-1]]],
+        estimates=estimates,
+        errors=errors,
         deviance=float(summary.deviance) + base_deviance,
         df_residual=rows - len(labels) - 1,
         rows=rows,
