@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.operators.models import Fit, expand_terms, logistic, poisson_loglinear
+from attestry.operators.models import ONE_TASK_ROWS, Fit, expand_terms, logistic, poisson_loglinear
 
 # Factor combinations one participant's row may hold.
 MAX_PATTERNS = 400
@@ -112,27 +112,33 @@ def _probe(at: np.ndarray, h: float) -> np.ndarray:
 
 def _maximise(profiles: DataFrame, x: np.ndarray, start: np.ndarray, inverse: np.ndarray, family: str,
               max_steps: int) -> tuple[np.ndarray, float]:
-    """Quasi-Newton steps with difference gradients; a line search is one job as well."""
-    h, scales = 1e-4, 0.5 ** np.arange(0, 10)
-    at = start
-    size = len(at)
+    """Quasi-Newton steps with difference gradients.
+
+    One job tries the full step, shorter ones, and the gradient at the full step,
+    which is the one usually taken.
+    """
+    h, size = 1e-4, len(start)
+    scales = 0.5 ** np.arange(1, 9)
 
-    def look(point):
-        values = _evaluate(profiles, x, _probe(point, h), family)
-        return values[0], (values[1:size + 1] - values[size + 1:]) / (2 * h)
+    def gradient(values):
+        return (values[1:size + 1] - values[size + 1:2 * size + 1]) / (2 * h)
 
-    best, slope = look(at)
+    at = start
+    values = _evaluate(profiles, x, _probe(at, h), family)
+    best, slope = values[0], gradient(values)
     for _ in range(max_steps):
         move = -inverse @ slope
-        tried = _evaluate(profiles, x, at + scales[:, None] * move, family)
-        pick = int(np.argmin(tried))
-        if not tried[pick] < best - 1e-9 * (1 + abs(best)):
+        tried = _evaluate(profiles, x, np.vstack([_probe(at + move, h), at + scales[:, None] * move]), family)
+        shorter = tried[2 * size + 1:]
+        pick = int(np.argmin([tried[0], *shorter]))
+        gain = best - [tried[0], *shorter][pick]
+        if not gain > 1e-8 * (1 + abs(best)):
             break
-        step = scales[pick] * move
+        step = move if pick == 0 else scales[pick - 1] * move
         at = at + step
-        value, new_slope = look(at)
-        change = new_slope - slope
-        best, slope = value, new_slope
+        values = tried if pick == 0 else _evaluate(profiles, x, _probe(at, h), family)
+        change = gradient(values) - slope
+        best, slope = values[0], gradient(values)
         agree = float(step @ change)
         if agree > 1e-12:
             left = np.eye(size) - np.outer(step, change) / agree
@@ -175,20 +181,26 @@ def random_intercept_glm(df: DataFrame, response: str, terms: Sequence[str], lev
         known = df.where(F.col(response).isNotNull())
         outcome, size = F.col(response).cast("double"), F.lit(1.0)
         first = poisson_loglinear(known, terms, levels, response)
-    profiles = participant_profiles(known, participant, combos, outcome, size).cache()
+    # aliased columns stay out, as in the fixed model the search starts from
+    used = [j for j, b in enumerate(first.estimates) if not math.isnan(b)]
+    x = x[:, used]
+    held = participant_profiles(known, participant, combos, outcome, size).cache()
     try:
-        start = np.array([*first.estimates, math.log(0.5)])
-        inverse = np.diag(np.array([*first.errors, 0.3]) ** 2)
+        profiles = held.coalesce(1) if held.count() <= ONE_TASK_ROWS // len(combos) else held
+        start = np.array([*[first.estimates[j] for j in used], math.log(0.5)])
+        inverse = np.diag(np.array([*[first.errors[j] for j in used], 0.3]) ** 2)
         at, value = _maximise(profiles, x, start, inverse, family, max_steps)
         errors = _errors(profiles, x, at, family)
     finally:
-        profiles.unpersist()
+        held.unpersist()
     sd = math.exp(at[-1])
+    estimate, error = dict(zip(used, at[:-1])), dict(zip(used, errors[:-1]))
+    everything = range(len(labels))
     return Fit(
         labels=[*labels, "sd(intercept)"],
-        estimates=[*[float(b) for b in at[:-1]], sd],
-        errors=[*[float(e) for e in errors[:-1]], float(errors[-1]) * sd],
+        estimates=[*[float(estimate.get(j, math.nan)) for j in everything], sd],
+        errors=[*[float(error.get(j, math.nan)) for j in everything], float(errors[-1]) * sd],
         deviance=2 * float(value),
-        df_residual=first.rows - len(labels) - 1,
+        df_residual=first.rows - len(used) - 1,
         rows=first.rows,
     )

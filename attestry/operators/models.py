@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
@@ -67,10 +67,15 @@ def design_columns(terms: Sequence[str], levels: Mapping[str, Sequence]) -> list
     return columns
 
 
-def design_matrix(df: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence],
-                  out: str = "features") -> tuple[DataFrame, list[str]]:
-    """Add the feature vector of a formula; returns the column labels beside it."""
+def design_matrix(df: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence], out: str = "features",
+                  keep: Sequence[int] | None = None) -> tuple[DataFrame, list[str]]:
+    """Add the feature vector of a formula; returns the column labels beside it.
+
+    ``keep`` limits the vector to some of the columns.
+    """
     columns = design_columns(terms, levels)
+    if keep is not None:
+        columns = [columns[i] for i in keep]
     temp = {f"__x{i}": c for i, (_, c) in enumerate(columns)}
     wide = VectorAssembler(inputCols=list(temp), outputCol=out).transform(df.withColumns(temp))
     return wide.drop(*temp), [label for label, _ in columns]
@@ -107,49 +112,92 @@ def _held(table: DataFrame) -> Iterator[tuple[DataFrame, int]]:
         held.unpersist()
 
 
-def _information_errors(data: DataFrame, estimates: np.ndarray, family: str) -> list[float]:
-    """Standard errors from the Fisher information, summed over the design rows."""
-    size = len(estimates)
+def _cross_products(data: DataFrame, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """X'WX of the design rows with intercept; the tasks return one partial matrix each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size, size))
         for batch in batches:
             x = np.column_stack([np.ones(len(batch)), np.vstack(batch["x"].to_numpy())])
-            mu = np.exp(x @ estimates)
-            spread = mu if family == "poisson" else mu / (1 + mu) ** 2
-            total += (x * (batch["__weight"].to_numpy() * spread)[:, None]).T @ x
+            total += (x * weigh(x, batch["__weight"].to_numpy())[:, None]).T @ x
         yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
 
     parts = data.select(vector_to_array("features").alias("x"), "__weight").mapInPandas(run, "i INT, row ARRAY<DOUBLE>")
     sums = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    information = np.zeros((size, size))
+    out = np.zeros((size, size))
     for i, j, v in sums:
-        information[i, j] = v
+        out[i, j] = v
+    return out
+
+
+def _independent(products: np.ndarray) -> list[int]:
+    """Columns that are not a combination of the columns before them."""
+    kept: list[int] = []
+    for j in range(len(products)):
+        left = products[j, j]
+        if kept:
+            cross = products[kept, j]
+            left -= cross @ np.linalg.solve(products[np.ix_(kept, kept)], cross)
+        if left > 1e-8 * max(products[j, j], 1.0):
+            kept.append(j)
+    return kept
+
+
+def _information_errors(data: DataFrame, estimates: np.ndarray, family: str) -> list[float]:
+    """Standard errors from the Fisher information, summed over the design rows."""
+
+    def weigh(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        mu = np.exp(x @ estimates)
+        return w * (mu if family == "poisson" else mu / (1 + mu) ** 2)
+
+    information = _cross_products(data, weigh, len(estimates))
     return [float(e) for e in np.sqrt(np.clip(np.diag(np.linalg.pinv(information)), 0, None))]
 
 
+def _complete(cells: DataFrame, formulas: Mapping[str, Sequence[str]], levels: Mapping[str, Sequence]) -> bool:
+    """Whether every combination of the factors occurs, so that no column can be aliased."""
+    factors = sorted({f for terms in formulas.values() for term in expand_terms(terms) for f in term})
+    if not all(f in levels for f in factors):
+        return False
+    # one row per combination at most, and levels are bounded
+    seen = cells.where(reduce(lambda a, b: a & b, [F.col(f).isin(list(levels[f])) for f in factors]))
+    return seen.select(*factors).distinct().count() == math.prod(len(levels[f]) for f in factors)
+
+
 def _fit(cells: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence], family: str, link: str,
-         rows: int, base_deviance: float = 0.0) -> Fit:
-    """Fit on rows with ``__label`` and ``__weight``; ``rows`` counts observations, not design cells."""
+         rows: int, base_deviance: float = 0.0, complete: bool = True) -> Fit:
+    """Fit on rows with ``__label`` and ``__weight``; ``rows`` counts observations, not design cells.
+
+    Unobserved combinations can alias columns; those get no estimate, the first
+    of a dependent set is kept.
+    """
     data, labels = design_matrix(cells, terms, levels)
+    used = list(range(len(labels)))
+    if not complete:
+        kept = _independent(_cross_products(data, lambda x, w: np.ones(len(x)), len(labels) + 1))
+        used = [j - 1 for j in kept if j > 0]
+        data, _ = design_matrix(cells, terms, levels, keep=used)
     glm = GeneralizedLinearRegression(family=family, link=link, labelCol="__label", weightCol="__weight",
                                       featuresCol="features", maxIter=50, tol=1e-9)
     model = glm.fit(data)
     summary = model.summary
-    estimates = [float(model.intercept), *[float(b) for b in model.coefficients]]
+    found = [float(model.intercept), *[float(b) for b in model.coefficients]]
     try:
         # Spark lists the intercept last
         *slopes, first = (float(e) for e in summary.coefficientStandardErrors)
         errors = [first, *slopes]
     except UnsupportedOperationException:
-        # no normal equations were solved: all cells are alike, or columns are aliased
-        errors = _information_errors(data, np.array(estimates), family)
+        # all cells are alike, so no normal equations were solved
+        errors = _information_errors(data, np.array(found), family)
+    places = [0, *[j + 1 for j in used]]
+    estimate, error = dict(zip(places, found)), dict(zip(places, errors))
+    everything = range(len(labels) + 1)
     return Fit(
         labels=["(Intercept)", *labels],
-        estimates=estimates,
-        errors=errors,
+        estimates=[estimate.get(j, math.nan) for j in everything],
+        errors=[error.get(j, math.nan) for j in everything],
         deviance=float(summary.deviance) + base_deviance,
-        df_residual=rows - len(labels) - 1,
+        df_residual=rows - len(places),
         rows=rows,
     )
 
@@ -162,7 +210,9 @@ def poisson_models(table: DataFrame, formulas: Mapping[str, Sequence[str]], leve
     """
     counted = table.withColumns({"__label": F.col(count).cast("double"), "__weight": F.lit(1.0)})
     with _held(counted) as (cells, rows):
-        return {name: _fit(cells, terms, levels, "poisson", "log", rows) for name, terms in formulas.items()}
+        complete = _complete(cells, formulas, levels)
+        return {name: _fit(cells, terms, levels, "poisson", "log", rows, complete=complete)
+                for name, terms in formulas.items()}
 
 
 def poisson_loglinear(table: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence],
@@ -192,7 +242,8 @@ def logistic(df: DataFrame, response: str, terms: Sequence[str], levels: Mapping
     within = -2 * F.sum(F.col("__weight") * (_entropy(share) + _entropy(1 - share)))
     with _held(cells) as (held, _):
         rows, base = held.agg(F.sum("__weight"), within).first()
-        return _fit(held, terms, levels, "binomial", "logit", int(rows), float(base))
+        complete = _complete(held, {"model": terms}, levels)
+        return _fit(held, terms, levels, "binomial", "logit", int(rows), float(base), complete)
 
 
 def chi_square_tail(x: float, df: int) -> float:
@@ -230,11 +281,14 @@ def compare_models(spark: SparkSession, pairs: Mapping[str, tuple[Fit, Fit]]) ->
 
 
 def coefficient_table(spark: SparkSession, fit: Fit) -> DataFrame:
-    """Estimate, standard error, z and two-sided p per coefficient."""
+    """Estimate, standard error, z and two-sided p per coefficient; NULL for aliased ones."""
     rows = []
     for label, b, se in zip(fit.labels, fit.estimates, fit.errors):
-        z = b / se if se else float("nan")
-        rows.append((label, b, se, z, math.erfc(abs(z) / math.sqrt(2))))
+        if math.isnan(b):
+            rows.append((label, None, None, None, None))
+            continue
+        z = b / se if se else None
+        rows.append((label, b, se, z, None if z is None else math.erfc(abs(z) / math.sqrt(2))))
     return spark.createDataFrame(rows, "term STRING, estimate DOUBLE, se DOUBLE, z DOUBLE, p DOUBLE")
 
 

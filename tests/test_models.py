@@ -17,13 +17,13 @@ def table(spark):
     return spark.createDataFrame(data, "a string, b string, c string, n long")
 
 
-def test_terms():
+def test_terms(spark):
     assert models.expand_terms(["a * b", "c"]) == [("a",), ("b",), ("c",), ("a", "b")]
     labels = [name for name, _ in models.design_columns(["a * c"], LEVELS)]
     assert labels == ["a[a1]", "c[c1]", "c[c2]", "a[a1]:c[c1]", "a[a1]:c[c2]"]
 
 
-def test_numeric_terms_are_not_dummy_coded():
+def test_numeric_terms_are_not_dummy_coded(spark):
     assert [name for name, _ in models.design_columns(["a * x"], LEVELS)] == ["a[a1]", "x", "a[a1]:x"]
 
 
@@ -42,6 +42,15 @@ def test_nested_deviances_grow(spark, table):
     assert compared["df"] == 2 and 0 <= compared["p"] <= 1
 
 
+def test_unobserved_combinations_alias_columns(spark, table):
+    gap = table.where("NOT (a = 'a1' AND c = 'c2')")
+    fit = models.poisson_loglinear(gap, ["a * b * c"], LEVELS)
+    dead = [label for label, b in zip(fit.labels, fit.estimates) if math.isnan(b)]
+    assert dead == ["a[a1]:c[c2]", "a[a1]:b[b1]:c[c2]"]
+    assert fit.df_residual == 0 and abs(fit.deviance) < 1e-6
+    assert rows(models.coefficient_table(spark, fit).where("estimate IS NULL"), "term") == sorted((d,) for d in dead)
+
+
 def test_two_by_two_log_odds(spark):
     counts = {("a0", "n"): 40, ("a0", "y"): 10, ("a1", "n"): 15, ("a1", "y"): 35}
     data = [(a, r) for (a, r), n in counts.items() for _ in range(n)]
