@@ -32,7 +32,7 @@ def _(spark, sf):
 SELECT name, year, region, max(number) FILTER (WHERE asab = 'F') AS number_F, max(number) FILTER (WHERE asab = 'M') AS number_M,
        max(number) FILTER (WHERE asab = 'X') AS number_X, max(proportion) FILTER (WHERE asab = 'F') AS proportion_F,
        max(proportion) FILTER (WHERE asab = 'M') AS proportion_M, max(proportion) FILTER (WHERE asab = 'X') AS proportion_X
-FROM facts GROUP BY ALL""", "facts", approx="proportion_F proportion_M proportion_X", digits=9)
+FROM facts GROUP BY ALL""", "facts")
 def _(spark, sf):
     return balance.widen_by_sex(standins.with_shares(spark, sf), ("number", "proportion"))
 
@@ -82,7 +82,7 @@ def _(spark, sf):
     return balance.log_ratio_grains(standins.attestations(spark, sf), PLACE)
 
 
-_PROFILE = "mean_F mean_M mean_logratio median_logratio sd_logratio se_logratio max_logratio min_logratio"
+_PROFILE = "mean_logratio median_logratio sd_logratio se_logratio max_logratio min_logratio"
 
 
 @query("balance_profile", f"SELECT * FROM profile WHERE {_NOT_PLACE}", "profile", approx=_PROFILE)
@@ -103,7 +103,7 @@ def _(spark, sf):
 
 @query("discarded_entries", """
 SELECT count(*) FILTER (WHERE log_ratio IS NULL) AS discarded, count(*) FILTER (WHERE log_ratio IS NOT NULL) AS kept,
-       count(*) FILTER (WHERE log_ratio IS NULL) / count(*) AS share FROM cells""", "cells", approx="share")
+       count(*) FILTER (WHERE log_ratio IS NULL) / count(*) AS share FROM cells""", "cells")
 def _(spark, sf):
     return balance.discarded_entries(standins.attestations(spark, sf))
 
@@ -111,8 +111,7 @@ def _(spark, sf):
 _RANKS = "rank_order, order_logratio, order_mean, order_common, combined_order"
 
 
-@query("balance_rank", f"SELECT name, entries, regions, weighted_frequency, {_RANKS} FROM ranked", "ranked",
-       approx="weighted_frequency")
+@query("balance_rank", f"SELECT name, entries, regions, weighted_frequency, {_RANKS} FROM ranked", "ranked")
 def _(spark, sf):
     return _ranked(spark, sf).select("name", "entries", "regions", "weighted_frequency", *_RANKS.split(", "))
 
@@ -172,7 +171,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY name, asab, region) AS years FROM fa
 WHERE year_count > 0"""
 
 
-@query("unisex_dataset", _unisex_sql(), "facts", approx="proportion_AFAB proportion_AMAB proportion_X", digits=9)
+@query("unisex_dataset", _unisex_sql(), "facts")
 def _(spark, sf):
     return balance.unisex_dataset(standins.names_combined(spark, sf))
 
@@ -193,7 +192,7 @@ def _(spark, sf):
     return balance.peak_counts(standins.with_shares(spark, sf), _top(spark, sf), 30, placeholders=PLACE)
 
 
-@query("peak_shares", _PEAKS.replace("@", "proportion"), "widefacts", approx="proportion_M proportion_F", digits=9)
+@query("peak_shares", _PEAKS.replace("@", "proportion"), "widefacts")
 def _(spark, sf):
     return balance.peak_counts(standins.with_shares(spark, sf), _top(spark, sf), 30, "proportion", PLACE)
 
@@ -224,7 +223,7 @@ def _(spark, sf):
 @query("mutual_ratio_filter", f"""
 SELECT name, year, region, number_F, number_M, proportion_F, proportion_M FROM widefacts
 WHERE proportion_F > 0.0005 AND proportion_M > 0.0005 AND number_M / number_F > 0.25 AND number_F / number_M > 0.25 AND {_NOT_PLACE}""",
-       "widefacts", approx="proportion_F proportion_M", digits=9)
+       "widefacts")
 def _(spark, sf):
     return balance.mutual_ratio_filter(standins.with_shares(spark, sf), _top(spark, sf), exclude=PLACE)
 
@@ -252,7 +251,7 @@ FROM (SELECT region AS locale, name, avg(rank) FILTER (WHERE asab = 'F') AS rank
              CAST(sum(number) FILTER (WHERE asab = 'F') AS BIGINT) AS total_F, CAST(sum(number) FILTER (WHERE asab = 'M') AS BIGINT) AS total_M
       FROM facts GROUP BY ALL) AS p
 WHERE rank_F IS NOT NULL AND rank_M IS NOT NULL""", "facts",
-       approx="rank_F rank_M count_F count_M rank_diff rank_mean count_mean log_count abs_diff")
+       approx="log_count")
 def _(spark, sf):
     pairs = standins.names_combined(spark, sf).groupBy(F.col("region").alias("locale"), "name", "asab").agg(
         F.avg("rank").alias("rank"), F.avg("number").alias("count"), F.sum("number").alias("total"))
@@ -267,11 +266,7 @@ SELECT {ids}, {f}, {m}, max_asab, {f} / nullif(max_asab, 0) AS max_f_prop, {f} /
 FROM (SELECT *, {top} AS max_asab FROM {source}) AS s) AS d"""
 
 
-_SHARES = "max_f_prop total_f_prop max_m_prop total_m_prop fem masc"
-
-
-@query("dominance_shares", _dominance("combined", "name", "total_afab", "total_amab", "greatest(total_afab, total_amab)", 100), "combined",
-       approx=_SHARES)
+@query("dominance_shares", _dominance("combined", "name", "total_afab", "total_amab", "greatest(total_afab, total_amab)", 100), "combined")
 def _(spark, sf):
     totals = balance.log_ratio_combined(standins.attestations(spark, sf)).select("name", "total_afab", "total_amab")
     return balance.dominance_shares(totals)
@@ -279,14 +274,14 @@ def _(spark, sf):
 
 @query("dominance_shares_regional", _dominance(
     "(SELECT name, region, CAST(sum(f) AS BIGINT) AS total_afab, CAST(sum(m) AS BIGINT) AS total_amab FROM wide GROUP BY ALL)",
-    "name, region", "total_afab", "total_amab", "greatest(total_afab, total_amab)", 100), "wide", approx=_SHARES)
+    "name, region", "total_afab", "total_amab", "greatest(total_afab, total_amab)", 100), "wide")
 def _(spark, sf):
     totals = balance.log_ratio_regional(standins.attestations(spark, sf)).select("name", "region", "total_afab", "total_amab")
     return balance.dominance_shares(totals)
 
 
 @query("dominance_shares_annual", _dominance(
-    "cells", "name, year, region", "afab", "amab", "max(greatest(afab, amab)) OVER (PARTITION BY name)", 1), "cells", approx=_SHARES)
+    "cells", "name, year, region", "afab", "amab", "max(greatest(afab, amab)) OVER (PARTITION BY name)", 1), "cells")
 def _(spark, sf):
     cells = balance.log_ratio_annual_regional(standins.attestations(spark, sf)).select("name", "year", "region", "afab", "amab")
     return balance.dominance_shares(cells, "afab", "amab", 1.0, ["name"])
@@ -360,13 +355,12 @@ _STRATA = "(" + "\nUNION ALL\n".join([
 ]) + ") AS strata"
 
 
-@query("biased_strata", f"SELECT * FROM {_STRATA}", "combined", approx="log_ratio freq freq_block ppl_per_year")
+@query("biased_strata", f"SELECT * FROM {_STRATA}", "combined", approx="log_ratio freq")
 def _(spark, sf):
     return _strata(spark, sf)
 
 
-@query("strata_summary", f"SELECT type, count(*) AS n, min(ppl_per_year) AS min_ppl_per_year FROM {_STRATA} GROUP BY type", "combined",
-       approx="min_ppl_per_year")
+@query("strata_summary", f"SELECT type, count(*) AS n, min(ppl_per_year) AS min_ppl_per_year FROM {_STRATA} GROUP BY type", "combined")
 def _(spark, sf):
     return stimuli.strata_summary(_strata(spark, sf))
 
@@ -393,7 +387,7 @@ def _medium(spark, sf):
 @query("corpus_profile", """
 SELECT count(*) AS entries, count(*) FILTER (WHERE asab = 'F') AS entries_f, count(*) FILTER (WHERE asab = 'M') AS entries_m,
        count(DISTINCT name) AS names, count(DISTINCT region) AS regions, count(*) FILTER (WHERE asab = 'F') / count(*) AS share_f
-FROM attest""", "attest", approx="share_f")
+FROM attest""", "attest")
 def _(spark, sf):
     return profile.corpus_profile(standins.attestations(spark, sf))
 
@@ -429,7 +423,7 @@ _STATS = """count(total) AS n, min(total) AS min, max(total) AS max, avg(total)
 
 @query("total_distribution", f"""
 SELECT region, asab, {_STATS} FROM (SELECT region, name, asab, CAST(sum(number) AS BIGINT) AS total FROM attest GROUP BY ALL) AS t
-GROUP BY ALL""", "attest", approx="mean sd se median")
+GROUP BY ALL""", "attest", approx="sd se")
 def _(spark, sf):
     return profile.total_distribution(standins.attestations(spark, sf))
 
@@ -438,7 +432,7 @@ def _(spark, sf):
 SELECT regions, {_STATS} FROM (
 SELECT name, CAST(sum(total) AS BIGINT) AS total, count(*) AS regions FROM (
 SELECT name, region, CAST(sum(number) AS BIGINT) AS total FROM attest WHERE {_NOT_PLACE} GROUP BY ALL) AS r
-WHERE total > 200 GROUP BY name) AS t GROUP BY ALL""", "attest", approx="mean sd se median")
+WHERE total > 200 GROUP BY name) AS t GROUP BY ALL""", "attest", approx="sd se")
 def _(spark, sf):
     return profile.coverage_distribution(standins.attestations(spark, sf), 200, PLACE)
 
@@ -447,12 +441,12 @@ def _(spark, sf):
 SELECT a.year, a.name, a.asab, a.region, a.number, median FROM medium AS a JOIN (
 SELECT region, asab, quantile_cont(total, 0.5) AS median FROM (
 SELECT region, name, asab, sum(number)::BIGINT AS total FROM attest GROUP BY ALL) AS t GROUP BY ALL) AS q USING (region, asab)
-WHERE number > median""".replace("medium", "attest"), "attest", approx="median")
+WHERE number > median""".replace("medium", "attest"), "attest")
 def _(spark, sf):
     return profile.above_median(standins.attestations(spark, sf))
 
 
-@query("longevity", "SELECT * FROM longevities", "longevities", approx="longstandingness percent", digits=9)
+@query("longevity", "SELECT * FROM longevities", "longevities")
 def _(spark, sf):
     return profile.longevity(_medium(spark, sf))
 
@@ -466,7 +460,7 @@ def _(spark, sf):
 
 @query("longevity_series", """
 SELECT m.year, region, name, asab, m.number, percent FROM medium AS m JOIN longevities USING (region, name, asab)
-WHERE attestations = total_years AND percent >= 0.0012 AND percent < 0.002""", "medium longevities", approx="percent", digits=9)
+WHERE attestations = total_years AND percent >= 0.0012 AND percent < 0.002""", "medium longevities")
 def _(spark, sf):
     facts = _medium(spark, sf)
     return profile.longevity_series(facts, profile.longevity(facts), 0.0012, 0.002)

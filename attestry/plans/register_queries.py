@@ -102,7 +102,7 @@ def _(spark, sf):
 
 
 @query("share_of_group", """
-SELECT *, number / sum(number) OVER (PARTITION BY region, year, asab) AS proportion FROM attest""", "attest", approx="proportion", digits=9)
+SELECT *, number / sum(number) OVER (PARTITION BY region, year, asab) AS proportion FROM attest""", "attest")
 def _(spark, sf):
     return clean.share_of_group(st.attestations(spark, sf), ["region", "year", "asab"])
 
@@ -110,8 +110,7 @@ def _(spark, sf):
 _BY_SEX = "number / CASE asab WHEN 'M' THEN nullif(male, 0) WHEN 'F' THEN nullif(female, 0) END"
 
 
-@query("share_of_population", f"SELECT reg.*, {_BY_SEX} AS proportion FROM reg LEFT JOIN births USING (year)", "reg births",
-       approx="proportion")
+@query("share_of_population", f"SELECT reg.*, {_BY_SEX} AS proportion FROM reg LEFT JOIN births USING (year)", "reg births")
 def _(spark, sf):
     return clean.share_of_population(st.register_rows(spark, sf), st.births(spark, sf))
 
@@ -120,14 +119,14 @@ _FALLBACK = f"""CASE WHEN male IS NULL OR female IS NULL THEN number / sum(numbe
 
 
 @query("share_with_group_fallback", f"SELECT reg.*, {_FALLBACK} AS proportion FROM reg LEFT JOIN births_since USING (year)",
-       "reg births_since", approx="proportion")
+       "reg births_since")
 def _(spark, sf):
     return clean.share_with_group_fallback(st.register_rows(spark, sf), st.births_by_sex_since(st.births(spark, sf)))
 
 
 @query("share_with_total_fallback", f"""
 SELECT reg.*, coalesce({_BY_SEX}, number / (total * 0.5)) AS proportion FROM reg LEFT JOIN births_since USING (year)""",
-       "reg births_since", approx="proportion")
+       "reg births_since")
 def _(spark, sf):
     b = st.births(spark, sf)
     shared = clean.share_of_population(st.register_rows(spark, sf), st.births_by_sex_since(b))
@@ -319,7 +318,7 @@ def _whole(spark, sf) -> Rows:
 
 
 def _register(name: str, sql: str, uses: str, build) -> None:
-    query(name, _from(sql, "reg"), f"reg {uses}".strip(), approx="proportion", digits=9)(build)
+    query(name, _from(sql, "reg"), f"reg {uses}".strip())(build)
 
 
 _register("names_usa", USA, "births", lambda s, sf: usa_of(_whole(s, sf), st.births(s, sf)))
@@ -341,7 +340,7 @@ for _key, _name in _STATE_QUERIES.items():
     query(_name, _sql, "reg")(lambda s, sf, k=_key: STATE_BUILDERS[k](_whole(s, sf)))
 
 
-@query("names_australia", australia("country"), "country births_since", approx="proportion", digits=9)
+@query("names_australia", australia("country"), "country births_since")
 def _(spark, sf):
     # seven branches read these rows
     return australia_of(materialize(st.country_rows(spark, sf)), materialize(st.births(spark, sf)))
@@ -354,7 +353,7 @@ _UNION = " UNION ALL ".join(
     for i, (_, sql) in enumerate(_COUNTRIES))
 
 
-@query("names_combined", _UNION, "country births births_since", approx="proportion", digits=9)
+@query("names_combined", _UNION, "country births births_since")
 def _(spark, sf):
     places, b = materialize(st.country_rows(spark, sf)), materialize(st.births(spark, sf))
 

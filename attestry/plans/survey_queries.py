@@ -97,7 +97,7 @@ def _(spark, sf):
 @query("demographic_crosstab", f"""
 SELECT {_ETHNIC} AS ethnicity_cat, area, count(*) FILTER (WHERE gender_cat = 'Female') / 51 AS female,
        count(*) FILTER (WHERE gender_cat = 'Male') / 51 AS male, count(*) FILTER (WHERE gender_cat = 'Non binary') / 51 AS non_binary
-FROM placed GROUP BY ALL""", "placed", approx="female male non_binary")
+FROM placed GROUP BY ALL""", "placed")
 def _(spark, sf):
     return survey.demographic_crosstab(_rating_data(spark, sf), st.GENDERS)
 
@@ -224,7 +224,7 @@ def _(spark, sf):
     return experiment.contingency(analysis(spark, sf), ["l1", "gender_coarse", "subject", "picture"])
 
 
-@query("contingency_participants", "SELECT l1, gender_coarse, count(*) / 20 AS n FROM analysis GROUP BY ALL", "analysis", approx="n")
+@query("contingency_participants", "SELECT l1, gender_coarse, count(*) / 20 AS n FROM analysis GROUP BY ALL", "analysis")
 def _(spark, sf):
     return experiment.contingency(analysis(spark, sf), ["l1", "gender_coarse"], unit=20)
 
@@ -250,7 +250,7 @@ for _name, (_keys, _within, _where) in _PERCENTS.items():
     _k, _w = ", ".join(_keys), ", ".join(_within)
     _sql = f"""SELECT *, count / total AS percent FROM (SELECT {_k}, count, CAST(sum(count) OVER (PARTITION BY {_w}) AS BIGINT) AS total
 FROM (SELECT {_k}, count(*) AS count FROM analysis {'WHERE ' + _where if _where else ''} GROUP BY ALL) AS c) AS t"""
-    query(_name, _sql, "analysis", approx="percent")(
+    query(_name, _sql, "analysis")(
         lambda s, sf, k=_keys, w=_within, c=_where: experiment.percent_within(analysis(s, sf), k, w, F.expr(c) if c else None))
 
 
