@@ -8,6 +8,7 @@ from attestry.operators import balance, profile, stimuli
 from attestry.plans import ctes, standins
 from attestry.plans.ctes import in_list
 from attestry.plans.registry import query
+from attestry.session import materialize
 
 # Stand-ins for placeholder names, so that the filter removes something.
 PLACE = ["small ring Brand#2", "red widget Brand#17", "blue bolt Brand#4"]
@@ -19,8 +20,14 @@ def _ranked(spark, sf):
     return balance.balance_rank(balance.balance_profile(standins.attestations(spark, sf)))
 
 
-def _top(spark, sf):
-    return balance.top_balanced(_ranked(spark, sf), TOP)
+def _top_of(facts):
+    return balance.top_balanced(balance.balance_rank(balance.balance_profile(facts)), TOP)
+
+
+def _facts_and_top(spark, sf):
+    """The fact with shares, stored once, and its most balanced names."""
+    facts = materialize(standins.with_shares(spark, sf))
+    return facts, _top_of(facts)
 
 
 @query("drop_placeholders", f"SELECT year, name, asab, region, number FROM attest WHERE {_NOT_PLACE}", "attest")
@@ -150,7 +157,7 @@ def _(spark, sf):
 
 @query("top_balanced", f"SELECT name, rank_order FROM ranked WHERE rank_order <= {TOP}", "ranked")
 def _(spark, sf):
-    return _top(spark, sf)
+    return _top_of(standins.attestations(spark, sf))
 
 
 _SENTENCE = "upper(name[1]) || lower(name[2:])"
@@ -178,7 +185,8 @@ def _(spark, sf):
 
 @query("unisex_above_share", "SELECT DISTINCT name FROM widefacts WHERE proportion_F > 0.0012 AND proportion_M > 0.0012", "widefacts")
 def _(spark, sf):
-    return balance.unisex_above_share(standins.with_shares(spark, sf), _top(spark, sf), 0.0012)
+    facts, names = _facts_and_top(spark, sf)
+    return balance.unisex_above_share(facts, names, 0.0012)
 
 
 _PEAKS = f"""
@@ -189,22 +197,26 @@ GROUP BY ALL"""
 
 @query("peak_counts", _PEAKS.replace("@", "number"), "widefacts")
 def _(spark, sf):
-    return balance.peak_counts(standins.with_shares(spark, sf), _top(spark, sf), 30, placeholders=PLACE)
+    facts, names = _facts_and_top(spark, sf)
+    return balance.peak_counts(facts, names, 30, placeholders=PLACE)
 
 
 @query("peak_shares", _PEAKS.replace("@", "proportion"), "widefacts")
 def _(spark, sf):
-    return balance.peak_counts(standins.with_shares(spark, sf), _top(spark, sf), 30, "proportion", PLACE)
+    facts, names = _facts_and_top(spark, sf)
+    return balance.peak_counts(facts, names, 30, "proportion", PLACE)
 
 
 @query("region_coverage", f"SELECT name, count(*) AS regions FROM ({_PEAKS.replace('@', 'number')}) AS p GROUP BY name", "widefacts")
 def _(spark, sf):
-    peaks = balance.peak_counts(standins.with_shares(spark, sf), _top(spark, sf), 30, placeholders=PLACE)
+    facts, names = _facts_and_top(spark, sf)
+    peaks = balance.peak_counts(facts, names, 30, placeholders=PLACE)
     return balance.region_coverage(peaks)
 
 
 def _international(spark, sf):
-    return balance.international_unisex(standins.with_shares(spark, sf), _top(spark, sf), 0.3, 20)
+    facts, names = _facts_and_top(spark, sf)
+    return balance.international_unisex(facts, names, 0.3, 20)
 
 
 @query("international_unisex", "SELECT * FROM international", "international")
@@ -225,7 +237,8 @@ SELECT name, year, region, number_F, number_M, proportion_F, proportion_M FROM w
 WHERE proportion_F > 0.0005 AND proportion_M > 0.0005 AND number_M / number_F > 0.25 AND number_F / number_M > 0.25 AND {_NOT_PLACE}""",
        "widefacts")
 def _(spark, sf):
-    return balance.mutual_ratio_filter(standins.with_shares(spark, sf), _top(spark, sf), exclude=PLACE)
+    facts, names = _facts_and_top(spark, sf)
+    return balance.mutual_ratio_filter(facts, names, exclude=PLACE)
 
 
 @query("trajectories", """
@@ -233,13 +246,15 @@ SELECT region, name, year, number_F, number_M FROM (
 SELECT *, count(*) OVER (PARTITION BY region, name) AS points FROM widefacts WHERE proportion_F > 0.0005 AND proportion_M > 0.0005) AS t
 WHERE points > 1""", "widefacts")
 def _(spark, sf):
-    return balance.trajectories(standins.with_shares(spark, sf), _top(spark, sf), share=0.0005, min_points=2)
+    facts, names = _facts_and_top(spark, sf)
+    return balance.trajectories(facts, names, share=0.0005, min_points=2)
 
 
 @query("trajectories_filled", """
 SELECT region, name, year, f AS number_F, m AS number_M FROM wide WHERE name IN (SELECT name FROM top)""", "wide top")
 def _(spark, sf):
-    return balance.trajectories(standins.attestations(spark, sf), _top(spark, sf), fill=0)
+    facts = standins.stored(spark, sf)
+    return balance.trajectories(facts, _top_of(facts), fill=0)
 
 
 @query("pairwise_rank_summary", """
@@ -374,14 +389,15 @@ def _(spark, sf):
 
 @query("restrict_to_list", f"SELECT name, type, type_rank FROM {_STRATA} WHERE name IN (SELECT name FROM ({_PILOT}) AS p)", "combined attest")
 def _(spark, sf):
-    names = stimuli.pilot_list(standins.attestations(spark, sf), min_block=60)
-    return stimuli.restrict_to_list(_strata(spark, sf), names).select("name", "type", "type_rank")
+    facts = standins.stored(spark, sf)
+    strata = stimuli.biased_strata(balance.log_ratio_combined(facts), **_CUTS)
+    return stimuli.restrict_to_list(strata, stimuli.pilot_list(facts, min_block=60)).select("name", "type", "type_rank")
 
 
 # --- corpus profile -----------------------------------------------------------------
 
 def _medium(spark, sf):
-    return standins.attestations(spark, sf, "medium")
+    return standins.stored(spark, sf, "medium")
 
 
 @query("corpus_profile", """
@@ -443,7 +459,7 @@ SELECT region, asab, quantile_cont(total, 0.5) AS median FROM (
 SELECT region, name, asab, sum(number)::BIGINT AS total FROM attest GROUP BY ALL) AS t GROUP BY ALL) AS q USING (region, asab)
 WHERE number > median""".replace("medium", "attest"), "attest")
 def _(spark, sf):
-    return profile.above_median(standins.attestations(spark, sf))
+    return profile.above_median(standins.stored(spark, sf))
 
 
 @query("longevity", "SELECT * FROM longevities", "longevities")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from attestry.functions.exprs import recode
 from attestry.functions.vocab import DEMOGRAPHIC_FIELDS, GENDER_COARSE
 from attestry.operators import clean
+from attestry.session import materialize
 
 YEARS = range(1995, 2002)
 
@@ -71,6 +72,11 @@ def attestations(spark: SparkSession, sf_dir: str, names: str = "fine") -> DataF
     return _births_of_items(spark, sf_dir, names).groupBy("year", "name", "asab", "region").agg(_number())
 
 
+def stored(spark: SparkSession, sf_dir: str, names: str = "fine") -> DataFrame:
+    """The fact written once, for queries that read it several times."""
+    return materialize(attestations(spark, sf_dir, names))
+
+
 def names_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full fact with rank and share inside (region, year, sex)."""
     keys = ["region", "year", "asab"]
@@ -78,7 +84,7 @@ def names_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.share_of_group(attestations(spark, sf_dir), ["region", "year", "asab"])
+    return clean.share_of_group(stored(spark, sf_dir), ["region", "year", "asab"])
 
 
 def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
