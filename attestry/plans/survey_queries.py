@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import vocab
@@ -161,10 +164,23 @@ def _(spark, sf):
 # --- forced-choice experiment -------------------------------------------------------
 
 @query("strip_markers", """
-SELECT question_key, count(*) AS n FROM (SELECT unnest(['L1']) AS question_key FROM customer) AS q GROUP BY 1""")
+SELECT 'first' AS node, 'L1' AS key, count(*) AS n FROM language UNION ALL
+SELECT 'english', k, count(*) FROM language CROSS JOIN (VALUES ('LocL1Eng'), ('DateL1Eng-inmonths')) AS e(k) WHERE l1 = 'English' GROUP BY k UNION ALL
+SELECT 'spanish', k, count(*) FROM language CROSS JOIN (VALUES ('LocL2Eng'), ('DateL2Eng-inmonths'), ('TimeuseEng')) AS s(k)
+WHERE l1 <> 'English' GROUP BY k UNION ALL
+SELECT 'trials', z, count(*) FROM orders CROSS JOIN (VALUES ('buttonA'), ('buttonB')) AS t(z) GROUP BY z""", "language")
 def _(spark, sf):
-    first, _, _ = st.language_exports(spark, sf)
-    return experiment.strip_questionnaire(first, ["L1-quantised"]).groupBy("question_key").agg(F.count("*").alias("n"))
+    first, english, spanish = st.language_exports(spark, sf)
+    left = {
+        "first": experiment.strip_questionnaire(first, ["L1-quantised"]).select(F.col("question_key").alias("key")),
+        "english": experiment.strip_questionnaire(english, ["LocL1Eng-quantised"]).select(F.col("question_key").alias("key")),
+        "spanish": experiment.strip_questionnaire(spanish, ["LocL2Eng-quantised", "TimeuseEng-quantised"]).select(
+            F.col("question_key").alias("key")),
+        "trials": experiment.strip_task(st.trials_export(spark, sf)).select(F.col("zone_name").alias("key")),
+    }
+    counted = [rows.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(node).alias("node"), "key", "n")
+               for node, rows in left.items()]
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query("clean_consent", "SELECT * FROM consent", "consent")
