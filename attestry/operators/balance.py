@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.exprs import (
-    abs_log_ratio, half_even, join_null_safe, not_in, nulls_last, positive_log10, ratio, recode, sentence_case,
-    sum_or_zero,
+    abs_log_ratio, half_even, not_in, positive_log10, ratio, recode, sentence_case, sum_or_zero,
 )
 from attestry.functions.vocab import (
     PLACEHOLDERS, PLACEHOLDERS_INTERNATIONAL, PLACEHOLDERS_PEAKS, PLACEHOLDERS_PROFILE,
