@@ -108,3 +108,116 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
     empty = spark.createDataFrame([], StructType([StructField("node", LongType()), StructField("component", LongType())]))
     return empty.union(current.select("a", "b")).union(current.select("b", "b").distinct())
+
+
+# --- words and shingles of many texts at once -------------------------------------------------
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes that are part of a word: anything but blanks, or letters and digits and all of non-ASCII.
+NOT_BLANK = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
+ALNUM = np.array([b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A for b in range(256)])
+_FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit values, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, A-Z lower-cased: (row offsets into the words, hashes)."""
+    if not len(data):
+        return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
+    if len(_POWERS.get("up", ())) <= len(data):
+        _POWERS["up"], _POWERS["down"] = _powers(_BASE, len(data)), _powers(_INVERSE, len(data))
+    folded = _FOLD[data]
+    inside = word_bytes[folded]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    finish = inside.copy()
+    finish[:-1] &= ~inside[1:]
+    edges = offsets[1:-1][offsets[1:-1] < len(data)]
+    begin[edges] = inside[edges]
+    edges = edges[edges > 0]
+    finish[edges - 1] = inside[edges - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _POWERS["up"][: len(data)], out=total[1:])
+    hashes = mix((total[ends] - total[starts]) * _POWERS["down"][starts])
+    return np.searchsorted(starts, offsets), hashes
+
+
+def shingle_hashes(offsets: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every run of ``n`` words, in text order: (row offsets, hashes).
+
+    A row with fewer words, but some, has one shingle of all of them.
+    """
+    counts = np.diff(offsets)
+    sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    out = np.concatenate([[0], np.cumsum(sizes)])
+    rows = np.repeat(np.arange(len(counts)), sizes)
+    first = offsets[:-1][rows] + np.arange(out[-1]) - out[:-1][rows]
+    total = np.zeros(len(first), np.uint64)
+    length = np.minimum(counts, n)[rows]
+    for k in range(n):
+        if len(first) and (length.min() <= k):
+            use = length > k
+            total[use] = mix(total[use] + words[first[use] + k] + np.uint64(k + 1))
+        elif len(first):
+            total = mix(total + words[first + k] + np.uint64(k + 1))
+    return out, total
+
+
+# --- bitmaps: bounded broadcasts that only save work ------------------------------------------
+
+#: Slots of a bitmap. It is broadcast as 1 MB whatever the data; when it fills up, more rows pass it.
+BITMAP_BITS = 23
+
+
+def bitmap_slot(column: Column) -> Column:
+    """Slot of a 64-bit hash, the same as ``bitmap_holds`` looks up."""
+    return F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+
+
+def bitmap_of(hashes: Column, df: DataFrame) -> np.ndarray:
+    """Bitmap of a column of well-mixed 64-bit hashes; at most 2 ** BITMAP_BITS slots come to the driver."""
+    slots = df.select(bitmap_slot(hashes).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(1 << BITMAP_BITS, bool)
+    bits[slots] = True
+    return np.packbits(bits)
+
+
+def bitmap_holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (bits[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & np.uint8(1) != 0
+
+
+def sorted_groups(batches, keys: int, least: int = 2):
+    """Whole groups of equal leading columns out of batches sorted by them; groups under ``least`` rows are left out."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        columns = [table.column(k).to_numpy() for k in range(keys)]
+        change = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+        for i in np.flatnonzero(np.diff(bounds[:-1]) >= least):
+            yield table.slice(bounds[i], bounds[i + 1] - bounds[i])
+        held = table.slice(bounds[-2])
+    if held is not None and held.num_rows >= least:
+        yield held

@@ -64,7 +64,7 @@ class CodeTable:
                     code = code * a + self.symbol[(grams >> (8 * (size - 1 - k))) & 255]
                 packed[lang, size] = code, n
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        contexts = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([packed.get((g, k + 1), none)[0] // a for g in self.langs])) for k in range(1, order + 1)]
+        contexts = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([none[0]] + [packed.get((g, k + 1), none)[0] // a for g in self.langs])) for k in range(1, order + 1)]
         while order > 1 and (sum(map(len, contexts[: order + 1])) * a * len(self.langs) * 4 > TABLE_BYTES or a**order * 4 > TABLE_BYTES):
             order -= 1
         self.order = order

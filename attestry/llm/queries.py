@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate as leaks
-from attestry.llm import langid
+from attestry.llm import langid, licenses, pii, wrapper
 from attestry.llm.common import read_table
+from attestry.llm.embedding_dedup import embedding_dedup
 from attestry.llm.line_dedup import line_dedup
+from attestry.llm.ngram_join import ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op4_decontamination", r"""
 WITH RECURSIVE
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -72,3 +79,33 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~langid.is_held_out()))
     return langid.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score", "bits")
+
+
+@query("op3_personal_data")
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.of_kind("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select(
+        "doc_id", *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"),
+        pii.span_list(F.col("spans")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = F.transform("licenses", lambda x: F.concat_ws(":", x["template"], x["first_word"].cast("string"), x["end_word"].cast("string")))
+    return out.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["template"]))), ",").alias("templates"),
+        F.array_join(line, ",").alias("spans"))
+
+
+@query("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrapper.extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"))
+
+
+@query("op9_embedding_dedup")
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
