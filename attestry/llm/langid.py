@@ -90,7 +90,7 @@ class CodeTable:
                 out = base + np.where(known, -np.log2(np.where(known, distinct, 1) / whole), 0)[:, None].astype(np.float32)
                 out[at, codes % a] = -np.log2(n / whole[at])
                 self.bits[first[k] : first[k + 1], :, j] = out
-        self.bits = self.bits.reshape(-1, len(self.langs))
+        self.bits = self.bits.reshape(len(self.bits) * a, len(self.langs))
 
     def lengths(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Code length in bits of each text under each language."""

@@ -13,6 +13,8 @@ from attestry.llm.common import read_table
 from attestry.llm.embedding_dedup import embedding_dedup
 from attestry.llm.line_dedup import line_dedup
 from attestry.llm.ngram_join import ngram_join
+from attestry.llm.pieces import sample_pieces
+from attestry.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +30,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_sampled_pieces")
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sample_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ids_of=0)
+    fields = ["n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_sha256"]
+    return out.select(
+        "doc_id", F.size("segmentations").cast("long").alias("n_samples"), *[F.col(f"segmentations.{f}").alias(f) for f in fields],
+        F.coalesce(F.get("segmentations", F.lit(0))["decodes"], F.lit(True)).alias("decodes"))
+
+
 @query("op2_ngram_jaccard")
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -109,3 +120,9 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_embedding_dedup")
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

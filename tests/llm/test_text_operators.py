@@ -76,7 +76,8 @@ def test_product_of_blocks():
     rng = np.random.default_rng(2)
     base = np.sort(rng.choice(2**40, 9000, replace=False).astype(np.uint64))
     sets = [np.sort(rng.choice(base, size, replace=False)) for size in (9000, 8800, 7000, 8000, 8000, 50, 1)]
-    x, y = product(sets, sets, 85)
+    sizes = np.array([len(s) for s in sets])
+    x, y = np.nonzero(product(sets, sets, sizes, sizes, 85))
     want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
             if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))}
     assert set(zip(x.tolist(), y.tolist())) == want
