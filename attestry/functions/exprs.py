@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.session import BROADCAST_BYTES, materialize, small_enough
+
 
 def title_case(c: Column) -> Column:
     """Locale-aware title case: word starts are found after any punctuation.
@@ -91,13 +93,14 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Iterable[str], how:
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
-# A broadcast table may hold at most this many rows; beyond it Spark shuffles
-# both sides and splits skewed keys itself.
-BROADCAST_ROWS = 200_000
-
-
 def join_dimension(fact: DataFrame, dimension: DataFrame, on: str | list[str], how: str = "left",
-                   max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup table, broadcasting it only after its rows were counted."""
-    fits = dimension.limit(max_rows + 1).count() <= max_rows
-    return fact.join(F.broadcast(dimension) if fits else dimension, on=on, how=how)
+                   max_bytes: int = BROADCAST_BYTES, null_safe: bool = False) -> DataFrame:
+    """Join a lookup table, broadcasting it only after its stored rows were measured.
+
+    The lookup is computed once. ``null_safe`` lets NULL keys match NULL keys.
+    """
+    held = materialize(dimension, "dimension")
+    side = F.broadcast(held) if small_enough(held, max_bytes) else held
+    if null_safe:
+        return join_null_safe(fact, side, [on] if isinstance(on, str) else on, how)
+    return fact.join(side, on=on, how=how)

@@ -15,6 +15,7 @@ from attestry.functions.vocab import (
 )
 from attestry.operators import ranking
 from attestry.operators.reshape import widen_by_sex
+from attestry.session import materialize
 
 
 def drop_placeholders(df: DataFrame, names: Sequence[str] = PLACEHOLDERS) -> DataFrame:
@@ -151,7 +152,7 @@ def _key(c: str) -> Column:
     return F.round(F.col(c), KEY_DIGITS).asc_nulls_last()
 
 
-def balance_rank(profile: DataFrame, common_weight: int = 3, window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
+def balance_rank(profile: DataFrame, common_weight: int = 3, slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """International ranking: range, average and commonness ranks, weighted and ranked again.
 
     Every rank breaks ties by further keys and finally by the order before it,
@@ -165,12 +166,12 @@ def balance_rank(profile: DataFrame, common_weight: int = 3, window_rows: int =
                         "order_logratio"]),
         ("order_common", ["-weighted_frequency", _key("sd_logratio"), "order_mean"]),
         ("rank_order", [combined.asc(), "order_common"]),
-    ], window_rows)
+    ], slice_rows)
     return ranked.withColumn("combined_order", combined)
 
 
 def balance_rank_single(profile: DataFrame, last_key: str = "mean_logratio",
-                        window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
+                        slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """One-region ranking: plain sum of three ranks, ties by ``last_key``."""
     combined = F.col("order_logratio") + F.col("order_mean") + F.col("order_common")
     ranked = ranking.ordinal_ranks(weigh_commonness(profile, region_scaled=False), [
@@ -178,7 +179,7 @@ def balance_rank_single(profile: DataFrame, last_key: str = "mean_logratio",
         ("order_mean", [_key("mean_logratio"), _key("median_logratio"), _key("se_logratio"), "order_logratio"]),
         ("order_common", ["-weighted_frequency", "order_mean"]),
         ("rank_order", [combined.asc(), _key(last_key), "order_common"]),
-    ], window_rows)
+    ], slice_rows)
     return ranked.withColumn("combined_order", combined)
 
 
@@ -222,10 +223,10 @@ def unisex_dataset(df: DataFrame) -> DataFrame:
     """
     labels = {"F": "AFAB", "M": "AMAB"}
     long = df.select(
-        "year", "region", "number", "rank", "proportion",
+        "year", "region", "number", "rank", "proportion", F.lit(1).alias("attested"),
         sentence_case(F.col("name")).alias("name"), recode(F.col("asab"), labels, "X").alias("asab"),
     )
-    wide = widen_by_sex(long, ("number", "rank", "proportion"), fill=0, sexes=("AFAB", "AMAB", "X"))
+    wide = widen_by_sex(long, ("number", "rank", "proportion", "attested"), fill=0, sexes=("AFAB", "AMAB", "X"))
     # cells of a name number at most years x regions, so both windows stay small;
     # one shuffle on name serves them
     wide = widen_with_years(wide.repartition("name"))
@@ -239,13 +240,16 @@ def unisex_dataset(df: DataFrame) -> DataFrame:
 
 
 def widen_with_years(wide: DataFrame) -> DataFrame:
-    """Years attested per (name, region, sex), 0 on rows where the sex is missing."""
+    """Years attested per (name, region, sex), 0 on rows where the sex is missing.
+
+    A row attests its year whatever its count, be it unknown or 0.
+    """
     years = Window.partitionBy("name", "region")
     cols = {}
     for s in ("AFAB", "AMAB", "X"):
-        here = F.col(f"number_{s}") > 0
+        here = F.col(f"attested_{s}") == 1
         cols[f"year_count_{s}"] = F.when(here, F.count_if(here).over(years)).otherwise(F.lit(0))
-    return wide.withColumns(cols)
+    return wide.withColumns(cols).drop("attested_AFAB", "attested_AMAB", "attested_X")
 
 
 def _listed(df: DataFrame, names: DataFrame) -> DataFrame:
@@ -292,15 +296,16 @@ def international_unisex(df: DataFrame, names: DataFrame, min_ratio: float = 0.1
     )
 
 
-def columns_by_count(summary: DataFrame, max_count: int, drop_below: int = 4, prefix: str = "n",
-                     window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
+def columns_by_count(summary: DataFrame, drop_below: int = 4, prefix: str = "n",
+                     slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """Ragged table: one column per region count, names stacked alphabetically.
 
-    Columns under ``drop_below`` are left out, and so are rows that the first
-    remaining column does not reach.
+    There is a column for every count from ``drop_below`` to the largest found, and
+    rows that the first of them does not reach are left out.
     """
-    kept = summary.where(F.col("count").between(drop_below, max_count)).select("count", "name")
-    placed = ranking.ordinal_rank(kept, ["name"], ["count"], "position", window_rows=window_rows)
+    kept = materialize(summary.where(F.col("count") >= drop_below).select("count", "name"), "counts")
+    max_count = kept.agg(F.max("count")).first()[0] or drop_below
+    placed = ranking.ordinal_rank(kept, ["name"], ["count"], "position", slice_rows=slice_rows)
     columns = [F.max(F.when(F.col("count") == i, F.col("name"))).alias(f"{prefix}{i}")
                for i in range(drop_below, max_count + 1)]
     return placed.groupBy("position").agg(*columns).where(F.col(f"{prefix}{drop_below}").isNotNull())

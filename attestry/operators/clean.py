@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.exprs import (
-    join_dimension, join_null_safe, ratio, recode, sum_strict, title_case,
+    join_dimension, ratio, recode, sum_strict, title_case,
 )
 from attestry.operators import ranking
 
@@ -35,11 +35,12 @@ def share_of_group(df: DataFrame, keys: Sequence[str] = ("year", "asab"), measur
                    out: str = "proportion") -> DataFrame:
     """``measure`` over its group total, NULLs left out of the total.
 
-    Totals are aggregated with map-side combine and joined back, because a window
-    would put a whole (year, sex) group into one task.
+    Totals are aggregated with map-side combine, stored and joined back: a window
+    would put a whole (year, sex) group into one task, and so would a shuffle of
+    the rows on these keys. Small totals are broadcast.
     """
     totals = df.groupBy(*keys).agg(F.sum(measure).alias("__total"))
-    joined = join_null_safe(df, totals, keys, "left")
+    joined = join_dimension(df, totals, list(keys), null_safe=True)
     return joined.withColumn(out, ratio(F.col(measure), F.col("__total"))).drop("__total")
 
 
@@ -78,17 +79,17 @@ def share_with_total_fallback(df: DataFrame, total_births: DataFrame, population
 
 def rank_in_group(df: DataFrame, keys: Sequence[str] = ("year", "asab"), measure: str = "number",
                   ties: str = "first", tiebreak: Sequence[str] = ("name",), seed: int = 0,
-                  out: str = "rank", window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
+                  out: str = "rank", slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """Rank by descending ``measure``; an unknown count has an unknown rank.
 
     ``ties``: "first" (by ``tiebreak``), "average" (mean position, truncated) or
     "random" (seeded).
     """
     if ties == "average":
-        return ranking.average_rank(df, measure, keys, out, window_rows=window_rows)
+        return ranking.average_rank(df, measure, keys, out, slice_rows=slice_rows)
     if ties == "random":
-        return ranking.random_rank(df, measure, tiebreak[0], seed, keys, out, window_rows)
-    return ranking.ordinal_rank(df, [f"-{measure}", *tiebreak], keys, out, F.col(measure).isNull(), window_rows)
+        return ranking.random_rank(df, measure, tiebreak[0], seed, keys, out, slice_rows)
+    return ranking.ordinal_rank(df, [f"-{measure}", *tiebreak], keys, out, F.col(measure).isNull(), slice_rows)
 
 
 def drop_rows(df: DataFrame, predicates: Sequence[Column]) -> DataFrame:

@@ -18,7 +18,7 @@ from attestry.session import materialize
 POINTS_PER_TASK = 200_000
 
 
-def bandwidths(points: DataFrame, group: Sequence[str], window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
+def bandwidths(points: DataFrame, group: Sequence[str], slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """Normal-reference bandwidth per facet: 1.06 min(sd, IQR / 1.34) n^(-1/5) for x and y.
 
     ``points`` are distinct (x, y) per facet with their count ``w``.
@@ -33,7 +33,7 @@ def bandwidths(points: DataFrame, group: Sequence[str], window_rows: int = ranki
     )
     widths = {}
     for c in ("x", "y"):
-        quartiles = ranking.group_quantiles(points, c, {f"__low_{c}": 0.25, f"__high_{c}": 0.75}, group, window_rows, "w")
+        quartiles = ranking.group_quantiles(points, c, {f"__low_{c}": 0.25, f"__high_{c}": 0.75}, group, slice_rows, "w")
         stats = join_null_safe(stats, quartiles, group)
         iqr = (F.col(f"__high_{c}") - F.col(f"__low_{c}")) / 1.34
         widths[f"h_{c}"] = F.least(F.col(f"__sd_{c}"), iqr) * 1.06 * F.pow(F.col("n").cast("double"), F.lit(-0.2))
@@ -71,7 +71,7 @@ def _grid_sums(group: Sequence[str], xs: np.ndarray, ys: np.ndarray):
 
 def density2d(df: DataFrame, group: Sequence[str], x: str | Column, y: str | Column, xlim: tuple[float, float],
               ylim: tuple[float, float], grid: int = 100, bins: int = 10,
-              points_per_task: int = POINTS_PER_TASK, window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
+              points_per_task: int = POINTS_PER_TASK, slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """Density of (x, y) per facet on a ``grid`` x ``grid`` lattice, scaled to maximum 1 and cut into bins.
 
     Points outside the limits are left out first. Equal points are counted
@@ -83,7 +83,7 @@ def density2d(df: DataFrame, group: Sequence[str], x: str | Column, y: str | Col
     points = points.where(F.col("x").between(*xlim) & F.col("y").between(*ylim))
     # read several times below
     weighted = materialize(points.groupBy(*group, "x", "y").agg(F.count("*").alias("w")))
-    widths = materialize(bandwidths(weighted, group, window_rows).where((F.col("h_x") > 0) & (F.col("h_y") > 0)))
+    widths = materialize(bandwidths(weighted, group, slice_rows).where((F.col("h_x") > 0) & (F.col("h_y") > 0)))
     ready = join_null_safe(weighted, widths, group)
     tasks = F.ceil(F.col("n") / F.lit(points_per_task))
     salt = F.pmod(F.xxhash64("x", "y"), tasks)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.operators.models import ONE_TASK_ROWS, Fit, expand_terms, logistic, poisson_loglinear
+from attestry.operators.models import Fit, expand_terms, logistic, poisson_loglinear
 
 # Factor combinations one participant's row may hold.
 MAX_PATTERNS = 400
@@ -186,11 +186,10 @@ def random_intercept_glm(df: DataFrame, response: str, terms: Sequence[str], lev
     x = x[:, used]
     held = participant_profiles(known, participant, combos, outcome, size).cache()
     try:
-        profiles = held.coalesce(1) if held.count() <= ONE_TASK_ROWS // len(combos) else held
         start = np.array([*[first.estimates[j] for j in used], math.log(0.5)])
         inverse = np.diag(np.array([*[first.errors[j] for j in used], 0.3]) ** 2)
-        at, value = _maximise(profiles, x, start, inverse, family, max_steps)
-        errors = _errors(profiles, x, at, family)
+        at, value = _maximise(held, x, start, inverse, family, max_steps)
+        errors = _errors(held, x, at, family)
     finally:
         held.unpersist()
     sd = math.exp(at[-1])

@@ -97,17 +97,12 @@ class Fit:
         return len(self.labels)
 
 
-# Design tables up to this size are iterated over in one partition.
-ONE_TASK_ROWS = 50_000
-
-
 @contextmanager
 def _held(table: DataFrame) -> Iterator[tuple[DataFrame, int]]:
-    """Keep a design table in memory while models iterate over it; small ones in one partition."""
+    """Keep a design table in memory while models iterate over it; its partitions follow its size."""
     held = table.cache()
     try:
-        rows = held.count()
-        yield (held.coalesce(1) if rows <= ONE_TASK_ROWS else held), rows
+        yield held, held.count()
     finally:
         held.unpersist()
 

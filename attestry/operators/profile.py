@@ -57,9 +57,9 @@ def _summaries(column: str) -> list[Column]:
     ]
 
 
-def _distribution(totals: DataFrame, column: str, by: Sequence[str], window_rows: int) -> DataFrame:
+def _distribution(totals: DataFrame, column: str, by: Sequence[str], slice_rows: int) -> DataFrame:
     """Summary statistics per group; the median comes from counted values, as groups are unbounded."""
-    medians = ranking.group_quantiles(totals, column, {"median": 0.5}, by, window_rows)
+    medians = ranking.group_quantiles(totals, column, {"median": 0.5}, by, slice_rows)
     return join_null_safe(totals.groupBy(*by).agg(*_summaries(column)), medians, by, "left")
 
 
@@ -67,25 +67,25 @@ def name_totals(df: DataFrame, by: Sequence[str] = ("region", "name", "asab")) -
     return df.groupBy(*by).agg(sum_strict(F.col("number")).alias("total"))
 
 
-def total_distribution(df: DataFrame, window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
+def total_distribution(df: DataFrame, slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """How names' totals are distributed per (region, sex)."""
-    return _distribution(name_totals(df), "total", ["region", "asab"], window_rows)
+    return _distribution(name_totals(df), "total", ["region", "asab"], slice_rows)
 
 
 def coverage_distribution(df: DataFrame, min_total: int = 1, placeholders: Sequence[str] = ("Baby",),
-                          window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
+                          slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """How names' totals are distributed per number of regions they occur in."""
     per_region = name_totals(df.where(not_in(F.col("name"), placeholders)), ("name", "region"))
     per_name = per_region.where(F.col("total") > min_total).groupBy("name").agg(
         F.sum("total").alias("total"), F.count("*").alias("regions"),
     )
-    return _distribution(per_name, "total", ["regions"], window_rows)
+    return _distribution(per_name, "total", ["regions"], slice_rows)
 
 
-def above_median(df: DataFrame, window_rows: int = ranking.WINDOW_ROWS) -> DataFrame:
+def above_median(df: DataFrame, slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """Rows whose count exceeds the median of name totals of their (region, sex)."""
     keys = ["region", "asab"]
-    medians = ranking.group_quantiles(name_totals(df), "total", {"median": 0.5}, keys, window_rows)
+    medians = ranking.group_quantiles(name_totals(df), "total", {"median": 0.5}, keys, slice_rows)
     return join_null_safe(df, medians, keys).where(F.col("number") > F.col("median"))
 
 

@@ -1,9 +1,10 @@
 """Order-dependent statistics that survive one group holding most of the rows.
 
-A window partitioned by the group puts the whole group into one task. Here that
-is done only when the counted table is small. Otherwise rows are range-partitioned
-on (group, order), numbered inside each slice, and shifted by the totals of the
-slices before it, so a hot group is spread over many tasks.
+A window partitioned by the group puts the whole group into one task. Here rows
+are range-partitioned on (group, order) into slices of a bounded size, numbered
+inside each slice, and shifted by the totals of the slices before it, so a hot
+group is spread over many tasks. The plan is the same for every size; only the
+number of slices follows the rows.
 """
 
 from __future__ import annotations
@@ -13,93 +14,93 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.exprs import join_null_safe, nulls_last
+from attestry.functions.exprs import join_dimension, join_null_safe, nulls_last
 from attestry.session import materialize
 
-# Up to this many rows one task sorts a whole group comfortably.
-WINDOW_ROWS = 1_000_000
+# Rows of a slice, and the slices that even a small table is cut into.
+SLICE_ROWS, LEAST_SLICES = 500_000, 4
 
 _SLICE = "__slice"
 _BEFORE = "__before"
 
 
 def running_total(df: DataFrame, order: Sequence[str | Column], weight: Column, by: Sequence[str] = (),
-                  out: str = "running", window_rows: int = WINDOW_ROWS) -> DataFrame:
+                  out: str = "running", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Cumulative sum of ``weight`` along ``order`` inside each ``by`` group.
 
-    ``order`` has to identify rows uniquely inside a group.
+    ``order`` has to identify rows uniquely inside a group. The rows are stored
+    before they are cut, so that both passes see the same ones; their number is
+    read from the files' footers.
     """
-    return _accumulate(materialize(df), order, weight, by, out, window_rows)
+    staged = materialize(df, "unranked")
+    return _accumulate(staged, order, weight, by, out, max(LEAST_SLICES, -(-staged.count() // slice_rows)))
 
 
-def _accumulate(staged: DataFrame, order, weight, by, out, window_rows, rows=None) -> DataFrame:
+def _accumulate(staged: DataFrame, order, weight, by, out, slices: int) -> DataFrame:
     keys = nulls_last(*order)
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    if (staged.count() if rows is None else rows) <= window_rows:
-        return staged.withColumn(out, F.sum(weight).over(Window.partitionBy(*by).orderBy(*keys).rowsBetween(*upto)))
     ranged = materialize(
-        staged.repartitionByRange(*[F.col(k) for k in by], *keys).withColumn(_SLICE, F.spark_partition_id())
+        staged.repartitionByRange(slices, *[F.col(k) for k in by], *keys).withColumn(_SLICE, F.spark_partition_id()), "slices"
     )
-    slices = ranged.groupBy(*by, _SLICE).agg(F.sum(weight).alias("__total"))
+    totals = ranged.groupBy(*by, _SLICE).agg(F.sum(weight).alias("__total"))
     earlier = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = slices.select(*by, _SLICE, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias(_BEFORE))
-    local = Window.partitionBy(_SLICE, *by).orderBy(*keys).rowsBetween(*upto)
+    shifts = totals.select(*by, _SLICE, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias(_BEFORE))
+    local = Window.partitionBy(_SLICE, *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = ranged.withColumn(out, F.sum(weight).over(local))
     return (
-        join_null_safe(numbered, shifts, [_SLICE, *by])
+        join_dimension(numbered, shifts, [_SLICE, *by], "inner", null_safe=True)
         .withColumn(out, F.col(out) + F.col(_BEFORE))
         .drop(_SLICE, _BEFORE)
     )
 
 
 def ordinal_rank(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "rank",
-                 null_when: Column | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
+                 null_when: Column | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """1..n along ``order`` inside each ``by`` group; rows matching ``null_when`` get NULL.
 
     Rows that get NULL must sort last, which NULL sort keys do.
     """
-    ranked = running_total(df, order, F.lit(1), by, out, window_rows)
+    ranked = running_total(df, order, F.lit(1), by, out, slice_rows)
     value = F.col(out).cast("int")
     return ranked.withColumn(out, value if null_when is None else F.when(~null_when, value))
 
 
 def ordinal_ranks(df: DataFrame, steps: Sequence[tuple[str, Sequence[str | Column]]],
-                  window_rows: int = WINDOW_ROWS) -> DataFrame:
+                  slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Several global ranks, each step free to use the ranks of the steps before it.
 
     An order entry may be a column expression over earlier ranks.
     """
-    staged = materialize(df)
-    rows = staged.count()
+    staged = materialize(df, "unranked")
+    slices = max(LEAST_SLICES, -(-staged.count() // slice_rows))
     for out, order in steps:
-        staged = _accumulate(staged, order, F.lit(1), (), out, window_rows, rows)
+        staged = _accumulate(staged, order, F.lit(1), (), out, slices)
         staged = staged.withColumn(out, F.col(out).cast("int"))
     return staged
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", descending: bool = True,
-                 truncate: bool = True, window_rows: int = WINDOW_ROWS) -> DataFrame:
+                 truncate: bool = True, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rank in which ties share their mean position, cut to an integer by default.
 
     Works on the counts per distinct value, so ties never travel row by row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__ties"))
     order = [f"-{value}" if descending else value]
-    placed = running_total(counts, order, F.col("__ties"), by, "__last", window_rows)
+    placed = running_total(counts, order, F.col("__ties"), by, "__last", slice_rows)
     mean = F.col("__last") - (F.col("__ties") - 1) / F.lit(2.0)
     placed = placed.select(*by, value, (mean.cast("int") if truncate else mean).alias(out))
     return join_null_safe(df, placed, [*by, value], "left")
 
 
 def random_rank(df: DataFrame, value: str, tiebreak: str, seed: int, by: Sequence[str] = (), out: str = "rank",
-                window_rows: int = WINDOW_ROWS) -> DataFrame:
+                slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Descending rank with ties broken by a seeded hash, so a rerun gives the same order."""
-    shuffled = F.xxhash64(F.col(tiebreak), F.lit(seed)).asc()
-    return ordinal_rank(df, [f"-{value}", shuffled, tiebreak], by, out, F.col(value).isNull(), window_rows)
+    shuffled = F.md5(F.concat(F.col(tiebreak), F.lit(str(seed)))).asc_nulls_last()
+    return ordinal_rank(df, [f"-{value}", shuffled, tiebreak], by, out, F.col(value).isNull(), slice_rows)
 
 
 def group_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-                    window_rows: int = WINDOW_ROWS, weight: str | None = None) -> DataFrame:
+                    slice_rows: int = SLICE_ROWS, weight: str | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probs``.
 
     Distinct values are counted first (rows may already stand for ``weight``
@@ -108,10 +109,10 @@ def group_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     """
     if not by:
         one_group = df.withColumn("__all", F.lit(0))
-        return group_quantiles(one_group, value, probs, ("__all",), window_rows, weight).drop("__all")
+        return group_quantiles(one_group, value, probs, ("__all",), slice_rows, weight).drop("__all")
     n = F.count("*") if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("__n"))
-    placed = running_total(counts, [value], F.col("__n"), by, "__upto", window_rows)
+    placed = running_total(counts, [value], F.col("__n"), by, "__upto", slice_rows)
     sizes = placed.groupBy(*by).agg(F.sum("__n").alias("__size"))
     placed = join_null_safe(placed, sizes, by)
     picks, finals = [], []

@@ -14,6 +14,7 @@ from attestry.functions.vocab import (
 )
 from attestry.operators.balance import log_scaled_share
 from attestry.operators.reshape import pivot_values
+from attestry.session import materialize
 
 _PERSON = ["participant", "status", "version"]
 _RENAMED = {
@@ -100,14 +101,16 @@ def ethnicity_recode(ratings: DataFrame) -> DataFrame:
     return ratings.withColumn("ethnicity_cat", recode(F.lower("ethnicity"), ETHNICITY_CATEGORIES, "white"))
 
 
-def demographic_crosstab(ratings: DataFrame, genders: Sequence[str], per_person: int = 51) -> DataFrame:
-    """Participants (ratings / ratings per person) by ethnicity and area, one column per gender, 0 if none."""
-    coded = participant_area(ethnicity_recode(ratings))
-    cells = [
-        (F.count_if(F.col("gender_cat") == g) / F.lit(float(per_person))).alias(g.lower().replace(" ", "_"))
-        for g in genders
-    ]
-    return coded.groupBy("ethnicity_cat", "area").agg(*cells)
+def demographic_crosstab(ratings: DataFrame, per_person: int = 51) -> DataFrame:
+    """Participants (ratings / ratings per person) by ethnicity and area, one column per answer given, 0 if none.
+
+    The answers are taken from the data; a missing one is counted as ``no_answer``.
+    """
+    coded = materialize(participant_area(ethnicity_recode(ratings)).select("ethnicity_cat", "area", "gender_cat"), "crosstab")
+    answers = sorted(r[0] for r in coded.select("gender_cat").distinct().collect() if r[0] is not None)
+    cells = [(F.count_if(F.col("gender_cat") == g), g.lower().replace(" ", "_")) for g in answers]
+    cells.append((F.count_if(F.col("gender_cat").isNull()), "no_answer"))
+    return coded.groupBy("ethnicity_cat", "area").agg(*[(n / F.lit(float(per_person))).alias(out) for n, out in cells])
 
 
 def population_vs_ratings(cells: DataFrame, ratings: DataFrame, since: int = 1950, offset: int = 0,

@@ -102,14 +102,60 @@ def _(spark, sf):
     return spark.createDataFrame([(fit.df_residual, abs(fit.deviance), fit.rows)], "df_residual INT, deviance DOUBLE, rows BIGINT")
 
 
-@query("poisson_contrasts")
+# The saturated model of sixteen cells: with contrasts lo and hi, a factor's mean
+# weighs its cells by hi and -lo, and its slope by -1 and 1, as hi - lo is 1.
+_CODED = {"subject": ("subject", 0.3333, 0.6667), "l1": ("l1[Spanish]", 1.0, 0.0), "gender": ("gender", 0.25, 0.75), "picture": ("picture", 0.3333, 0.6667)}
+_CONTRAST_WEIGHT = " * ".join(
+    f"CASE t_{f} WHEN 1 THEN 2 * {f} - 1 ELSE CASE {f} WHEN 1 THEN {hi}::DOUBLE ELSE {lo}::DOUBLE END END" for f, (_, lo, hi) in _CODED.items())
+_CONTRAST_LABEL = ", ".join(f"CASE t_{f} WHEN 1 THEN '{label}' END" for f, (label, _, _) in _CODED.items())
+_CHOICES = ", ".join(f"(VALUES (0), (1)) AS c_{f}(t_{f})" for f in _CODED)
+
+
+def _erfc(x: str) -> str:
+    """erfc of a non-negative expression, to 1.5e-7."""
+    t = f"(1 / (1 + 0.3275911 * ({x})))"
+    return f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({x}) * ({x})))"
+
+
+def _with_tests(coefficients: str) -> str:
+    return f"SELECT term, estimate, se, z, {_erfc('abs(z) / sqrt(2)')} AS p FROM (SELECT *, estimate / se AS z FROM ({coefficients}) AS k) AS e"
+
+
+@query("poisson_contrasts", _with_tests(f"""
+SELECT coalesce(nullif(concat_ws(':', {_CONTRAST_LABEL}), ''), '(Intercept)') AS term, sum(w * y) AS estimate, sqrt(sum(w * w * v)) AS se FROM (
+SELECT *, {_CONTRAST_WEIGHT} AS w FROM (
+SELECT CASE WHEN subject <> 'They' THEN 0 ELSE 1 END AS subject, CASE l1 WHEN 'Spanish' THEN 1 ELSE 0 END AS l1,
+       CASE WHEN gender_coarse <> 'nonbinary' THEN 0 ELSE 1 END AS gender, CASE WHEN picture <> 'nonbinary / other' THEN 0 ELSE 1 END AS picture,
+       ln(count(*)) AS y, 1 / count(*) AS v FROM analysis GROUP BY 1, 2, 3, 4) AS c, {_CHOICES}) AS weighted
+GROUP BY {', '.join(f't_{f}' for f in _CODED)}"""), "analysis", approx="estimate se z p", digits=4)
 def _(spark, sf):
     coded = experiment.contrast_code(analysis(spark, sf))
     fit = models.poisson_loglinear(coded, ["subject * l1 * gender * picture"], {"l1": LEVELS["l1"]})
     return models.coefficient_table(spark, fit)
 
 
-@query("compare_models")
+# proportional fitting of the three pairwise margins, and the tail of chi-square for the degrees of freedom that occur
+_PAIRWISE = """
+WITH RECURSIVE ipf(subject, l1, gender_coarse, n, fit, k) AS (
+SELECT subject, l1, gender_coarse, n, 1.0::DOUBLE, 0 FROM table3
+UNION ALL SELECT subject, l1, gender_coarse, n, fit * sum(n) OVER (PARTITION BY l1, gender_coarse) / sum(fit) OVER (PARTITION BY l1, gender_coarse), k + 1
+FROM (SELECT subject, l1, gender_coarse, n, k, fit * sum(n) OVER (PARTITION BY subject, gender_coarse) / sum(fit) OVER (PARTITION BY subject, gender_coarse) AS fit
+FROM (SELECT subject, l1, gender_coarse, n, k, fit * sum(n) OVER (PARTITION BY subject, l1) / sum(fit) OVER (PARTITION BY subject, l1) AS fit FROM ipf WHERE k < 60) AS a) AS b)
+SELECT 'pairwise' AS model, 6 AS df_residual, 2 * sum(n * ln(n / fit) - (n - fit)) AS deviance FROM ipf WHERE k = 60"""
+_HALF = "(greatest(deviance, 0) / 2)"
+_TAIL = f"""CASE WHEN deviance <= 0 THEN 1 ELSE CASE df WHEN 1 THEN {_erfc(f'sqrt{_HALF}')} WHEN 2 THEN exp(-{_HALF})
+WHEN 3 THEN {_erfc(f'sqrt{_HALF}')} + 2 * sqrt({_HALF} / pi()) * exp(-{_HALF}) WHEN 6 THEN exp(-{_HALF}) * (1 + {_HALF} + {_HALF} ** 2 / 2) END END"""
+_PAIR_ROWS = ", ".join(f"('{name}', '{a}', '{b}')" for name, (a, b) in models.loglinear_pairs(*FACTORS).items())
+
+
+@query("compare_models", f"""
+SELECT comparison, small_df, small_deviance, large_df, large_deviance, df, deviance, {_TAIL} AS p FROM (
+SELECT k.name AS comparison, b.df_residual AS small_df, b.deviance AS small_deviance, a.df_residual AS large_df, a.deviance AS large_deviance,
+       b.df_residual - a.df_residual AS df, b.deviance - a.deviance AS deviance
+FROM (VALUES {_PAIR_ROWS}) AS k(name, large, small)
+JOIN ({_DEVIANCES} UNION ALL SELECT * FROM ({_PAIRWISE}) AS w) AS a ON a.model = k.large
+JOIN ({_DEVIANCES} UNION ALL SELECT * FROM ({_PAIRWISE}) AS w) AS b ON b.model = k.small) AS q""", "table3",
+       approx="small_deviance large_deviance deviance p", digits=3)
 def _(spark, sf):
     fits = _ladder(spark, sf)
     pairs = {name: (fits[x], fits[y]) for name, (x, y) in models.loglinear_pairs(*FACTORS).items()}
@@ -152,7 +198,17 @@ def _(spark, sf):
     return models.coefficient_table(spark, fit).select("term", "estimate", "se")
 
 
-@query("logistic_three_factors")
+_THIRD = {"l1": "English", "gender_coarse": "man", "picture": "feminine"}
+
+
+@query("logistic_three_factors", _with_tests(f"""
+WITH c AS (
+SELECT l1, gender_coarse, picture, ln(s / (n - s)) AS logit, 1 / s + 1 / (n - s) AS v FROM (
+SELECT l1, gender_coarse, picture, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE subject <> 'He') AS DOUBLE) AS s FROM analysis GROUP BY ALL) AS t)
+SELECT coalesce(nullif(concat_ws(':', {', '.join(f"CASE WHEN t.{f} <> '{r}' THEN '{f}[' || t.{f} || ']' END" for f, r in _THIRD.items())}), ''), '(Intercept)') AS term,
+       sum({' * '.join(f"CASE WHEN c.{f} = t.{f} THEN 1 ELSE -1 END" for f in _THIRD)} * c.logit) AS estimate, sqrt(sum(c.v)) AS se
+FROM c AS t JOIN c ON {' AND '.join(f"(c.{f} = t.{f} OR c.{f} = '{r}')" for f, r in _THIRD.items())}
+GROUP BY {', '.join(f't.{f}' for f in _THIRD)}"""), "analysis", approx="estimate se z p", digits=4)
 def _(spark, sf):
     fit = models.logistic(analysis(spark, sf), "subject", ["l1 * gender_coarse * picture"], LEVELS)
     return models.coefficient_table(spark, fit)

@@ -24,22 +24,26 @@ cte("two", """
 SELECT year, name, CASE WHEN asab = 'F' THEN 'F' ELSE 'M' END AS asab, CAST(sum(number) AS BIGINT) AS number FROM reg GROUP BY ALL""", "reg")
 cte("two_ranked", """
 SELECT *, CAST(row_number() OVER (PARTITION BY year, asab ORDER BY number DESC, name) AS INTEGER) AS rank FROM two""", "two")
-_YEARS = ", ".join(f"({y})" for y in st.YEARS)
 
 
-@query("unpivot_year_type", f"""
-SELECT n.name AS "Name", y.year, r.rank, r.number FROM (SELECT DISTINCT name FROM two WHERE asab = 'F') AS n
-CROSS JOIN (VALUES {_YEARS}) AS y(year) LEFT JOIN two_ranked AS r ON r.name = n.name AND r.year = y.year AND r.asab = 'F'""", "two_ranked")
+@query("unpivot_year_type", """
+SELECT n.asab, n.name AS "Name", y.year, r.rank, r.number FROM (SELECT DISTINCT asab, name FROM two) AS n
+CROSS JOIN (SELECT DISTINCT year FROM two) AS y LEFT JOIN two_ranked AS r ON r.name = n.name AND r.year = y.year AND r.asab = n.asab""", "two_ranked")
 def _(spark, sf):
-    grid = st.year_grid(_two(spark, sf), "F")
-    return reshape.unpivot_year_type(grid, ["Name"], {"Rank": ("rank", "int"), "Count": ("number", "bigint")})
+    lists = materialize(_two(spark, sf))
+    rows = [
+        reshape.unpivot_year_type(st.year_grid(lists, sex, st.years(sf)), ["Name"], {"Rank": ("rank", "int"), "Count": ("number", "bigint")})
+        .withColumn("asab", F.lit(sex)) for sex in ("F", "M")]
+    return rows[0].unionByName(rows[1])
 
 
-@query("unpivot_alternating", f"""
-SELECT k.rank, y.year, r.name, CAST(r.number AS VARCHAR) AS number FROM (SELECT DISTINCT rank FROM two_ranked WHERE asab = 'M' AND rank <= 100) AS k
-CROSS JOIN (VALUES {_YEARS}) AS y(year) LEFT JOIN two_ranked AS r ON r.rank = k.rank AND r.year = y.year AND r.asab = 'M'""", "two_ranked")
+@query("unpivot_alternating", """
+SELECT k.asab, k.rank, y.year, r.name, CAST(r.number AS VARCHAR) AS number FROM (SELECT DISTINCT asab, rank FROM two_ranked) AS k
+CROSS JOIN (SELECT DISTINCT year FROM two) AS y LEFT JOIN two_ranked AS r ON r.rank = k.rank AND r.year = y.year AND r.asab = k.asab""", "two_ranked")
 def _(spark, sf):
-    return reshape.unpivot_alternating(st.alternating_grid(_two(spark, sf), "M"))
+    lists = materialize(_two(spark, sf))
+    rows = [reshape.unpivot_alternating(st.alternating_grid(lists, sex, st.years(sf))).withColumn("asab", F.lit(sex)) for sex in ("F", "M")]
+    return rows[0].unionByName(rows[1])
 
 
 @query("unpivot_sex_pairs", """
@@ -52,21 +56,21 @@ def _(spark, sf):
 
 
 @query("pivot_indicator", """
-SELECT user_id, max(value) FILTER (WHERE event_type = 'view') AS view, max(value) FILTER (WHERE event_type = 'click') AS click,
-       max(value) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY user_id""")
+SELECT event_id, user_id, max(value) FILTER (WHERE event_type = 'view') AS view, max(value) FILTER (WHERE event_type = 'click') AS click,
+       max(value) FILTER (WHERE event_type = 'purchase') AS purchase, max(value) FILTER (WHERE event_type = 'signup') AS signup,
+       max(value) FILTER (WHERE event_type = 'error') AS error FROM events GROUP BY event_id, user_id""")
 def _(spark, sf):
-    events = st.table(spark, sf, "events").select("user_id", "event_type", "value")
-    return reshape.pivot_indicator(events, ["user_id"], "event_type", "value",
-                                   {"view": "view", "click": "click", "purchase": "purchase"})
+    events = st.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    return reshape.pivot_indicator(events, ["event_id", "user_id"], "event_type", "value", {k: k for k in st.OBJECTS})
 
 
 @query("pivot_conversations", """
-SELECT conv_id, max(text) FILTER (WHERE role = 'system') AS system,
+SELECT conv_id, turn, max(text) FILTER (WHERE role = 'system') AS system,
        max(text) FILTER (WHERE role = 'user') AS "user", max(text) FILTER (WHERE role = 'assistant') AS assistant
-FROM conversations GROUP BY conv_id""")
+FROM conversations GROUP BY conv_id, turn""")
 def _(spark, sf):
-    turns = st.table(spark, sf, "conversations").select("conv_id", "role", "text")
-    return reshape.pivot_values(turns, ["conv_id"], "role", "text",
+    turns = st.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return reshape.pivot_values(turns, ["conv_id", "turn"], "role", "text",
                                 {"system": "system", "user": "user", "assistant": "assistant"}, F.max)
 
 
@@ -145,7 +149,9 @@ def _(spark, sf):
     return clean.rank_in_group(st.attestations(spark, sf), ["region", "year", "asab"], ties="average")
 
 
-@query("rank_random")
+@query("rank_random", """
+SELECT *, CAST(row_number() OVER (PARTITION BY region, year, asab ORDER BY number DESC, md5(name || '231'), name) AS INTEGER) AS rank
+FROM attest""", "attest")
 def _(spark, sf):
     return clean.rank_in_group(st.attestations(spark, sf), ["region", "year", "asab"], ties="random", seed=231)
 
@@ -190,7 +196,7 @@ IRELAND = f"SELECT {_columns('Ireland')} FROM {_TWO} AS t"
 
 def new_zealand(condition: str) -> str:
     return f"""SELECT * FROM (SELECT {_columns('New Zealand', rank='rank', proportion=_FALLBACK)}
-FROM (SELECT *, {_RANK} AS rank FROM {_TWO} AS t) AS r LEFT JOIN births_since USING (year) WHERE rank <= 100) AS z WHERE {condition}"""
+FROM (SELECT *, {_RANK} AS rank FROM {_TWO} AS t) AS r LEFT JOIN births_since USING (year)) AS z WHERE {condition}"""
 
 
 _ARTIFACT = (1998, 100, "Red Ring Brand#1")
@@ -232,8 +238,8 @@ def australia(source: str) -> str:
 class Rows:
     """One register's rows in the forms the layouts start from, each made when first asked for."""
 
-    def __init__(self, rows, ranked=None, ranked_two=None):
-        self.rows = rows
+    def __init__(self, rows, years, ranked=None, ranked_two=None):
+        self.rows, self.years = rows, years
         self._ranked, self._two = ranked, ranked_two
 
     @property
@@ -249,7 +255,7 @@ class Rows:
         return self._two
 
 
-def split_by(rows, unit: str) -> dict[int, Rows]:
+def split_by(rows, unit: str, years) -> dict[int, Rows]:
     """The registers of every ``unit`` value, ranked together instead of one by one."""
     summed = materialize(rows.groupBy(unit, "year", "name", "asab").agg(F.sum("number").alias("number")))
     three = materialize(st.ranked(summed, (unit,)))
@@ -258,7 +264,7 @@ def split_by(rows, unit: str) -> dict[int, Rows]:
     def part(df, i):
         return df.where(F.col(unit) == i).drop(unit)
 
-    return {i: Rows(part(summed, i), part(three, i), part(two, i)) for i in range(8)}
+    return {i: Rows(part(summed, i), years, part(three, i), part(two, i)) for i in range(8)}
 
 
 def usa_of(r: Rows, b):
@@ -270,7 +276,7 @@ def canada_of(r: Rows):
 
 
 def england_wales_of(r: Rows):
-    return reg.names_england_wales(st.year_grid(r.two, "M"), st.year_grid(r.two, "F"))
+    return reg.names_england_wales(st.year_grid(r.two, "M", r.years), st.year_grid(r.two, "F", r.years))
 
 
 def northern_ireland_of(rows, b):
@@ -286,7 +292,7 @@ def ireland_of(r: Rows):
 
 
 def new_zealand_of(r: Rows, b, mode="reference"):
-    grids = [st.alternating_grid(r.two, sex) for sex in ("M", "F")]
+    grids = [st.alternating_grid(r.two, sex, r.years) for sex in ("M", "F")]
     return reg.names_new_zealand(*grids, st.births_by_sex_since(b), mode, _ARTIFACT)
 
 
@@ -306,15 +312,15 @@ STATE_BUILDERS = {
 }
 
 
-def australia_of(rows, b):
-    units = split_by(rows, "state")
+def australia_of(rows, b, years):
+    units = split_by(rows, "state", years)
     states = [build(units[i]) for i, build in enumerate(STATE_BUILDERS.values(), 1)]
     by_sex = clean.remap_births(st.official_births(b))
     return reg.names_australia(states, by_sex, b.select("year", F.col("total").alias("population")))
 
 
 def _whole(spark, sf) -> Rows:
-    return Rows(st.register_rows(spark, sf))
+    return Rows(st.register_rows(spark, sf), st.years(sf))
 
 
 def _register(name: str, sql: str, uses: str, build) -> None:
@@ -343,7 +349,7 @@ for _key, _name in _STATE_QUERIES.items():
 @query("names_australia", australia("country"), "country births_since")
 def _(spark, sf):
     # seven branches read these rows
-    return australia_of(materialize(st.country_rows(spark, sf)), materialize(st.births(spark, sf)))
+    return australia_of(materialize(st.country_rows(spark, sf)), materialize(st.births(spark, sf)), st.years(sf))
 
 
 _COUNTRIES = [("australia", None), ("canada", CANADA), ("england_wales", ENGLAND_WALES), ("ireland", IRELAND),
@@ -357,9 +363,9 @@ _UNION = " UNION ALL ".join(
 def _(spark, sf):
     places, b = materialize(st.country_rows(spark, sf)), materialize(st.births(spark, sf))
 
-    country = split_by(places, "country")
+    country = split_by(places, "country", st.years(sf))
     return reg.names_combined([
-        australia_of(places.where(F.col("country") == 0), b), canada_of(country[1]), england_wales_of(country[2]),
+        australia_of(places.where(F.col("country") == 0), b, st.years(sf)), canada_of(country[1]), england_wales_of(country[2]),
         ireland_of(country[3]), northern_ireland_of(country[4].rows, b), new_zealand_of(country[5], b),
         scotland_of(country[6]), usa_of(country[7], b),
     ])

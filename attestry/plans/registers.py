@@ -107,14 +107,14 @@ def names_ireland(boys: DataFrame, girls: DataFrame) -> DataFrame:
 
 def names_new_zealand(boys: DataFrame, girls: DataFrame, births: DataFrame, mode: str = "reference",
                       artifact: tuple[int, int, str] = (1988, 100, "Michael")) -> DataFrame:
-    """Top-100 grids with alternating name and count columns.
+    """Grids of top lists with alternating name and count columns; cells without a name are no rows.
 
     One record appears twice. ``mode="reference"`` removes everything that shares
     its year, its rank or its name, as published; ``mode="intended"`` removes the
     record alone.
     """
     parts = [unpivot_alternating(grid).withColumn("asab", F.lit(sex)) for grid, sex in ((boys, "M"), (girls, "F"))]
-    rows = clean.normalize_name(reduce(DataFrame.unionByName, parts)).withColumn(
+    rows = clean.normalize_name(reduce(DataFrame.unionByName, parts).where(F.col("name").isNotNull())).withColumn(
         "number", F.col("number").try_cast("double"))
     shared = clean.share_with_group_fallback(rows, births)
     year, rank, name = artifact

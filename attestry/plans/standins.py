@@ -18,8 +18,6 @@ from attestry.functions.vocab import DEMOGRAPHIC_FIELDS, GENDER_COARSE
 from attestry.operators import clean
 from attestry.session import materialize
 
-YEARS = range(1995, 2002)
-
 REGIONS = {
     "AFRICA": "Australia",
     "AMERICA": "USA",
@@ -144,25 +142,33 @@ def canada_layout(ranked_rows: DataFrame, geo: str = "Canada") -> DataFrame:
     )
 
 
-def year_grid(ranked_two: DataFrame, sex: str) -> DataFrame:
+@lru_cache(maxsize=None)
+def years(sf_dir: str) -> tuple[int, ...]:
+    """All years of the line items: they head the columns of the published grids."""
+    items = table(SparkSession.active(), sf_dir, "lineitem")
+    found = items.select(F.year("l_shipdate").alias("year")).distinct().where("year IS NOT NULL").collect()
+    return tuple(sorted(r["year"] for r in found))
+
+
+def year_grid(ranked_two: DataFrame, sex: str, years: tuple[int, ...]) -> DataFrame:
     """``Name, 1995 Rank, 1995 Count, ...`` for one sex."""
     cells = []
-    for y in YEARS:
+    for y in years:
         here = F.col("year") == y
         cells.append(F.max(F.when(here, F.col("rank"))).alias(f"{y} Rank"))
         cells.append(F.max(F.when(here, F.col("number"))).alias(f"{y} Count"))
     return ranked_two.where(F.col("asab") == sex).groupBy(F.col("name").alias("Name")).agg(*cells)
 
 
-def alternating_grid(ranked_two: DataFrame, sex: str, top: int = 100) -> DataFrame:
-    """``Rank, x1995...2, x1995...3, ...``: the published top list of one sex."""
+def alternating_grid(ranked_two: DataFrame, sex: str, years: tuple[int, ...]) -> DataFrame:
+    """``Rank, x1995...2, x1995...3, ...``: the list of one sex, all ranks of it."""
     cells, position = [], 2
-    for y in YEARS:
+    for y in years:
         here = F.col("year") == y
         for c in ("name", "number"):
             cells.append(F.max(F.when(here, F.col(c))).alias(f"x{y}...{position}"))
             position += 1
-    return ranked_two.where((F.col("asab") == sex) & (F.col("rank") <= top)).groupBy("rank").agg(*cells)
+    return ranked_two.where(F.col("asab") == sex).groupBy("rank").agg(*cells)
 
 
 def northern_ireland_layout(rows: DataFrame) -> DataFrame:

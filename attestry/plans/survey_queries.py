@@ -99,10 +99,11 @@ def _(spark, sf):
 
 @query("demographic_crosstab", f"""
 SELECT {_ETHNIC} AS ethnicity_cat, area, count(*) FILTER (WHERE gender_cat = 'Female') / 51 AS female,
-       count(*) FILTER (WHERE gender_cat = 'Male') / 51 AS male, count(*) FILTER (WHERE gender_cat = 'Non binary') / 51 AS non_binary
+       count(*) FILTER (WHERE gender_cat = 'Male') / 51 AS male, count(*) FILTER (WHERE gender_cat = 'Non binary') / 51 AS non_binary,
+       count(*) FILTER (WHERE gender_cat IS NULL) / 51 AS no_answer
 FROM placed GROUP BY ALL""", "placed")
 def _(spark, sf):
-    return survey.demographic_crosstab(_rating_data(spark, sf), st.GENDERS)
+    return survey.demographic_crosstab(_rating_data(spark, sf))
 
 
 def _kde(points: str, group: str, x_range: float, y_range: float, grid: int, bins: int) -> str:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cores: int | str = "*", app: str = "attestry", **conf: str) -> SparkSession:
@@ -44,11 +45,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has used yet, in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path nobody has used yet, in the shared folder; it goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once into reliable storage, so that later passes see the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Compute once into Parquet in the shared folder, so that later passes see the same rows.
+
+    Lineage is cut, and later filters and column choices reach the files. A frame
+    that comes from here is returned as it is.
+    """
+    if getattr(df, "_materialized", False):
+        return df
+    spark, empty = df.sparkSession, [f.name for f in df.schema if f.dataType.typeName() == "void"]
+    path = fresh_path(spark, label)
+    kept = df.drop(*empty)
+    kept.write.parquet(path)
+    out = spark.read.schema(kept.schema).parquet(path)
+    if empty:
+        out = out.withColumns({c: F.lit(None) for c in empty}).select(*[F.col(f"`{c}`") for c in df.columns])
+    out._materialized = True
+    return out
+
+
+# A broadcast table may hold at most this much; beyond it Spark shuffles both
+# sides and splits skewed keys itself.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_enough(held: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialized table may be broadcast, by the bytes its rows hold."""
+    width = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16)
+             for f in held.schema]
+    size = held.agg(F.sum(sum(width, F.lit(16)))).first()[0]
+    return (size or 0) <= limit

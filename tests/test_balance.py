@@ -54,8 +54,8 @@ def test_rank_tie_chain(spark):
     # equal minima fall to the maximum, then the deviation with NULL last, then commonness, then the name
     flat = [("d", 10, 10, 1, 1, 10.0, 10.0, 0.5, 0.5, None, None, 0.9, 0.1), ("c", 10, 10, 2, 1, 10.0, 10.0, 0.5, 0.5, 0.2, 0.1, 0.9, 0.1),
             ("b", 10, 10, 2, 1, 10.0, 10.0, 0.5, 0.5, 0.2, 0.1, 0.9, 0.1), ("a", 10, 10, 2, 1, 10.0, 10.0, 0.4, 0.5, 0.2, 0.1, 0.8, 0.1)]
-    for limit in (0, 100):
-        got = {r["name"]: r for r in balance.balance_rank(_profile(spark, flat), window_rows=limit).collect()}
+    for limit in (1, 100):
+        got = {r["name"]: r for r in balance.balance_rank(_profile(spark, flat), slice_rows=limit).collect()}
         assert [n for n, r in sorted(got.items(), key=lambda kv: kv[1]["order_logratio"])] == ["a", "b", "c", "d"]
         assert sorted(r["rank_order"] for r in got.values()) == [1, 2, 3, 4]
         assert all(r["combined_order"] == r["order_logratio"] + r["order_mean"] + 3 * r["order_common"] for r in got.values())
@@ -81,8 +81,8 @@ def test_discarded(fact):
 
 def test_columns_by_count(spark):
     summary = spark.createDataFrame([("d", 4), ("a", 4), ("x", 5), ("u", 1)], "name string, count int")
-    for limit in (0, 100):
-        got = balance.columns_by_count(summary, 5, window_rows=limit)
+    for limit in (1, 100):
+        got = balance.columns_by_count(summary, slice_rows=limit)
         assert rows(got) == [(1, "a", "x"), (2, "d", None)]
 
 
@@ -156,5 +156,13 @@ def test_longevity(fact):
 
 
 def test_distribution_split_equals_window(fact):
-    a, b = (profile.total_distribution(fact, limit) for limit in (0, 1000))
+    a, b = (profile.total_distribution(fact, limit) for limit in (3, 1000))
     assert rows(a) == rows(b, *a.columns)
+
+
+def test_unisex_counts_years_whatever_the_number(spark):
+    """An unknown or zero count attests its year; a missing row does not."""
+    data = [("kim", 2000, "r", "F", 5), ("kim", 2000, "r", "M", 3), ("kim", 2001, "r", "F", None), ("kim", 2001, "r", "M", 0), ("kim", 2002, "r", "F", 4)]
+    df = spark.createDataFrame(data, "name string, year int, region string, asab string, number long").selectExpr("*", "1 AS rank", "0.5D AS proportion")
+    got = {r["year"]: (r["number_AFAB"], r["number_AMAB"], r["year_count_reg"], r["year_count"]) for r in balance.unisex_dataset(df).collect()}
+    assert got == {2000: (5, 3, 2, 2), 2001: (None, 0, 2, 2), 2002: (4, 0, 0, 2)}

@@ -73,5 +73,5 @@ def test_null_keys_match(spark):
 def test_dimension_join_is_the_same_without_broadcast(spark):
     fact = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "year int, name string")
     dim = spark.createDataFrame([(1, 10), (2, 20)], "year int, n int")
-    small, large = exprs.join_dimension(fact, dim, "year"), exprs.join_dimension(fact, dim, "year", max_rows=1)
+    small, large = exprs.join_dimension(fact, dim, "year"), exprs.join_dimension(fact, dim, "year", max_bytes=1)
     assert rows(small) == rows(large) == [(1, "a", 10), (2, "b", 20), (3, "c", None)]

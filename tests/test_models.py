@@ -130,13 +130,13 @@ def _brute_density(x, y, lim, grid):
     return kx @ ky.T / (2 * math.pi * n * hx * hy)
 
 
-@pytest.mark.parametrize("points_per_task, window_rows", [(100, 0), (100_000, 100_000)])
-def test_density_against_numpy(spark, points_per_task, window_rows):
+@pytest.mark.parametrize("points_per_task, slice_rows", [(100, 30), (100_000, 100_000)])
+def test_density_against_numpy(spark, points_per_task, slice_rows):
     rng = np.random.default_rng(5)
     data = [(g, float(rng.normal(0.5, 0.2)), float(rng.uniform(0, 1))) for g, n in (("hot", 900), ("cold", 60)) for _ in range(n)]
     data += [("flat", 0.5, 0.5)] * 5 + [(None, float(rng.uniform()), float(rng.uniform())) for _ in range(50)]
     df = spark.createDataFrame(data, "g string, x double, y double")
-    got = density.density2d(df, ["g"], "x", "y", (0.0, 1.0), (0.0, 1.0), 15, 10, points_per_task, window_rows).toPandas()
+    got = density.density2d(df, ["g"], "x", "y", (0.0, 1.0), (0.0, 1.0), 15, 10, points_per_task, slice_rows).toPandas()
     assert set(got["g"].dropna()) == {"hot", "cold"} and got["g"].isna().any()
     for key in ("hot", "cold", None):
         inside = np.array([(x, y) for g, x, y in data if g == key and 0 <= x <= 1 and 0 <= y <= 1])
