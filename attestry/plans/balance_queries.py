@@ -250,6 +250,13 @@ def _(spark, sf):
     return balance.trajectories(facts, names, share=0.0005, min_points=2)
 
 
+@query("trajectories_share", """
+SELECT region, name, year, proportion_F, proportion_M FROM widefacts WHERE proportion_F > 0 AND proportion_M > 0""", "widefacts")
+def _(spark, sf):
+    facts, names = _facts_and_top(spark, sf)
+    return balance.trajectories(facts, names, measure="proportion", two_sided=True)
+
+
 @query("trajectories_filled", """
 SELECT region, name, year, f AS number_F, m AS number_M FROM wide WHERE name IN (SELECT name FROM top)""", "wide top")
 def _(spark, sf):

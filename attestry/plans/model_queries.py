@@ -93,13 +93,41 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "model STRING, df_residual INT, deviance DOUBLE")
 
 
-@query("poisson_four_factors", """
-SELECT 0 AS df_residual, 0.0::DOUBLE AS deviance, count(*) AS rows FROM (
-SELECT subject, l1, gender_coarse, picture FROM analysis GROUP BY ALL) AS t""", "analysis", approx="deviance", digits=4)
+def _erfc(x: str) -> str:
+    """erfc of a non-negative expression, to 1.5e-7."""
+    t = f"(1 / (1 + 0.3275911 * ({x})))"
+    return f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({x}) * ({x})))"
+
+
+def _with_tests(coefficients: str) -> str:
+    return f"SELECT term, estimate, se, z, {_erfc('abs(z) / sqrt(2)')} AS p FROM (SELECT *, estimate / se AS z FROM ({coefficients}) AS k) AS e"
+
+
+def _saturated(cells: str, reference: dict[str, str]) -> str:
+    """Treatment-coded coefficients of a saturated model from its cells' linear predictors ``y`` and their variances ``v``.
+
+    A coefficient is the signed sum over the cells in which each of its factors is
+    at its level or at the reference, and every other factor at the reference.
+    """
+    labels = ", ".join(f"CASE WHEN t.{f} <> '{r}' THEN '{f}[' || t.{f} || ']' END" for f, r in reference.items())
+    sign = " * ".join(f"CASE WHEN c.{f} = t.{f} THEN 1 ELSE -1 END" for f in reference)
+    within = " AND ".join(f"(c.{f} = t.{f} OR c.{f} = '{r}')" for f, r in reference.items())
+    return f"""
+WITH c AS ({cells})
+SELECT coalesce(nullif(concat_ws(':', {labels}), ''), '(Intercept)') AS term, sum({sign} * c.y) AS estimate, sqrt(sum(c.v)) AS se
+FROM c AS t JOIN c ON {within} GROUP BY {', '.join(f't.{f}' for f in reference)}"""
+
+
+_RELEVELLED = {"subject": "They", "l1": "English", "gender_coarse": "nonbinary", "picture": "masculine"}
+
+
+@query("poisson_four_factors", _with_tests(_saturated(
+    "SELECT subject, l1, gender_coarse, picture, ln(count(*)) AS y, 1 / count(*) AS v FROM analysis GROUP BY ALL", _RELEVELLED)), "analysis",
+    approx="estimate se z p", digits=3)
 def _(spark, sf):
     levels = experiment.relevel(LEVELS, subject="They", gender_coarse="nonbinary", picture="masculine")
     fit = models.poisson_loglinear(_table(spark, sf, list(LEVELS)), ["subject * l1 * gender_coarse * picture"], levels)
-    return spark.createDataFrame([(fit.df_residual, abs(fit.deviance), fit.rows)], "df_residual INT, deviance DOUBLE, rows BIGINT")
+    return models.coefficient_table(spark, fit)
 
 
 # The saturated model of sixteen cells: with contrasts lo and hi, a factor's mean
@@ -111,16 +139,6 @@ _CONTRAST_LABEL = ", ".join(f"CASE t_{f} WHEN 1 THEN '{label}' END" for f, (labe
 _CHOICES = ", ".join(f"(VALUES (0), (1)) AS c_{f}(t_{f})" for f in _CODED)
 
 
-def _erfc(x: str) -> str:
-    """erfc of a non-negative expression, to 1.5e-7."""
-    t = f"(1 / (1 + 0.3275911 * ({x})))"
-    return f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({x}) * ({x})))"
-
-
-def _with_tests(coefficients: str) -> str:
-    return f"SELECT term, estimate, se, z, {_erfc('abs(z) / sqrt(2)')} AS p FROM (SELECT *, estimate / se AS z FROM ({coefficients}) AS k) AS e"
-
-
 @query("poisson_contrasts", _with_tests(f"""
 SELECT coalesce(nullif(concat_ws(':', {_CONTRAST_LABEL}), ''), '(Intercept)') AS term, sum(w * y) AS estimate, sqrt(sum(w * w * v)) AS se FROM (
 SELECT *, {_CONTRAST_WEIGHT} AS w FROM (
@@ -198,17 +216,13 @@ def _(spark, sf):
     return models.coefficient_table(spark, fit).select("term", "estimate", "se")
 
 
-_THIRD = {"l1": "English", "gender_coarse": "man", "picture": "feminine"}
+_CELL_LOGITS = """
+SELECT l1, gender_coarse, picture, ln(s / (n - s)) AS y, 1 / s + 1 / (n - s) AS v FROM (
+SELECT l1, gender_coarse, picture, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE subject <> 'He') AS DOUBLE) AS s FROM analysis GROUP BY ALL) AS t"""
 
 
-@query("logistic_three_factors", _with_tests(f"""
-WITH c AS (
-SELECT l1, gender_coarse, picture, ln(s / (n - s)) AS logit, 1 / s + 1 / (n - s) AS v FROM (
-SELECT l1, gender_coarse, picture, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE subject <> 'He') AS DOUBLE) AS s FROM analysis GROUP BY ALL) AS t)
-SELECT coalesce(nullif(concat_ws(':', {', '.join(f"CASE WHEN t.{f} <> '{r}' THEN '{f}[' || t.{f} || ']' END" for f, r in _THIRD.items())}), ''), '(Intercept)') AS term,
-       sum({' * '.join(f"CASE WHEN c.{f} = t.{f} THEN 1 ELSE -1 END" for f in _THIRD)} * c.logit) AS estimate, sqrt(sum(c.v)) AS se
-FROM c AS t JOIN c ON {' AND '.join(f"(c.{f} = t.{f} OR c.{f} = '{r}')" for f, r in _THIRD.items())}
-GROUP BY {', '.join(f't.{f}' for f in _THIRD)}"""), "analysis", approx="estimate se z p", digits=4)
+@query("logistic_three_factors", _with_tests(_saturated(
+    _CELL_LOGITS, {"l1": "English", "gender_coarse": "man", "picture": "feminine"})), "analysis", approx="estimate se z p", digits=4)
 def _(spark, sf):
     fit = models.logistic(analysis(spark, sf), "subject", ["l1 * gender_coarse * picture"], LEVELS)
     return models.coefficient_table(spark, fit)

@@ -28,26 +28,64 @@ def read_yearly_files(spark: SparkSession, path: str | Sequence[str], year_regex
     return rows.select("*", _path_part(year_regex).cast("int").alias("year"))
 
 
+def _by_header(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, **options) -> DataFrame:
+    """CSV columns bound by the names in the header, whatever their order, and cast.
+
+    A header name and a column match under ``snake_case``. Columns that are not
+    asked for are skipped; a column no header has is an error, and so is a file
+    whose header differs from that of the first file. Cells that do not fit their
+    type are NULL.
+    """
+    reader = spark.read.options(header=True, recursiveFileLookup=True, **options)
+    heads = reader.csv(path).columns
+    found = {snake_case(h): h for h in reversed(heads)}
+    missing = [f.name for f in schema if snake_case(f.name) not in found]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(heads)}")
+    strings = T.StructType([T.StructField(h, T.StringType()) for h in heads])
+    rows = reader.option("enforceSchema", False).schema(strings).csv(path)
+    return rows.select("*", "_metadata.file_path").select(
+        *[F.col(f"`{found[snake_case(f.name)]}`").try_cast(f.dataType).alias(f.name) for f in schema], "file_path")
+
+
+def _file_part(pattern: str) -> Column:
+    found = F.regexp_extract(F.col("file_path"), pattern, 1)
+    return F.when(found != "", found)
+
+
 def read_labelled_files(spark: SparkSession, path: str | Sequence[str], schema: str,
                         labels: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """CSV files with a header whose names carry facts.
+    """CSV files with a header whose names carry facts; columns are bound by name.
 
     ``labels`` maps an output column to (regex with one group, SQL type).
     """
-    rows = (spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
-            .option("enforceSchema", True).csv(path))
-    facts = [_path_part(pattern).cast(dtype).alias(out) for out, (pattern, dtype) in labels.items()]
-    return rows.select("*", *facts)
+    columns = T.StructType.fromDDL(schema)
+    facts = [_file_part(pattern).cast(dtype).alias(out) for out, (pattern, dtype) in labels.items()]
+    return _by_header(spark, path, columns).select(*columns.names, *facts)
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: str, sep: str = ",",
                    null_token: str = "", header: bool = True, skip: int = 0) -> DataFrame:
-    """Delimited text with its own NULL token and, for small published tables, a preamble."""
+    """Delimited text with its own NULL token and, for small published tables, a preamble.
+
+    With a header, columns are bound by name; without one and after a preamble, by position.
+    """
     if skip:
         return read_sheet_grid(spark, path, schema, skip=skip, header=header, sep=sep, null_token=null_token)
-    return (spark.read.schema(schema).option("sep", sep).option("nullValue", null_token).option("header", header)
-            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-            .option("recursiveFileLookup", True).csv(path))
+    options = {"sep": sep, "nullValue": null_token, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    if header:
+        return _by_header(spark, path, T.StructType.fromDDL(schema), **options).drop("file_path")
+    return spark.read.schema(schema).options(recursiveFileLookup=True, **options).csv(path)
+
+
+# Stand-ins, from the private use area, for line breaks inside quoted cells.
+_BREAKS = {"\n": "\ue000", "\r": "\ue001"}
+
+
+def _lines(text: Column) -> Column:
+    """Lines of a sheet; a line break inside quotes is part of its cell."""
+    kept = F.transform(F.split(text, '"'), lambda s, i: F.when(i % 2 == 1, F.translate(s, "".join(_BREAKS), "".join(_BREAKS.values()))).otherwise(s))
+    return F.split(F.array_join(kept, '"'), r"\r?\n")
 
 
 def read_sheet_grid(spark: SparkSession, path: str | Sequence[str], schema: str, skip: int = 0,
@@ -59,7 +97,7 @@ def read_sheet_grid(spark: SparkSession, path: str | Sequence[str], schema: str,
     1,048,576 rows. ``rows`` are 1-based and inclusive, as in a cell range.
     """
     sheet = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    lines = sheet.select(F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("at", "line"))
+    lines = sheet.select(F.posexplode(_lines(F.col("value"))).alias("at", "line"))
     first = (rows[0] - 1 if rows else skip) + (1 if header else 0)
     wanted = (F.col("at") >= first) & (F.length("line") > 0)
     if rows:
@@ -67,7 +105,10 @@ def read_sheet_grid(spark: SparkSession, path: str | Sequence[str], schema: str,
     options = {"sep": sep, "nullValue": null_token, "mode": "PERMISSIVE",
                "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     parsed = F.from_csv(F.col("line"), F.lit(schema), options)
-    return lines.where(wanted).select(parsed.alias("r")).select("r.*")
+    cells = lines.where(wanted).select(parsed.alias("r")).select("r.*")
+    return cells.select(*[
+        F.translate(f.name, "".join(_BREAKS.values()), "".join(_BREAKS)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+        for f in cells.schema])
 
 
 def read_json_records(spark: SparkSession, path: str | Sequence[str], root: str, record: str,
@@ -91,12 +132,9 @@ def read_experiment_export(spark: SparkSession, paths: Mapping[int, str | Sequen
                            columns: Sequence[str]) -> DataFrame:
     """Exports of several task versions, all columns as strings under snake-case names.
 
-    ``columns`` are the header names in file order; the version number is added.
+    ``columns`` are the header names that are wanted, in any order; a version's
+    file may hold more. The version number is added.
     """
     schema = T.StructType([T.StructField(snake_case(c), T.StringType()) for c in columns])
-    parts = [
-        spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
-        .option("escape", '"').csv(path).withColumn("version", F.lit(version))
-        for version, path in paths.items()
-    ]
+    parts = [_by_header(spark, path, schema, escape='"').drop("file_path").withColumn("version", F.lit(version)) for version, path in paths.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -31,7 +31,7 @@ def _norm(v):
 # Small tables leave some factor combinations unobserved, where the closed forms
 # used in SQL do not hold.
 NEEDS_FULL_TABLE = {"poisson_deviances", "compare_main_effects", "poisson_saturated_coefficients", "logistic_coefficients",
-                    "poisson_contrasts", "compare_models", "logistic_three_factors"}
+                    "poisson_contrasts", "poisson_four_factors", "compare_models", "logistic_three_factors"}
 # Fits without a closed form; tests/test_models.py holds them against brute force.
 NO_SQL = {"random_intercept_logistic", "random_intercept_comparison", "random_intercept_poisson"}
 

@@ -22,7 +22,7 @@ def test_labelled_files(spark, tmp_path):
 
 def test_year_at_the_end_of_the_name(spark, tmp_path):
     (tmp_path / "top-100-names-2006.csv").write_text("Girl,Count\nANN,3\n")
-    got = readers.read_labelled_files(spark, str(tmp_path), "girl STRING, n INT", {"year": (readers.YEAR_AT_END, "int")})
+    got = readers.read_labelled_files(spark, str(tmp_path), "girl STRING, count INT", {"year": (readers.YEAR_AT_END, "int")})
     assert rows(got) == [("ANN", 3, 2006)]
 
 
@@ -63,3 +63,21 @@ def test_dated_csv_without_derived_columns(spark, tmp_path):
     assert rows(readers.read_delimited(spark, path, "id INT, text STRING")) == [(1, "a")]
     with pytest.raises(Exception, match="already exists"):
         sinks.write_dataset(df, str(tmp_path), ["derived"], dt.date(2021, 2, 14), "csv")
+
+
+def test_columns_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "female_cy1944_top.csv").write_text("Amount,Note,Given Name\n5,x,ANN\n?,y,BEA\n")
+    got = readers.read_labelled_files(spark, str(tmp_path), "given_name STRING, amount INT", {"year": (readers.YEAR_IN_FILE, "int")})
+    assert rows(got) == [("ANN", 5, 1944), ("BEA", None, 1944)]
+    export = readers.read_experiment_export(spark, {1: str(tmp_path)}, ["Given Name", "Amount"])
+    assert rows(export) == [("ANN", "5", 1), ("BEA", "?", 1)]
+    with pytest.raises(ValueError, match="no column position"):
+        readers.read_labelled_files(spark, str(tmp_path), "given_name STRING, position INT", {})
+    (tmp_path / "male_cy1944_top.csv").write_text("Given Name,Note,Amount\nBOB,x,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_labelled_files(spark, str(tmp_path), "given_name STRING, amount INT", {}).collect()
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "sheet.csv").write_text('note "with\nbreak"\nname,number\n"Zoë\nAnn",4\nBob,9\n')
+    assert rows(readers.read_sheet_grid(spark, str(tmp_path / "sheet.csv"), "name STRING, number INT", skip=1, header=True)) == [("Bob", 9), ("Zoë\nAnn", 4)]
