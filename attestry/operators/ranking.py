@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.exprs import join_dimension, join_null_safe, nulls_last
+from attestry.functions.exprs import join_null_safe, nulls_last
 from attestry.session import materialize
 
 # Rows of a slice, and the slices that even a small table is cut into.
@@ -46,8 +46,9 @@ def _accumulate(staged: DataFrame, order, weight, by, out, slices: int) -> DataF
     shifts = totals.select(*by, _SLICE, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias(_BEFORE))
     local = Window.partitionBy(_SLICE, *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = ranged.withColumn(out, F.sum(weight).over(local))
+    # one row per slice and group; no hint, its size decides when it is known
     return (
-        join_dimension(numbered, shifts, [_SLICE, *by], "inner", null_safe=True)
+        (join_null_safe(numbered, shifts, [_SLICE, *by]) if by else numbered.join(shifts, _SLICE))
         .withColumn(out, F.col(out) + F.col(_BEFORE))
         .drop(_SLICE, _BEFORE)
     )
