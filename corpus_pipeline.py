@@ -32,7 +32,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Lines that an earlier document holds go; documents that keep no word go with them."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     kept = line_dedup(packed).where(F.col("text").rlike(r"\S"))
-    row = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    row = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
     return kept.select(*[row[c].alias(c) if c in row else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
