@@ -127,21 +127,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-_POWERS: dict[str, np.ndarray] = {}
+def powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n, or further, of the base of rolling hashes, and of its inverse."""
+    if len(_POWERS[0]) <= n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            out = np.full(n + 1, base, np.uint64)
+            out[0] = 1
+            _POWERS[i] = np.multiply.accumulate(out)
+    return _POWERS
 
 
 def word_hashes(offsets: np.ndarray, data: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, A-Z lower-cased: (row offsets into the words, hashes)."""
     if not len(data):
         return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
-    if len(_POWERS.get("up", ())) <= len(data):
-        _POWERS["up"], _POWERS["down"] = _powers(_BASE, len(data)), _powers(_INVERSE, len(data))
+    up, down = powers(len(data))
     folded = _FOLD[data]
     inside = word_bytes[folded]
     begin = inside.copy()
@@ -154,8 +157,8 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, word_bytes: np.ndarray) -
     finish[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _POWERS["up"][: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _POWERS["down"][starts])
+    np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    hashes = mix((total[ends] - total[starts]) * down[starts])
     return np.searchsorted(starts, offsets), hashes
 
 
