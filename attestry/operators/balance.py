@@ -296,15 +296,15 @@ def international_unisex(df: DataFrame, names: DataFrame, min_ratio: float = 0.1
     )
 
 
-def columns_by_count(summary: DataFrame, drop_below: int = 4, prefix: str = "n",
+def columns_by_count(summary: DataFrame, drop_below: int = 4, through: int = 0, prefix: str = "n",
                      slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
     """Ragged table: one column per region count, names stacked alphabetically.
 
-    There is a column for every count from ``drop_below`` to the largest found, and
-    rows that the first of them does not reach are left out.
+    There is a column for every count from ``drop_below`` to the largest found, or to
+    ``through`` if that is more, and rows that the first column does not reach are left out.
     """
     kept = materialize(summary.where(F.col("count") >= drop_below).select("count", "name"), "counts")
-    max_count = kept.agg(F.max("count")).first()[0] or drop_below
+    max_count = max(kept.agg(F.max("count")).first()[0] or drop_below, through)
     placed = ranking.ordinal_rank(kept, ["name"], ["count"], "position", slice_rows=slice_rows)
     columns = [F.max(F.when(F.col("count") == i, F.col("name"))).alias(f"{prefix}{i}")
                for i in range(drop_below, max_count + 1)]

@@ -229,7 +229,7 @@ SELECT position, max(name) FILTER (WHERE count = 3) AS n3, max(name) FILTER (WHE
 FROM (SELECT count, name, CAST(row_number() OVER (PARTITION BY count ORDER BY name) AS INTEGER) AS position FROM international) AS p
 GROUP BY position HAVING max(name) FILTER (WHERE count = 3) IS NOT NULL""", "international")
 def _(spark, sf):
-    return balance.columns_by_count(_international(spark, sf), drop_below=3)
+    return balance.columns_by_count(_international(spark, sf), drop_below=3, through=len(standins.REGIONS))
 
 
 @query("mutual_ratio_filter", f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from attestry.operators import experiment, mixed, models
 from attestry.plans.registry import cte, query
@@ -244,16 +245,47 @@ def _mixed_logistic(spark, sf, formulas):
         data.unpersist()
 
 
+_PROFILE_CELLS = [(l, p) for l in LEVELS["l1"] for p in LEVELS["picture"]]
+_PROFILE_SUMS = {
+    out: " || ',' || ".join(f"CAST(count(*) FILTER (WHERE l1 = '{l}' AND picture = '{p}'{more}) AS VARCHAR)" for l, p in _PROFILE_CELLS)
+    for out, more in (("y", " AND subject <> 'He'"), ("n", ""))}
+
+
+# what the random-intercept fits see of the data
+@query("participant_profiles", f"""
+SELECT y, n, CAST(count(*) AS DOUBLE) AS weight FROM (
+SELECT participant, {_PROFILE_SUMS['y']} AS y, {_PROFILE_SUMS['n']} AS n FROM analysis WHERE subject IS NOT NULL GROUP BY participant) AS p
+GROUP BY ALL""", "analysis")
+def _(spark, sf):
+    known = analysis(spark, sf).where("subject IS NOT NULL")
+    combos = [{"l1": l, "picture": p} for l, p in _PROFILE_CELLS]
+    profiles = mixed.participant_profiles(known, "participant", combos, (F.col("subject") != "He").cast("double"), F.lit(1.0))
+    text = {c: F.array_join(F.transform(c, lambda v: v.cast("bigint").cast("string")), ",") for c in ("y", "n")}
+    return profiles.select(text["y"].alias("y"), text["n"].alias("n"), "weight")
+
+
 @query("random_intercept_logistic")
 def _(spark, sf):
-    fits = _mixed_logistic(spark, sf, {"l1 * picture": ["l1 * picture"]})
-    return models.coefficient_table(spark, fits["l1 * picture"])
+    fits = _mixed_logistic(spark, sf, {"max": ["l1 * gender_coarse"]})
+    return models.coefficient_table(spark, fits["max"])
+
+
+# the two published ladders: language and gender, gender and picture
+_LADDERS = {
+    "l1:gender_coarse": (["l1 * gender_coarse"], ["l1", "gender_coarse"]),
+    "gender_coarse beside l1": (["l1", "gender_coarse"], ["l1"]),
+    "l1 beside gender_coarse": (["l1", "gender_coarse"], ["gender_coarse"]),
+    "gender_coarse:picture": (["gender_coarse * picture"], ["gender_coarse", "picture"]),
+    "gender_coarse beside picture": (["gender_coarse", "picture"], ["picture"]),
+    "picture beside gender_coarse": (["gender_coarse", "picture"], ["gender_coarse"]),
+}
 
 
 @query("random_intercept_comparison")
 def _(spark, sf):
-    fits = _mixed_logistic(spark, sf, {"both": ["l1", "picture"], "l1": ["l1"], "picture": ["picture"]})
-    return models.compare_models(spark, {"picture": (fits["both"], fits["l1"]), "l1": (fits["both"], fits["picture"])})
+    formulas = {" + ".join(terms): terms for pair in _LADDERS.values() for terms in pair}
+    fits = _mixed_logistic(spark, sf, formulas)
+    return models.compare_models(spark, {name: tuple(fits[" + ".join(terms)] for terms in pair) for name, pair in _LADDERS.items()})
 
 
 @query("random_intercept_poisson")
