@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from attestry.llm.common import bitmap_holds, bitmap_of, hash_pair, map_text, mix, stored, text_slices
+from attestry.llm.common import bitmap_holds, bitmap_of, hash_pair, map_text, mix, powers, stored, text_slices
 
 #: Positions of one text that are worked on at a time; a longer text is cut into such pieces.
 PIECE = 1 << 19
@@ -16,26 +16,13 @@ PIECE = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
 #: Neighbouring positions that are ranked together.
 CELL = 16
-_BASE = 0xD6E8FEB86659FD93
-_UP = np.ones(0, np.uint64)
-_DOWN = np.ones(0, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
-    if len(_UP) < n:
-        for name, base in (("_UP", _BASE), ("_DOWN", pow(_BASE, -1, 1 << 64))):
-            out = np.full(n, np.uint64(base))
-            out[0] = 1
-            globals()[name] = np.multiply.accumulate(out)
-    return _UP, _DOWN
 
 
 class Ranks:
     """Ranks of substrings of one piece of text: equal strings have equal ranks, whatever document they are in."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
+        up, self.down = powers(len(data))
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.total[1:])
 
@@ -78,14 +65,14 @@ def runs_of(data: np.ndarray, size: int, short: int):
         yield begin, ranks, names[spots], spots, first, np.append(first[1:], len(least))
 
 
-def cells_of(anchors: np.ndarray, spots: np.ndarray, first: np.ndarray, ends: np.ndarray):
-    """Cut runs into cells of CELL distances from the anchor: (run, cell number, first position, last position)."""
-    low, high = (spots - ends + 1) // CELL, (spots - first) // CELL
+def cells_of(spots: np.ndarray, first: np.ndarray, ends: np.ndarray, cell: int):
+    """Cut runs into cells of ``cell`` distances from the anchor: (run, cell number, first position, last position)."""
+    low, high = (spots - ends + 1) // cell, (spots - first) // cell
     count = high - low + 1
-    run = np.repeat(np.arange(len(anchors)), count)
+    run = np.repeat(np.arange(len(spots)), count)
     number = high[run] - (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
-    lo = np.maximum(first[run], spots[run] - CELL * number - CELL + 1)
-    return run, number, lo, np.minimum(ends[run] - 1, spots[run] - CELL * number)
+    lo = np.maximum(first[run], spots[run] - cell * number - cell + 1)
+    return run, number, lo, np.minimum(ends[run] - 1, spots[run] - cell * number)
 
 
 def _texts(batches, size: int):
@@ -127,8 +114,25 @@ def _anchors(size: int, short: int):
     return run
 
 
-def _cells(size: int, short: int, repeated):
-    """Cells of runs whose anchor repeats: (core, whole, place, c0, c1, lo, hi, sure).
+def _open_cells(batches, size: int, short: int, cell: int, repeated, outer):
+    """Cells of every text's runs that the bitmaps let through: repeated anchors, and open runs where that is known.
+
+    Yields (c0, c1, piece offset, ranks, anchor, anchor's place, cell number, first and last position).
+    """
+    bits, open_runs = repeated.value, outer and outer.value
+    for c0, c1, data in _texts(batches, size):
+        for begin, ranks, anchors, spots, first, ends in runs_of(data, size, short):
+            use = bitmap_holds(bits, anchors)
+            if open_runs is not None:
+                use &= bitmap_holds(open_runs, place(c0, c1, begin + first))
+            use = np.flatnonzero(use)
+            if len(use):
+                own, number, lo, hi = cells_of(spots[use], first[use], ends[use], cell)
+                yield c0, c1, begin, ranks, anchors[use][own], spots[use][own], number, lo, hi
+
+
+def _cells(size: int, short: int, cell: int, repeated, outer=None):
+    """(core, whole, place, c0, c1, lo, hi, sure) of open cells.
 
     ``core`` ranks the bytes that all strings of a full cell share, ``whole`` all
     bytes that the cell's own strings cover, from ``lo`` to ``hi``. Cells that a text
@@ -137,34 +141,26 @@ def _cells(size: int, short: int, repeated):
     names = ["core", "whole", "place", "c0", "c1", "lo", "hi", "sure"]
 
     def run(batches):
-        bits = repeated.value
         parts: list[list[np.ndarray]] = []
-        for c0, c1, data in _texts(batches, size):
-            for begin, ranks, anchors, spots, first, ends in runs_of(data, size, short):
-                use = np.flatnonzero(bitmap_holds(bits, anchors))
-                if not len(use):
-                    continue
-                own, number, lo, hi = cells_of(anchors[use], spots[use], first[use], ends[use])
-                core = mix(mix(anchors[use][own] ^ number.astype(np.uint64)) + ranks.of(spots[use][own] - CELL * number, size - CELL + 1))
-                hi = hi + size
-                whole = ranks.of(lo, hi - lo)
-                _, at, back, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                again = times[back] > 1
-                sure = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if again.any():
-                    sure = merge(lo[again], hi[again])
-                lo, hi = np.concatenate([lo[at], sure[0]]), np.concatenate([hi[at], sure[1]])
-                none = np.zeros(len(sure[0]), np.uint64)
-                parts.append([
-                    np.concatenate([core[at], none]), np.concatenate([whole[at], none]), place(c0, c1, begin + lo),
-                    np.full(len(lo), c0), np.full(len(lo), c1), begin + lo, begin + hi, np.arange(len(lo)) >= len(at)])
+        for c0, c1, begin, ranks, anchors, spots, number, lo, hi in _open_cells(batches, size, short, cell, repeated, outer):
+            core = mix(mix(anchors ^ number.astype(np.uint64)) + ranks.of(spots - cell * number, size - cell + 1))
+            hi = hi + size
+            whole = ranks.of(lo, hi - lo)
+            _, at, back, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+            again = times[back] > 1
+            sure = merge(lo[again], hi[again]) if again.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            lo, hi = np.concatenate([lo[at], sure[0]]), np.concatenate([hi[at], sure[1]])
+            none = np.zeros(len(sure[0]), np.uint64)
+            parts.append([
+                np.concatenate([core[at], none]), np.concatenate([whole[at], none]), place(c0, c1, begin + lo),
+                np.full(len(lo), c0), np.full(len(lo), c1), begin + lo, begin + hi, np.arange(len(lo)) >= len(at)])
             yield from _flush(parts, names, 1 << 16)
         yield from _flush(parts, names)
 
     return run
 
 
-def _positions(size: int, short: int, repeated, opened):
+def _positions(size: int, short: int, cell: int, repeated, outer, opened):
     """Positions of open cells, as rank pairs: (r0, r1, c0, c1, at).
 
     The pair holds the ranks of the string's first and last two thirds, which
@@ -174,25 +170,34 @@ def _positions(size: int, short: int, repeated, opened):
     half = max(size - size // 3, 1)
 
     def run(batches):
-        bits, open_bits = repeated.value, opened.value
+        bits = opened.value
         parts: list[list[np.ndarray]] = []
-        for c0, c1, data in _texts(batches, size):
-            for begin, ranks, anchors, spots, first, ends in runs_of(data, size, short):
-                use = np.flatnonzero(bitmap_holds(bits, anchors))
-                if not len(use):
-                    continue
-                _, _, lo, hi = cells_of(anchors[use], spots[use], first[use], ends[use])
-                pick = bitmap_holds(open_bits, place(c0, c1, begin + lo))
-                lo, lengths = lo[pick], (hi - lo + 1)[pick]
-                if len(lo):
-                    at = np.repeat(lo - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                    parts.append([ranks.of(at, half), ranks.of(at + size - half, half), np.full(len(at), c0), np.full(len(at), c1), begin + at])
+        for c0, c1, begin, ranks, _, _, _, lo, hi in _open_cells(batches, size, short, cell, repeated, outer):
+            pick = bitmap_holds(bits, place(c0, c1, begin + lo))
+            lo, lengths = lo[pick], (hi - lo + 1)[pick]
+            if len(lo):
+                at = np.repeat(lo - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                parts.append([ranks.of(at, half), ranks.of(at + size - half, half), np.full(len(at), c0), np.full(len(at), c1), begin + at])
             yield from _flush(parts, names, 1 << 17)
         yield from _flush(parts, names)
 
     return run
 
 
+def _level(texts: DataFrame, task, label: str) -> tuple[DataFrame, np.ndarray]:
+    """Rank cells over all texts: what is repeated as a whole (c0, c1, lo, hi), and a bitmap of the cells left open.
+
+    Open are cells that share their core with a different cell, one of each kind.
+    """
+    cells = stored(texts.mapInArrow(
+        task, "core long, whole long, place long, c0 long, c1 long, lo long, hi long, sure boolean"), label)
+    whole = stored(cells.where("not sure").groupBy("core", "whole").agg(F.min("place").alias("least"), F.max("place").alias("most")), f"{label}-ranks")
+    several = whole.groupBy("core").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("core")
+    opened = bitmap_of(F.col("least"), whole.join(several, "core", "left_semi"))
+    again = cells.where("not sure").join(whole.where("least <> most").select("core", "whole"), ["core", "whole"], "left_semi")
+    return again.select("c0", "c1", "lo", "hi").union(cells.where("sure").select("c0", "c1", "lo", "hi")), opened
+
+
 def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by intervals."""
     order = np.argsort(lo, kind="stable")
@@ -215,16 +220,17 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", size: int = 400) -> Da
     position is named by the least rank of ``size`` / 3 bytes inside its string, its
     anchor, and its distance from there, which equal strings share. Anchors found at
     one place only are unique and drop out. The others' positions are ranked on, at
-    growing lengths: neighbours in cells by the bytes they all share, ``size`` - CELL
-    + 1, and by all their bytes. Cells whose shared bytes are unique drop out; cells
-    that occur again as a whole are repeated as a whole. The positions of what is
-    left are ranked by pairs of ranks that reach the full ``size``, and those whose
-    pair occurs at another place are repeated.
+    growing lengths: all neighbours of one anchor by the bytes their strings cover,
+    then neighbours in cells by the bytes they all share, ``size`` - CELL + 1, and by
+    all their bytes. What occurs again as a whole is repeated as a whole; what shares
+    its core with nothing drops out. The positions of what is left are ranked by
+    pairs of ranks that reach the full ``size``, and those whose pair occurs at
+    another place are repeated.
 
     Scale: equal texts are one class; what is shuffled are some rows per ``size``
-    bytes, then the cells of repeated anchors, then the open positions. All counting
-    is by partial aggregates of a smallest and a largest place. Two bitmaps of 1 MB
-    are broadcast; they only keep rows that cannot matter from being written.
+    bytes, then the runs of repeated anchors, then the open cells and positions. All
+    counting is by partial aggregates of a smallest and a largest place. Three bitmaps
+    of 1 MB are broadcast; they only keep rows that cannot matter from being written.
     """
     spark = docs.sparkSession
     short = max(1, size // 3)
@@ -233,19 +239,18 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", size: int = 400) -> Da
     texts = docs.select(text.alias("text"), c0.alias("c0"), c1.alias("c1")).where(F.octet_length("text") >= size)
 
     anchors = texts.mapInArrow(_anchors(size, short), "anchor long, place long").groupBy("anchor").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-    repeated = spark.sparkContext.broadcast(bitmap_of(F.col("anchor"), anchors.where("lo <> hi")))
-    cells = stored(texts.mapInArrow(
-        _cells(size, short, repeated), "core long, whole long, place long, c0 long, c1 long, lo long, hi long, sure boolean"), "cells")
-    whole = stored(cells.where("not sure").groupBy("core", "whole").agg(F.min("place").alias("least"), F.max("place").alias("most")), "whole")
-    several = whole.groupBy("core").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("core")
-    opened = spark.sparkContext.broadcast(bitmap_of(F.col("least"), whole.join(several, "core", "left_semi")))
-    spots = stored(texts.mapInArrow(_positions(size, short, repeated, opened), "r0 long, r1 long, c0 long, c1 long, at long"), "positions")
+    share = spark.sparkContext.broadcast
+    repeated = share(bitmap_of(F.col("anchor"), anchors.where("lo <> hi")))
+    runs, open_runs = _level(texts, _cells(size, short, size - short + 1, repeated), "runs")
+    open_runs = share(open_runs)
+    cell = min(CELL, size - short + 1)
+    cells, open_cells = _level(texts, _cells(size, short, cell, repeated, open_runs), "cells")
+    open_cells = share(open_cells)
+    spots = stored(texts.mapInArrow(_positions(size, short, cell, repeated, open_runs, open_cells), "r0 long, r1 long, c0 long, c1 long, at long"), "positions")
     where = F.xxhash64("c0", "c1", "at")
     shared = spots.groupBy("r0", "r1").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("r0", "r1")
     loose = spots.join(shared, ["r0", "r1"], "left_semi").select("c0", "c1", F.col("at").alias("lo"), (F.col("at") + size).alias("hi"))
-    covered = cells.where("not sure").join(whole.where("least <> most").select("core", "whole"), ["core", "whole"], "left_semi").select("c0", "c1", "lo", "hi")
-    sure = cells.where("sure").select("c0", "c1", "lo", "hi")
-    cuts = covered.union(sure).union(loose).groupBy("c0", "c1").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    cuts = runs.union(cells).union(loose).groupBy("c0", "c1").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
     copies = texts.groupBy("c0", "c1").agg(F.count("*").alias("n")).where("n > 1")
     marks = cuts.join(copies, ["c0", "c1"], "full").select("c0", "c1", "cuts", F.col("n").isNotNull().alias("copied"))
 
