@@ -185,26 +185,24 @@ def shingle_hashes(offsets: np.ndarray, words: np.ndarray, n: int) -> tuple[np.n
 
 # --- bitmaps: bounded broadcasts that only save work ------------------------------------------
 
-#: Slots of a bitmap. It is broadcast as 1 MB whatever the data; when it fills up, more rows pass it.
-BITMAP_BITS = 23
-
-
-def bitmap_slot(column: Column) -> Column:
-    """Slot of a 64-bit hash, the same as ``bitmap_holds`` looks up."""
-    return F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+#: Slots of a bitmap. It is broadcast as 16 MB at most, whatever the data; when it fills up, more rows pass it.
+BITMAP_BITS = 27
 
 
 def bitmap_of(hashes: Column, df: DataFrame) -> np.ndarray:
-    """Bitmap of a column of well-mixed 64-bit hashes; at most 2 ** BITMAP_BITS slots come to the driver."""
-    slots = df.select(bitmap_slot(hashes).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    bits[slots] = True
-    return np.packbits(bits)
+    """Bitmap of a column of well-mixed 64-bit hashes, put together from pieces of 4 KB that Spark aggregates."""
+    slot = F.shiftrightunsigned(hashes, 64 - BITMAP_BITS) + 1
+    pieces = df.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for piece, bits in pieces:
+        start = (piece - 1) * len(bits)
+        out[start : start + len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def bitmap_holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-    return (bits[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & np.uint8(1) != 0
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
 def sorted_groups(batches, keys: int, least: int = 2):

@@ -230,7 +230,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", size: int = 400) -> Da
     Scale: equal texts are one class; what is shuffled are some rows per ``size``
     bytes, then the runs of repeated anchors, then the open cells and positions. All
     counting is by partial aggregates of a smallest and a largest place. Three bitmaps
-    of 1 MB are broadcast; they only keep rows that cannot matter from being written.
+    of 16 MB are broadcast; they only keep rows that cannot matter from being written.
     """
     spark = docs.sparkSession
     short = max(1, size // 3)
