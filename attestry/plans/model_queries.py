@@ -270,22 +270,25 @@ def _(spark, sf):
     return models.coefficient_table(spark, fits["max"])
 
 
-# the two published ladders: language and gender, gender and picture
-_LADDERS = {
-    "l1:gender_coarse": (["l1 * gender_coarse"], ["l1", "gender_coarse"]),
-    "gender_coarse beside l1": (["l1", "gender_coarse"], ["l1"]),
-    "l1 beside gender_coarse": (["l1", "gender_coarse"], ["gender_coarse"]),
-    "gender_coarse:picture": (["gender_coarse * picture"], ["gender_coarse", "picture"]),
-    "gender_coarse beside picture": (["gender_coarse", "picture"], ["picture"]),
-    "picture beside gender_coarse": (["gender_coarse", "picture"], ["gender_coarse"]),
-}
+def _ladder_of(a: str, b: str) -> dict[str, tuple[list[str], list[str]]]:
+    """The published comparisons of two factors: their interaction, then each beside the other."""
+    return {f"{a}:{b}": ([f"{a} * {b}"], [a, b]), b: ([a, b], [a]), a: ([a, b], [b])}
+
+
+def _compare_ladder(spark, sf, ladder):
+    formulas = {" + ".join(terms): terms for pair in ladder.values() for terms in pair}
+    fits = _mixed_logistic(spark, sf, formulas)
+    return models.compare_models(spark, {name: tuple(fits[" + ".join(terms)] for terms in pair) for name, pair in ladder.items()})
 
 
 @query("random_intercept_comparison")
 def _(spark, sf):
-    formulas = {" + ".join(terms): terms for pair in _LADDERS.values() for terms in pair}
-    fits = _mixed_logistic(spark, sf, formulas)
-    return models.compare_models(spark, {name: tuple(fits[" + ".join(terms)] for terms in pair) for name, pair in _LADDERS.items()})
+    return _compare_ladder(spark, sf, _ladder_of("l1", "gender_coarse"))
+
+
+@query("random_intercept_pictures")
+def _(spark, sf):
+    return _compare_ladder(spark, sf, _ladder_of("gender_coarse", "picture"))
 
 
 @query("random_intercept_poisson")
