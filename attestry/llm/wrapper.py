@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +21,8 @@ REFERENCES, ENOUGH, CONSTANT_SHARE = 8, 4, 0.8
 BROADCAST_BYTES = 16 << 20
 #: Trees are aligned down to this depth.
 DEPTH = 60
+#: What text inside article or main counts when the content path is looked for.
+MARKED = 3
 
 # Elements of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +41,8 @@ ASIDE_NAMES = re.compile(
     r"side-?bar\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|(?:site|page|top)-?header|header|(?:site|page)?-?footer|comments?|replies|"
     r"respond|disqus|social|share\w*|related|recommended|newsletter|subscribe|signup|login|search|widget\w*|skip-?link|copyright)(?:$|[\s_-])", re.I)
 MAIN_TAGS = ("article", "main")
+# Elements that hold a piece of running text, never all of it.
+TEXTUAL = ("p", "li", "h1", "h2", "h3", "td", "dd", "blockquote", "pre")
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>|<[!?/][^>]*+>|<[A-Za-z][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -116,16 +122,26 @@ def clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def blocks_of(root: Node, inside: bool = False) -> list[tuple[str, str, bool]]:
-    """(path, text, inside a link) of each block of text outside menus, adverts and the like, in page order."""
-    out: list[tuple[str, str, bool]] = []
+class Block(NamedTuple):
+    """A block of text: where it is, whether it is mostly links, and whether an article or main holds it."""
+
+    path: str
+    text: str
+    linked: bool
+    marked: bool
+
+
+def blocks_of(root: Node) -> list[Block]:
+    """The blocks of text outside menus, adverts and the like, in page order."""
+    out: list[Block] = []
     pieces: list[str] = []
     state = {"path": "", "linked": 0, "size": 0}
 
     def flush() -> None:
         text = clean("".join(pieces))
         if text:
-            out.append((state["path"], text, 2 * state["linked"] > state["size"]))
+            path = state["path"]
+            out.append(Block(path, text, 2 * state["linked"] > state["size"], _mark_end(path) > 0))
         pieces.clear()
         state["linked"] = state["size"] = 0
 
@@ -163,19 +179,37 @@ def blocks_of(root: Node, inside: bool = False) -> list[tuple[str, str, bool]]:
     return out
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The outermost elements that a page itself calls its main text."""
-    for tag in MAIN_TAGS:
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == tag and not node.aside:
-                found.append(node)
-            elif not node.aside:
-                todo.extend(reversed(node.kids))
-        if found:
-            return found
-    return []
+def _tag_of(part: str) -> str:
+    return part.split(".", 1)[0]
+
+
+def _mark_end(path: str) -> int:
+    """How many parts of the path lead to the deepest article or main; 0 without one."""
+    parts = path.split("/")
+    return max((k + 1 for k, part in enumerate(parts) if _tag_of(part) in MAIN_TAGS), default=0)
+
+
+def content_path(blocks: Iterable[Block]) -> str:
+    """The deepest path that holds over half of the blocks' text.
+
+    Text that an article or main holds counts MARKED times. A path that leads into
+    one ends there, so that headings beside the longest part are under it.
+    """
+    size: dict[str, int] = {}
+    for block in blocks:
+        if block.linked and not block.marked:
+            continue
+        parts = block.path.split("/")
+        for k in range(1, len(parts) + 1):
+            path = "/".join(parts[:k])
+            size[path] = size.get(path, 0) + len(block.text) * (MARKED if block.marked else 1)
+    whole = size.get("", 0)
+    content = max((p for p in size if 2 * size[p] > whole), key=lambda p: (p.count("/"), p), default="")
+    if end := _mark_end(content):
+        return "/".join(content.split("/")[:end])
+    while _tag_of(content.rsplit("/", 1)[-1]) in TEXTUAL:
+        content = content.rsplit("/", 1)[0]
+    return content
 
 
 def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
@@ -208,71 +242,82 @@ def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]
 
 def skeleton(root: Node) -> Node:
     """The tree of blocks that alignment works on: one leaf for each block, its text cleaned."""
+    return tree_of(blocks_of(root))[0]
+
+
+def tree_of(blocks: list[Block]) -> tuple[Node, list[Node]]:
+    """The tree of these blocks, and the leaf of each."""
     top = Node("html")
-    places = {"": top}
-    for path, text, _ in blocks_of(root):
+    places, leaves = {"": top}, []
+    for block in blocks:
         at = ""
-        for part in path.split("/")[1:]:
+        for part in block.path.split("/")[1:]:
             if f"{at}/{part}" not in places:
                 node = Node(part)
                 places[at].kids.append(node)
                 places[f"{at}/{part}"] = node
             at = f"{at}/{part}"
-        places[at].kids.append(Node("", text=text))
-    return top
+        leaves.append(Node("", text=block.text))
+        places[at].kids.append(leaves[-1])
+    return top, leaves
+
+
+def key_of(block: Block) -> str:
+    return f"{block.path}\t{block.text}"
 
 
 def induce(pages: list[str]) -> tuple[list[str], str]:
     """A host's wrapper: texts of template nodes as path, tab, text; and the path that holds the varying text.
 
     Every page is aligned with the first. A leaf with the same text in at least
-    CONSTANT_SHARE of the pages is template. The content path is the deepest that
-    holds over half of the varying text, links left out.
+    CONSTANT_SHARE of the pages is template. The content path is that of the
+    varying text of the first page.
     """
-    trees = [skeleton(parse(p)) for p in pages]
+    blocks = [blocks_of(parse(p)) for p in pages]
+    trees = [tree_of(b) for b in blocks]
     same: dict[int, int] = {}
-    pivot = trees[0]
-    for other in trees[1:]:
+    pivot, leaves = trees[0]
+    for other, _ in trees[1:]:
         for a, b in match(pivot, other)[1]:
             if not a.tag and a.text == b.text:
                 same[id(a)] = same.get(id(a), 1) + 1
-    constants, size = [], {}
-    todo = [(pivot, "")]
-    while todo:
-        node, path = todo.pop()
-        for kid in node.kids:
-            if kid.tag:
-                todo.append((kid, f"{path}/{kid.tag}"))
-            elif len(trees) >= ENOUGH and same.get(id(kid), 1) >= CONSTANT_SHARE * len(trees):
-                constants.append(f"{path}\t{kid.text}")
-            else:
-                parts = path.split("/")
-                for k in range(1, len(parts) + 1):
-                    size["/".join(parts[:k])] = size.get("/".join(parts[:k]), 0) + len(kid.text)
-    whole = size.get("", 0)
-    content = max((p for p in size if 2 * size[p] > whole), key=lambda p: (p.count("/"), p), default="")
-    while content.rsplit("/", 1)[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "td", "dd", "blockquote", "pre"):
-        content = content.rsplit("/", 1)[0]
-    return sorted(set(constants)), content
+    constants, varying = [], []
+    for block, leaf in zip(blocks[0], leaves):
+        if len(trees) >= ENOUGH and same.get(id(leaf), 1) >= CONSTANT_SHARE * len(trees):
+            constants.append(key_of(block))
+        else:
+            varying.append(block)
+    return sorted(set(constants)), content_path(varying)
+
+
+def _under(blocks: list[Block], content: str) -> list[Block]:
+    """Blocks under the content path, and first headings that an article or main around it holds."""
+    inside = [b.path == content or b.path.startswith(content + "/") for b in blocks]
+    if not any(inside):
+        return []
+    parts = content.split("/")
+    outer = next(("/".join(parts[: k + 1]) + "/" for k, part in enumerate(parts) if _tag_of(part) in MAIN_TAGS), None)
+    return [b for b, own in zip(blocks, inside) if own or (outer and b.path.startswith(outer) and _tag_of(b.path.rsplit("/", 1)[-1]) == "h1")]
 
 
 def extract(page: str | None, constants: set[str], content: str) -> list[str]:
     """Blocks of the main text.
 
-    What the page marks as article or main is its main text. Otherwise the
-    blocks under the wrapper's content path are, or all blocks where the page has
-    no such path; template nodes and blocks of links are left out.
+    Template nodes are left out of every page. The rest under the wrapper's content
+    path is main text, or under the page's own where it has no such path; blocks of
+    links outside article and main are left out. A page of nothing but template
+    nodes keeps what is under the path.
     """
     if not page:
         return []
-    root = parse(page)
-    marked = main_nodes(root)
-    if marked:
-        return [text for node in marked for _, text, _ in blocks_of(node)]
-    blocks = blocks_of(root)
-    under = [b for b in blocks if b[0] == content or b[0].startswith(content + "/")] or blocks
-    kept = [text for path, text, linked in under if f"{path}\t{text}" not in constants and not linked]
-    return kept or [text for _, text, linked in under if not linked]
+    blocks = blocks_of(parse(page))
+    varying = [b for b in blocks if key_of(b) not in constants]
+    for some in (varying, blocks):
+        under = _under(some, content) or _under(some, content_path(some))
+        kept = [b.text for b in under if b.marked or not b.linked]
+        if kept:
+            return kept
+    return []
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", references: int = REFERENCES) -> DataFrame:
@@ -280,7 +325,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     For every host, ``references`` distinct pages (those with the smallest hashes)
     are aligned by simple tree matching; constant nodes are template, varying ones
-    content. The wrapper then runs over every page of the host. Menus, headers,
+    content. The wrapper then runs over every page of the host, whatever the page
+    marks as article or main: that text only weighs more when the content path is
+    looked for. Menus, headers,
     footers, sidebars, notices, adverts, forms, scripts and comments are known by
     element, role or name and never count.
 

@@ -219,6 +219,29 @@ def test_html_wrapper_finds_slots(spark):
         assert got[i] == [f"Story {i}", html.split("<p>")[1].split("</p>")[0]]
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_html_template_inside_article(spark):
+    """Constant blocks go although an article holds them; the rest of the article stays, its links too."""
+    page = ("<html><body><div>Shop</div><article><h1>Story {i}</h1><div class='box'>Read our house rules before you write</div>"
+            "<div class='text'><p>{w}</p><p><a href='/'>Source {i} of it all</a></p></div></article><p>Seen {i} times</p></body></html>")
+    rng = random.Random(8)
+    rows = [(i, "http://d.example.org/x", page.format(i=i, w=" ".join(words(rng, 30)))) for i in range(9)]
+    got = {r.page_id: r.blocks for r in wrapper.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, _, html in rows:
+        assert got[i] == [f"Story {i}", html.split("<p>")[1].split("</p>")[0], f"Source {i} of it all"]
+
+
+def test_html_teaser_inside_main(spark):
+    page = "<html><body><main><h1>Story {i}</h1><p>{w}</p><article><p>Also read {i}</p></article></main></body></html>"
+    rng = random.Random(9)
+    rows = [(i, f"http://{'e' if i < 6 else i}.example.org/x", page.format(i=i, w=" ".join(words(rng, 30)))) for i in range(8)]
+    got = {r.page_id: r.blocks for r in wrapper.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, _, html in rows:
+        assert got[i][:2] == [f"Story {i}", html.split("<p>")[1].split("</p>")[0]]
+
+
 def test_simple_tree_matching_pairs_equal_shapes():
     a, b = (wrapper.skeleton(wrapper.parse(p)) for p in ("<div><p>x</p><p>y</p></div>", "<div><p>x</p><h2>q</h2><p>z</p></div>"))
     score, pairs = wrapper.match(a, b)
