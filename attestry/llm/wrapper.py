@@ -21,6 +21,8 @@ REFERENCES, ENOUGH, CONSTANT_SHARE = 8, 4, 0.8
 BROADCAST_BYTES = 16 << 20
 #: Trees are aligned down to this depth.
 DEPTH = 60
+#: Links at one place of a page that make a menu.
+MENU = 3
 #: What text inside article or main counts when the content path is looked for.
 MARKED = 3
 
@@ -34,12 +36,18 @@ CLOSES_P = BLOCKS - set("body head html legend li dd dt option optgroup td th tr
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 # Elements and names that never hold main text.
-ASIDE_TAGS = set("head script style noscript template textarea title iframe nav aside footer form button select input label menu dialog svg object".split())
+DROPPED_TAGS = set("head script style noscript template textarea title iframe button select input svg object".split())
+# Elements, roles and names that speak against main text; they only vote.
+ASIDE_TAGS = set("nav aside footer form label menu dialog".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: A whole class or id. Compounds vote only if every part speaks of a page's frame, or of a box around the named thing.
 ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"side-?bar\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|(?:site|page|top)-?header|header|(?:site|page)?-?footer|comments?|replies|"
-    r"respond|disqus|social|share\w*|related|recommended|newsletter|subscribe|signup|login|search|widget\w*|skip-?link|copyright)(?:$|[\s_-])", re.I)
+    r"(?:(?:site|page|top|bottom|left|right|main|global|primary|secondary|post|entry|wp|js)[_-])*"
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo(?:s|tions?)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|"
+    r"side-?bars?|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|(?:site|page)?-?footer|comments?|replies|respond|disqus|social|"
+    r"share|sharing|sharedaddy|related|recommended|newsletter|subscribe|signup|login|search|widgets?|skip-?link|copyright)"
+    r"(?:[_-](?:area|bar|box|list|wrap|wrapper|container|section|block|inner|links?|buttons?|form|posts?|notice|text|\d+))*"
+    r"|(?:(?:site|page|top|main|global)-?)?header", re.I)
 MAIN_TAGS = ("article", "main")
 # Elements that hold a piece of running text, never all of it.
 TEXTUAL = ("p", "li", "h1", "h2", "h3", "td", "dd", "blockquote", "pre")
@@ -105,9 +113,14 @@ def parse(page: str) -> Node:
                     break
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(tag[3] or "")}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        aside = name in ASIDE_TAGS or found.get("role", "").lower() in ASIDE_ROLES or bool(names and name not in ("html", "body", "article", "main") and ASIDE_NAMES.search(names))
+        aside = name in ASIDE_TAGS or found.get("role", "").lower() in ASIDE_ROLES
+        if name in BLOCKS and name not in ("html", "body", "article", "main"):
+            aside = aside or any(ASIDE_NAMES.fullmatch(n) for n in names.split())
         if name == "header" and not any(n.tag in MAIN_TAGS for n in stack):
             aside = True
+        if name in MAIN_TAGS:
+            for around in stack:
+                around.aside = False
         node = Node(name, names.lower(), aside)
         stack[-1].kids.append(node)
         if name in RAW:
@@ -123,58 +136,65 @@ def clean(text: str) -> str:
 
 
 class Block(NamedTuple):
-    """A block of text: where it is, whether it is mostly links, and whether an article or main holds it."""
+    """A block of text: where it is, whether it is mostly links, whether an article or main holds it.
+
+    ``votes`` numbers the elements around it whose tag, role or name speaks against main text.
+    """
 
     path: str
     text: str
     linked: bool
     marked: bool
+    votes: tuple[int, ...] = ()
 
 
 def blocks_of(root: Node) -> list[Block]:
-    """The blocks of text outside menus, adverts and the like, in page order."""
+    """All blocks of text that a page shows, in page order."""
     out: list[Block] = []
     pieces: list[str] = []
-    state = {"path": "", "linked": 0, "size": 0}
+    state = {"path": "", "votes": (), "linked": 0, "size": 0}
+    voted = 0
 
     def flush() -> None:
         text = clean("".join(pieces))
         if text:
             path = state["path"]
-            out.append(Block(path, text, 2 * state["linked"] > state["size"], _mark_end(path) > 0))
+            out.append(Block(path, text, 2 * state["linked"] > state["size"], _mark_end(path) > 0, state["votes"]))
         pieces.clear()
         state["linked"] = state["size"] = 0
 
-    todo: list[tuple[Node | None, str, bool, bool]] = [(root, "", False, False)]
+    todo: list[tuple[Node | None, str, bool, tuple[int, ...]]] = [(root, "", False, ())]
     while todo:
-        node, path, link, leave = todo.pop()
-        if leave:
+        node, path, link, votes = todo.pop()
+        if not node:
             flush()
-            state["path"] = path
             continue
         if not node.tag:
             if not pieces:
-                state["path"] = path
+                state["path"], state["votes"] = path, votes
             pieces.append(node.text)
             state["size"] += len(node.text)
             state["linked"] += len(node.text) if link else 0
             continue
-        if node.aside:
+        if node.tag in DROPPED_TAGS:
             if node.tag in BLOCKS:
                 flush()
             continue
         if node.tag == "br":
+            if not pieces:
+                state["path"], state["votes"] = path, votes
             pieces.append(" ")
             continue
-        block = node.tag in BLOCKS
-        if block:
+        if node.aside:
+            voted += 1
+            votes = (*votes, voted)
+        own = path
+        if node.tag in BLOCKS or node.aside:
             flush()
+            todo.append((None, path, link, votes))
             own = f"{path}/{node.label}"
-            todo.append((None, path, link, True))
-        else:
-            own = path
         for kid in reversed(node.kids):
-            todo.append((kid, own, link or node.tag == "a", False))
+            todo.append((kid, own, link or node.tag == "a", votes))
     flush()
     return out
 
@@ -214,7 +234,7 @@ def content_path(blocks: Iterable[Block]) -> str:
 
 def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the largest order-keeping pairing of equal labels below two roots."""
-    if a.label != b.label or a.aside != b.aside:
+    if a.label != b.label:
         return 0, []
     if not a.tag or depth >= DEPTH:
         return 1, [(a, b)]
@@ -281,13 +301,34 @@ def induce(pages: list[str]) -> tuple[list[str], str]:
         for a, b in match(pivot, other)[1]:
             if not a.tag and a.text == b.text:
                 same[id(a)] = same.get(id(a), 1) + 1
-    constants, varying = [], []
+    constants = []
     for block, leaf in zip(blocks[0], leaves):
         if len(trees) >= ENOUGH and same.get(id(leaf), 1) >= CONSTANT_SHARE * len(trees):
             constants.append(key_of(block))
-        else:
-            varying.append(block)
-    return sorted(set(constants)), content_path(varying)
+    return sorted(set(constants)), content_path(varying_of(blocks[0], set(constants)))
+
+
+def varying_of(blocks: list[Block], constants: set[str]) -> list[Block]:
+    """Blocks that are not template and that no vote takes away; a vote fails on elements with over half of the varying text."""
+    varying = [b for b in blocks if key_of(b) not in constants]
+    size: dict[int, int] = {}
+    for block in varying:
+        for vote in block.votes:
+            size[vote] = size.get(vote, 0) + len(block.text)
+    whole = sum(len(b.text) for b in varying)
+    gone = {vote for vote, n in size.items() if 2 * n <= whole}
+    return [b for b in varying if gone.isdisjoint(b.votes)] or varying
+
+
+def _menus(blocks: list[Block]) -> set[str]:
+    """Paths outside article and main where at least MENU blocks, and most text, are links: menus and lists of teasers."""
+    texts: dict[str, list[Block]] = {}
+    for block in blocks:
+        if not block.marked:
+            texts.setdefault(block.path, []).append(block)
+    return {
+        path for path, own in texts.items()
+        if sum(b.linked for b in own) >= MENU and 2 * sum(len(b.text) for b in own if b.linked) > sum(len(b.text) for b in own)}
 
 
 def _under(blocks: list[Block], content: str) -> list[Block]:
@@ -303,18 +344,18 @@ def _under(blocks: list[Block], content: str) -> list[Block]:
 def extract(page: str | None, constants: set[str], content: str) -> list[str]:
     """Blocks of the main text.
 
-    Template nodes are left out of every page. The rest under the wrapper's content
-    path is main text, or under the page's own where it has no such path; blocks of
-    links outside article and main are left out. A page of nothing but template
-    nodes keeps what is under the path.
+    Template nodes and what is voted out are left out of every page. The rest under
+    the wrapper's content path is main text, or under the page's own where it has no
+    such path; the links of menus go. A page of nothing but template nodes keeps
+    what is under the path.
     """
     if not page:
         return []
     blocks = blocks_of(parse(page))
-    varying = [b for b in blocks if key_of(b) not in constants]
-    for some in (varying, blocks):
+    menus = _menus(blocks)
+    for some in (varying_of(blocks, constants), varying_of(blocks, set())):
         under = _under(some, content) or _under(some, content_path(some))
-        kept = [b.text for b in under if b.marked or not b.linked]
+        kept = [b.text for b in under if not (b.linked and b.path in menus)]
         if kept:
             return kept
     return []
@@ -327,9 +368,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     are aligned by simple tree matching; constant nodes are template, varying ones
     content. The wrapper then runs over every page of the host, whatever the page
     marks as article or main: that text only weighs more when the content path is
-    looked for. Menus, headers,
-    footers, sidebars, notices, adverts, forms, scripts and comments are known by
-    element, role or name and never count.
+    looked for. Scripts and the like never count. Menus, headers, footers, sidebars,
+    notices, adverts, forms and comments are known by element, role or the whole name
+    of a block; they go unless they hold an article or main, or over half of the
+    page's varying text.
 
     Columns named ``blocks`` or ``text`` are replaced. NULL and empty pages have no
     blocks and an empty text; pages without a host share the wrapper of no host;

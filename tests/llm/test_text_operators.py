@@ -242,6 +242,24 @@ def test_html_teaser_inside_main(spark):
         assert got[i][:2] == [f"Story {i}", html.split("<p>")[1].split("</p>")[0]]
 
 
+def test_html_names_only_vote(spark):
+    """Frames and compounds whose names sound like menus keep their text; small named boxes go."""
+    rng = random.Random(10)
+    long = [" ".join(words(rng, 30)) for _ in range(6)]
+    article = "<article><div class='article-header'><h1>Story {i}</h1></div><p>It cost <span class='share-price'>{i} crowns</span> then {w}</p></article>"
+    frames = [
+        "<div class='layout has-sidebar'>" + article + "</div>", "<div class='sidebar'>" + article + "</div>", "<form>" + article + "</form>",
+        "<div class='post no-comments'>" + article + "</div>", "<div class='search-results-page copyright-law'>" + article + "</div>",
+        "<div class='widget'><div class='article-header'><h1>Story {i}</h1></div><p>It cost <span class='share-price'>{i} crowns</span> then {w}</p></div>",
+    ]
+    rows = [(i, f"http://f{i}.example.org/", f"<body>{f.format(i=i, w=long[i])}<div class='related-posts'>See {i}</div><div class='top ad'>Buy {i}</div></body>") for i, f in enumerate(frames)]
+    got = {r.page_id: r.blocks for r in wrapper.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(6):
+        assert got[i] == [f"Story {i}", f"It cost {i} crowns then {long[i]}"], i
+    page = f"<body><div class='x'><p>{long[0]}</p><p><a href='/'>A source in a paragraph</a></p></div></body>"
+    assert wrapper.extract(page, set(), "") == [long[0], "A source in a paragraph"]
+
+
 def test_simple_tree_matching_pairs_equal_shapes():
     a, b = (wrapper.skeleton(wrapper.parse(p)) for p in ("<div><p>x</p><p>y</p></div>", "<div><p>x</p><h2>q</h2><p>z</p></div>"))
     score, pairs = wrapper.match(a, b)
