@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import json
 import re
 from collections.abc import Iterable
 from typing import NamedTuple
@@ -11,12 +13,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
 from attestry.llm.common import map_text, stored
 
-#: Pages of a host that its wrapper is induced from, and the least for constant text to count as template.
+#: Pages of each shape that are aligned for the slots; the least distinct pages, and the share of them, that make a text template.
 REFERENCES, ENOUGH, CONSTANT_SHARE = 8, 4, 0.8
+#: Levels of a page that make its shape.
+SHAPE_DEPTH = 4
+#: Stands for all shapes of a host, and for a page as a whole among its leaves.
+HOST = PAGE = 0
 #: A table of wrappers is broadcast up to this size and joined by shuffle beyond.
 BROADCAST_BYTES = 16 << 20
 #: Trees are aligned down to this depth.
@@ -121,7 +127,7 @@ def parse(page: str) -> Node:
         if name in MAIN_TAGS:
             for around in stack:
                 around.aside = False
-        node = Node(name, names.lower(), aside)
+        node = Node(name, re.sub("[0-9]+", "#", names.lower()), aside)
         stack[-1].kids.append(node)
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -282,33 +288,47 @@ def tree_of(blocks: list[Block]) -> tuple[Node, list[Node]]:
     return top, leaves
 
 
-def key_of(block: Block) -> str:
-    return f"{block.path}\t{block.text}"
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def induce(pages: list[str]) -> tuple[list[str], str]:
-    """A host's wrapper: texts of template nodes as path, tab, text; and the path that holds the varying text.
+def key_of(block: Block) -> int:
+    """What is counted of a leaf: path and text, hashed."""
+    return _hash(f"{block.path}\t{block.text}")
 
-    Every page is aligned with the first. A leaf with the same text in at least
-    CONSTANT_SHARE of the pages is template. The content path is that of the
-    varying text of the first page.
+
+def shape_of(blocks: list[Block]) -> int:
+    """The layout of a page: the places of its blocks down to SHAPE_DEPTH levels, running text left out. Never HOST."""
+    places = set()
+    for block in blocks:
+        parts = block.path.split("/")[1 : SHAPE_DEPTH + 1]
+        while parts and _tag_of(parts[-1]) in TEXTUAL:
+            parts.pop()
+        places.add("/".join(parts))
+    return _hash("\n".join(sorted(places))) or 1
+
+
+def induce(pages: list[str], constants: set[int]) -> str:
+    """The content path of pages of one shape.
+
+    Every page is aligned with the first. A leaf that is template in the whole host,
+    or has the same text in at least CONSTANT_SHARE of these pages, is no slot; the
+    path is that of the slots of all of them.
     """
-    blocks = [blocks_of(parse(p)) for p in pages]
+    blocks = [varying_of(blocks_of(parse(p)), constants) for p in pages]
     trees = [tree_of(b) for b in blocks]
-    same: dict[int, int] = {}
     pivot, leaves = trees[0]
+    same: dict[int, list[int]] = {id(a): [id(a)] for a in leaves}
     for other, _ in trees[1:]:
         for a, b in match(pivot, other)[1]:
             if not a.tag and a.text == b.text:
-                same[id(a)] = same.get(id(a), 1) + 1
-    constants = []
-    for block, leaf in zip(blocks[0], leaves):
-        if len(trees) >= ENOUGH and same.get(id(leaf), 1) >= CONSTANT_SHARE * len(trees):
-            constants.append(key_of(block))
-    return sorted(set(constants)), content_path(varying_of(blocks[0], set(constants)))
+                same[id(a)].append(id(b))
+    fixed = {x for own in same.values() if len(trees) >= ENOUGH and len(own) >= CONSTANT_SHARE * len(trees) for x in own}
+    slots = [b for own, (_, at) in zip(blocks, trees) for b, leaf in zip(own, at) if id(leaf) not in fixed]
+    return content_path(slots or [b for own in blocks for b in own])
 
 
-def varying_of(blocks: list[Block], constants: set[str]) -> list[Block]:
+def varying_of(blocks: list[Block], constants: set[int]) -> list[Block]:
     """Blocks that are not template and that no vote takes away; a vote fails on elements with over half of the varying text."""
     varying = [b for b in blocks if key_of(b) not in constants]
     size: dict[int, int] = {}
@@ -341,7 +361,12 @@ def _under(blocks: list[Block], content: str) -> list[Block]:
     return [b for b, own in zip(blocks, inside) if own or (outer and b.path.startswith(outer) and _tag_of(b.path.rsplit("/", 1)[-1]) == "h1")]
 
 
-def extract(page: str | None, constants: set[str], content: str) -> list[str]:
+def extract(page: str | None, constants: set[int], content: str) -> list[str]:
+    """Blocks of the main text of a page."""
+    return main_text(blocks_of(parse(page)), constants, content) if page else []
+
+
+def main_text(blocks: list[Block], constants: set[int], content: str) -> list[str]:
     """Blocks of the main text.
 
     Template nodes and what is voted out are left out of every page. The rest under
@@ -349,9 +374,6 @@ def extract(page: str | None, constants: set[str], content: str) -> list[str]:
     such path; the links of menus go. A page of nothing but template nodes keeps
     what is under the path.
     """
-    if not page:
-        return []
-    blocks = blocks_of(parse(page))
     menus = _menus(blocks)
     for some in (varying_of(blocks, constants), varying_of(blocks, set())):
         under = _under(some, content) or _under(some, content_path(some))
@@ -364,58 +386,109 @@ def extract(page: str | None, constants: set[str], content: str) -> list[str]:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", references: int = REFERENCES) -> DataFrame:
     """Add ``blocks``, the blocks of each page's main text in page order, and ``text``, joined by empty lines.
 
-    For every host, ``references`` distinct pages (those with the smallest hashes)
-    are aligned by simple tree matching; constant nodes are template, varying ones
-    content. The wrapper then runs over every page of the host, whatever the page
-    marks as article or main: that text only weighs more when the content path is
-    looked for. Scripts and the like never count. Menus, headers, footers, sidebars,
-    notices, adverts, forms and comments are known by element, role or the whole name
-    of a block; they go unless they hold an article or main, or over half of the
-    page's varying text.
+    A leaf (path and text) on at least CONSTANT_SHARE of the distinct pages of a
+    host, or of one shape of page on a host, is template; all pages are counted.
+    For every shape, ``references`` distinct pages (those with the smallest hashes)
+    are aligned by simple tree matching, which gives the content path of the varying
+    leaves; shapes of fewer than ENOUGH distinct pages share the path of the host.
+    The wrapper then runs over every page, whatever the page marks as article or
+    main: that text only weighs more when the content path is looked for. Scripts
+    and the like never count. Menus, headers, footers, sidebars, notices, adverts,
+    forms and comments are known by element, role or the whole name of a block; they
+    go unless they hold an article or main, or over half of the page's varying text.
 
     Columns named ``blocks`` or ``text`` are replaced. NULL and empty pages have no
     blocks and an empty text; pages without a host share the wrapper of no host;
     repeated rows are treated alike. Hosts of fewer than ENOUGH distinct pages have
-    no template nodes.
+    no template nodes: so few pages cannot tell template from copied text.
 
-    Scale: the pages a wrapper is induced from are chosen on hashes alone, with a
-    limit that is applied before the shuffle, so a host with a third of all pages
-    costs as much as any other. The table of wrappers is broadcast if it is small,
-    which is measured, and joined by shuffle if not.
+    Scale: leaves are hashed where they are parsed and counted with partial
+    aggregates on (host, shape, leaf), so no task holds a host. References are chosen
+    on hashes alone, with a limit that is applied before the shuffle. The table of
+    wrappers has one row for each shape of ENOUGH pages; it is broadcast if it is
+    small, which is measured, and joined by shuffle if not.
     """
     host = F.lower(F.coalesce(F.try_parse_url(F.col(f"`{url_col}`"), F.lit("HOST")), F.lit("")))
-    named = pages.select(host.alias("host"), F.col(f"`{html_col}`").alias("html")).where(F.length("html") > 0)
-    ranked = (
-        named.select("host", F.xxhash64("html").alias("h")).distinct()
-        .withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("nth") <= references)
-    )
-    chosen = stored(ranked.select("host", "h"), "references")
-    sample = (
-        _sized_join(named.withColumn("h", F.xxhash64("html")), chosen, ["host", "h"], 64, "inner").dropDuplicates(["host", "h"])
-    )
+    named = pages.select(host.alias("host"), F.col(f"`{html_col}`").alias("html")).where(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
+
+    def leaves_of(batches):
+        for batch in batches:
+            at, shapes, leaves = [], [], []
+            for i, page in enumerate(batch.column(2)):
+                blocks = blocks_of(parse(page.as_py()))
+                own = {key_of(b) for b in blocks} | {PAGE}
+                at += [i] * len(own)
+                shapes += [shape_of(blocks)] * len(own)
+                leaves += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(shapes, pa.int64()), pa.array(leaves, pa.int64())], names=["host", "h", "shape", "leaf"])
+
+    leaves = stored(named.select("host", "h", "html").mapInArrow(leaves_of, "host string, h long, shape long, leaf long").distinct(), "leaves")
+    counts = stored(leaves.groupBy("host", "shape", "leaf").agg(F.count("*").alias("n")), "leaf_counts")
+    totals = counts.where(F.col("leaf") == PAGE)
+    enough = totals.where(F.col("n") >= ENOUGH).select("host", F.col("shape").alias("scope"), F.col("n").alias("whole"))
+    rare = totals.groupBy("host").agg(F.sum("n").alias("whole"), F.min("n").alias("least"))
+    scopes = stored(enough.union(rare.where(F.col("least") < ENOUGH).select("host", F.lit(HOST).alias("scope"), "whole")), "scopes")
+    hosts = stored(rare.where(F.col("whole") >= ENOUGH).select("host", "whole"), "hosts")
+    often = (F.col("n") >= ENOUGH) & (F.col("leaf") != PAGE)
+    share = F.col("n") >= CONSTANT_SHARE * F.col("whole")
+    by_shape = _sized_join(counts.where(often).withColumnRenamed("shape", "scope"), scopes, ["host", "scope"], 64, "inner").where(share)
+    by_host = _sized_join(counts.groupBy("host", "leaf").agg(F.sum("n").alias("n")).where(often), hosts, ["host"], 64, "inner").where(share)
+    by_host = _sized_join(by_host.select("host", "leaf"), scopes.select("host", "scope"), ["host"], 64, "inner")
+    fixed = by_shape.select("host", "scope", "leaf").union(by_host.select("host", "scope", "leaf"))
+    fixed = stored(fixed.groupBy("host", "scope").agg(F.collect_set("leaf").alias("constants")), "constants")
+
+    at = leaves.where(F.col("leaf") == PAGE).select("host", "shape", "h")
+    of_shape = at.withColumn("nth", F.row_number().over(Window.partitionBy("host", "shape").orderBy("h"))).where(F.col("nth") <= references)
+    of_host = at.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("nth") <= references)
+    wanted = of_shape.select("host", F.col("shape").alias("scope"), "h").union(of_host.select("host", F.lit(HOST).alias("scope"), "h"))
+    chosen = stored(_sized_join(wanted, scopes.select("host", "scope"), ["host", "scope"], 64, "inner"), "references")
+    sample = _sized_join(named, chosen, ["host", "h"], 64, "inner").dropDuplicates(["host", "scope", "h"]).join(fixed, ["host", "scope"], "left")
 
     def learn(key, group: pd.DataFrame) -> pd.DataFrame:
-        constants, content = induce(list(group.sort_values("h")["html"]))
-        return pd.DataFrame({"host": [key[0]], "constants": [constants], "content": [content]})
+        group = group.sort_values("h")
+        constants = group["constants"].iloc[0]
+        constants = [] if constants is None else [int(x) for x in constants]
+        return pd.DataFrame({"host": [key[0]], "scope": [key[1]], "constants": [constants], "content": [induce(list(group["html"]), set(constants))]})
+
+    learned = sample.groupBy("host", "scope").applyInPandas(learn, "host string, scope long, constants array<long>, content string")
+    wrappers = stored(learned.select("host", "scope", F.struct("constants", "content").alias("wrapper")), "wrappers")
+    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper.content") + 8 * F.size("wrapper.constants") + 200), F.lit(0)).alias("b")).first()["b"]
+
+    def parser():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            out, shapes = [], []
+            for page in texts:
+                blocks = blocks_of(parse(page.as_py())) if page.as_py() else None
+                out.append(None if blocks is None else json.dumps(blocks, ensure_ascii=False))
+                shapes.append(None if blocks is None else shape_of(blocks))
+            return [pa.array(out, pa.string()), pa.array(shapes, pa.int64())]
+
+        return work
 
-    wrappers = stored(sample.groupBy("host").applyInPandas(learn, "host string, constants array<string>, content string"), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("content") + F.length(F.array_join("constants", " ")) + 200), F.lit(0)).alias("b")).first()["b"]
-    wide = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), F.col(f"`{html_col}`").alias("html"))
-    wide = wide.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
-    packed = wide.select("row", F.struct("html", "constants", "content").alias("job"))
+    wide = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), F.col(f"`{html_col}`").alias("page"))
+    parsed = map_text(wide, "page", [StructField("page", StringType()), StructField("scope", LongType())], parser)
+    side = (lambda w: F.broadcast(w)) if size <= BROADCAST_BYTES else (lambda w: w)
+    parsed = parsed.join(side(wrappers), ["host", "scope"], "left")
+    parsed = parsed.join(side(wrappers.where(F.col("scope") == HOST).select("host", F.col("wrapper").alias("general"))), "host", "left")
+    packed = parsed.select("row", F.struct("page", F.coalesce("wrapper", "general").alias("wrapper")).alias("job"))
 
     def make():
-        memo: dict[tuple, set[str]] = {}
+        memo: dict[tuple, set[int]] = {}
 
         def work(jobs: pa.Array) -> list[pa.Array]:
             out = []
-            for page, constants, content in zip(jobs.field("html"), jobs.field("constants"), jobs.field("content")):
+            found = jobs.field("wrapper")
+            for page, constants, content in zip(jobs.field("page"), found.field("constants"), found.field("content")):
+                if not page.is_valid:
+                    out.append([])
+                    continue
                 key = tuple(constants.as_py() or ())
                 if key not in memo:
                     if len(memo) > 256:
                         memo.clear()
                     memo[key] = set(key)
-                out.append(extract(page.as_py(), memo[key], content.as_py() or ""))
+                blocks = [Block(path, text, linked, marked, tuple(votes)) for path, text, linked, marked, votes in json.loads(page.as_py())]
+                out.append(main_text(blocks, memo[key], content.as_py() or ""))
             return [pa.array(out, pa.list_(pa.string()))]
 
         return work

@@ -260,6 +260,21 @@ def test_html_names_only_vote(spark):
     assert wrapper.extract(page, set(), "") == [long[0], "A source in a paragraph"]
 
 
+def test_html_counts_all_pages_of_a_host(spark):
+    """A notice on nine pages of ten goes wherever it is missing, and each of two layouts has its own wrapper."""
+    rng = random.Random(12)
+    one = "<body><div class='a'><h2>Story {i}</h2><p>{w}</p>{n}</div></body>"
+    two = "<body><section><div class='side'><p>Our weather map of every day</p></div><div class='b'><p>{w}</p></div><div class='c'><p>Paper {i}</p></div></section></body>"
+    notice = "<p>Terms apply to all readers</p>"
+    rows = [(i, "http://g.example.org/", one.format(i=i, w=" ".join(words(rng, 20)), n="" if i % 10 == 3 else notice)) for i in range(40)]
+    rows += [(i, "http://g.example.org/", two.format(i=i, w=" ".join(words(rng, 20)))) for i in range(40, 50)]
+    got = {r.page_id: r.blocks for r in wrapper.extract_pages(spark.createDataFrame(rows, PAGES), references=2).collect()}
+    for i, _, html in rows[:40]:
+        assert got[i] == [f"Story {i}", html.split("<p>")[1].split("</p>")[0]], i
+    for i, _, html in rows[40:]:
+        assert got[i] == [html.split("<p>")[2].split("</p>")[0]], i
+
+
 def test_simple_tree_matching_pairs_equal_shapes():
     a, b = (wrapper.skeleton(wrapper.parse(p)) for p in ("<div><p>x</p><p>y</p></div>", "<div><p>x</p><h2>q</h2><p>z</p></div>"))
     score, pairs = wrapper.match(a, b)
