@@ -105,7 +105,11 @@ def of_kind(spans: str, kind: str) -> Column:
 
 
 def _votes(x: Column) -> list[Column]:
-    """Regex, gazetteer and context labelers: 1 for, -1 against, 0 no opinion."""
+    """Regex, gazetteer and context labelers: 1 for, -1 against, 0 no opinion.
+
+    The base rules say nothing on spelled-out addresses and national numbers: they
+    are not made for these forms.
+    """
     kind, span = x["kind"], x["span"]
 
     def case(by_kind: dict[str, Column]) -> Column:
@@ -116,8 +120,8 @@ def _votes(x: Column) -> list[Column]:
 
     sign = lambda c: F.when(c, 1).otherwise(-1)
     strict = {
-        "email": sign(span.contains("@")), "ip": sign(base_holds("ip", span)), "card": sign(base_holds("card", span)),
-        "phone": sign(span.startswith("+") & base_holds("phone", span)),
+        "email": F.when(span.contains("@"), 1).otherwise(0), "ip": sign(base_holds("ip", span)), "card": sign(base_holds("card", span)),
+        "phone": F.when(span.startswith("+"), sign(base_holds("phone", span))).otherwise(0),
     }
     gazetteer = {
         "email": sign(F.lower(F.regexp_extract(span, "([A-Za-z0-9-]+)$", 1)).isin(TOP_DOMAINS)),
@@ -145,7 +149,8 @@ def estimate(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 100)
     """Expectation-maximisation over vote patterns: the probability that a span with these votes is personal data.
 
     Each kind has a share of true spans and each labeler a distribution over its
-    three votes for true and for false spans. Starts from the majority vote.
+    three votes for true and for false spans; no opinion is no evidence. Starts from
+    the majority vote.
     """
     out: dict[tuple[str, tuple[int, ...]], float] = {}
     for kind in sorted({k for k, _, _ in counts}):
@@ -159,7 +164,7 @@ def estimate(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 100)
             rates = [[{w: r[w] / sum(r.values()) for w in r} for r in labeler] for labeler in rates]
             new = {}
             for v, _ in own:
-                odds = math.log(share / (1 - share)) + sum(math.log(rates[j][1][w] / rates[j][0][w]) for j, w in enumerate(v))
+                odds = math.log(share / (1 - share)) + sum(math.log(rates[j][1][w] / rates[j][0][w]) for j, w in enumerate(v) if w)
                 new[v] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
             done = max(abs(new[v] - true[v]) for v in new) < 1e-9
             true = new
@@ -181,7 +186,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``base`` has the spans of the fixed rules (email, ip, card, phone), leftmost
     and not overlapping within a kind; ``added`` has further spans (spelled-out
     addresses, national phone numbers, card-like numbers) that the trained
-    classifier accepts and that touch no base span; ``spans`` has both. All are
+    classifier accepts and that touch no base span: its prior odds are those that
+    expectation-maximisation gives the span's votes. A number that fails the card
+    check must also be outvoted by its issuer and a context word. ``spans`` has both. All are
     arrays of (kind, start, end, span), by start, then kind as listed; positions are
     code points, end exclusive. One row per input row with the id; NULL and empty
     texts have none; repeated rows are treated alike.
@@ -210,20 +217,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         spans.select("kind", belief.alias("p"), F.explode("features").alias("value"))
         .groupBy("kind", "value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
     )
-    prior, table = {}, {}
+    table = {}
     for kind in KINDS:
         own = [r for r in weights if r["kind"] == kind]
         yes, no = (sum(r[c] for r in own) / 4 for c in ("yes", "no"))
-        prior[kind] = math.log((yes + 1) / (no + 1))
         for r in own:
             table[f"{kind} {r['value']}"] = math.log((r["yes"] + 1) / (yes + 20)) - math.log((r["no"] + 1) / (no + 20))
 
+    odds = {f"{k} {' '.join(map(str, v))}": math.log((p + 1e-9) / (1 - p + 1e-9)) for (k, v), p in true.items()}
+
     def accepted(x: Column) -> Column:
-        score = _lookup(prior, x["kind"])
+        score = _lookup(odds, name(x["kind"], F.array(*_votes(x))))
         for value in _features(x):
             score = score + _lookup(table, F.concat_ws(" ", x["kind"], value))
         votes = _votes(x)
-        return (score > 0) & (votes[0] + votes[1] + votes[2] > 0)
+        return (score > 0) & ((votes[0] >= 0) | (votes[0] + votes[1] + votes[2] > 0))
 
     order = F.create_map(*[F.lit(v) for i, k in enumerate(KINDS) for v in (k, i)])
 

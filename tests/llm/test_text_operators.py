@@ -161,6 +161,21 @@ def test_pii_learns_further_spans(spark):
     assert pii.find_pii(spark.createDataFrame([], TEXT)).collect() == []
 
 
+def test_pii_needs_no_context_word(spark):
+    """The classifier decides alone: spelled-out and national forms without a word for them are found, failed card numbers are not."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(200):
+        rows.append((i, f"{' '.join(words(rng, 6))} phone +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} end mail u{i}@mail{i % 7}.example.com now visa 4425414259157784 so"))
+    for i in range(200, 220):
+        rows.append((i, f"see ({i + 119}) 555-{i + 5000} or jo{i} at example dot com today"))
+    rows += [(300 + i, f"see 44254142591577{85 + i} end") for i in range(9)]
+    got = {r.doc_id: [s.span for s in r.added] for r in pii.find_pii(spark.createDataFrame(rows, TEXT)).collect()}
+    for i in range(200, 220):
+        assert got[i] == [f"({i + 119}) 555-{i + 5000}", f"jo{i} at example dot com"], i
+    assert all(not got[300 + i] for i in range(9)), [got[300 + i] for i in range(9)]
+
+
 def test_pii_estimate_trusts_agreeing_labelers():
     counts = [("phone", (1, 1, 1), 50), ("phone", (1, 1, 0), 30), ("phone", (-1, -1, 0), 60), ("phone", (-1, 1, 1), 2)]
     p = pii.estimate(counts)
