@@ -1,4 +1,4 @@
-"""Cut out long byte strings that occur more than once, by prefix doubling over positions."""
+"""Cut out long byte strings that occur more than once, by anchors and hash ranks at fixed lengths."""
 
 from __future__ import annotations
 
@@ -215,8 +215,8 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", size: int = 400) -> Da
     columns of these names are replaced. NULL and empty texts have no bytes;
     repeated rows are documents of their own, so long ones vanish in all rows.
 
-    Method: prefix doubling over positions, on ranks that are hashes of the strings,
-    so that Spark brings equal ranks together without ordering unequal ones. Every
+    Method: in place of prefix doubling, ranks at a few fixed lengths that are rolling
+    hashes of the strings, so that Spark brings equal ranks together without ordering unequal ones. Every
     position is named by the least rank of ``size`` / 3 bytes inside its string, its
     anchor, and its distance from there, which equal strings share. Anchors found at
     one place only are unique and drop out. The others' positions are ranked on, at
