@@ -13,6 +13,7 @@ from attestry.llm.common import read_table
 from attestry.llm.embedding_dedup import embedding_dedup
 from attestry.llm.line_dedup import line_dedup
 from attestry.llm.ngram_join import ngram_join
+from attestry.llm.phrases import mine_phrases
 from attestry.llm.pieces import sample_pieces
 from attestry.llm.suffix_dedup import suffix_dedup
 
@@ -159,3 +160,26 @@ FROM d LEFT JOIN cut USING (doc_id) JOIN kept USING (doc_id)""")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_phrase_mining", r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+runs AS (SELECT lang, size, list_slice(w, i, i + size - 1) AS w
+         FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, range(1, 5) AS s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, w, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM runs WHERE size = 1 GROUP BY lang),
+inner_runs AS (SELECT lang, list_slice(w, i, i + m - 1) AS w, f
+               FROM (SELECT lang, w, f, m, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM f WHERE size > 2))),
+cover AS (SELECT lang, w, max(f) AS cover FROM inner_runs GROUP BY ALL),
+cand AS (SELECT f.lang, f.w, f.size, f.f AS a FROM f LEFT JOIN cover USING (lang, w) WHERE size >= 2 AND (cover IS NULL OR 100 * cover < 80 * f.f)),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM cand),
+cut_scores AS (SELECT cuts.lang, cuts.w, a, k, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS score
+               FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.w = list_slice(cuts.w, 1, k) JOIN f AS y ON y.lang = cuts.lang AND y.w = list_slice(cuts.w, k + 1, cuts.size)),
+best AS (SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+ranked AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score,
+                  row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(read_table(spark, sf_dir, "documents").select("text", "lang"))
