@@ -15,7 +15,9 @@ from attestry.llm.line_dedup import line_dedup
 from attestry.llm.ngram_join import ngram_join
 from attestry.llm.phrases import mine_phrases
 from attestry.llm.pieces import sample_pieces
+from attestry.llm.spelling import spelling_groups
 from attestry.llm.suffix_dedup import suffix_dedup
+from attestry.llm.topk_search import topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,3 +185,39 @@ ranked AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score,
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
 def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(read_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op12_spelling_variants", r"""
+WITH RECURSIVE
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+runs AS (SELECT doc_id, w, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY ALL),
+bytes AS (SELECT doc_id, w, times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM runs),
+checks AS (SELECT w, times, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len(h) // 2)]),
+                                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc_table),
+fixed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % len(w) AS BIGINT)) || substr(w, CAST(h % len(w) AS BIGINT) + 2) ELSE w END AS word, times FROM checks),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM fixed WHERE len(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(len(word))) AS i FROM words)),
+pairs AS (SELECT a.word AS word, b.word AS other FROM cuts AS a JOIN cuts AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT cuts.word, words.word FROM cuts JOIN words ON cuts.rest = words.word
+          UNION SELECT words.word, cuts.word FROM cuts JOIN words ON cuts.rest = words.word),
+near AS (SELECT pairs.word, count(*) AS n_near, arg_min(other, (-words.n, other)) AS best FROM pairs JOIN words ON words.word = pairs.other GROUP BY pairs.word),
+forms AS (SELECT a.word, a.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 2 * a.n THEN b.word END AS form, CASE WHEN b.n >= 2 * a.n THEN b.n END AS form_n
+          FROM words AS a LEFT JOIN near USING (word) LEFT JOIN words AS b ON b.word = near.best),
+chain(word, tip, depth) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT chain.word, forms.form, depth + 1 FROM chain JOIN forms ON forms.word = chain.tip WHERE form IS NOT NULL),
+roots AS (SELECT word, arg_max(tip, depth) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_topk_search", """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0 AND len(embedding) > 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+           FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -31,8 +31,9 @@ _COLUMN[0x61:0x7B] = np.arange(26)
 _COLUMN[0xC0:] = np.arange(26, ALPHABET)
 _FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _LETTER = np.array([0x61 <= b <= 0x7A for b in range(256)])
-#: Common letters spread over the groups.
-_GROUP = np.array([(7 * i + i // 5) % GROUPS for i in range(ALPHABET)])
+#: Letters by how common they are in Latin scripts; dealt out one by one, they give groups of like weight.
+COMMON = "etaoinsrhdlucmfywgpbvkxqjz"
+_GROUP = np.array([(COMMON.index(chr(0x61 + i)) if i < 26 else i) % GROUPS for i in range(ALPHABET)])
 
 
 def _crc_table() -> np.ndarray:
@@ -118,7 +119,8 @@ def _counted(damage: int, shortest: int):
                 if not len(lengths):
                     continue
                 keys = [f"{'' if i is None else i}:".encode() for i in ids[first : first + len(offsets) - 1]]
-                found = [x for x in damaged(*_coded(letters, lengths)[:1], rows, _coded(letters, lengths)[1], keys, damage) if len(x[0]) >= shortest]
+                codes, words = _coded(letters, lengths)
+                found = [x for x in damaged(codes, rows, words, keys, damage) if len(x[0]) >= shortest]
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
