@@ -11,11 +11,13 @@ from attestry.functions.exprs import join_dimension
 from attestry.llm.common import hash_pair, stored
 
 #: Vectors of one index, and queries put to it in one task.
-BLOCK, CHUNK = 8192, 4096
+BLOCK, CHUNK = 8192, 1024
 #: Impact levels of a dimension at most; with fewer distinct values every value is its own level.
 LEVELS = 256
-#: Shares of the largest contribution down to which postings are processed, one round after another.
-ROUNDS = (0.6, 0.45, 0.35, 0.25, 0.18, 0.12, 0.08, 0.04, 0.0)
+#: Shares of the largest contribution down to which postings are processed; a next round follows if too many rows remain possible.
+ROUNDS = (0.12, 0.05, 0.0)
+#: Tasks at most; with more blocks and chunks than that a task takes several, one after another.
+TASKS = 10_000
 #: Integers up to this size are exact in every bound; beyond it all vectors of the block are rescored.
 EXACT = 1 << 53
 #: A lookup of more bytes than this is joined by a shuffle.
@@ -33,6 +35,7 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        self.doubles = self.vectors.astype(np.float64)
         self.least, self.most = self.vectors.min(axis=0), self.vectors.max(axis=0)
         # the width of a level, and levels from 0
         self.spread = [int(b) - int(a) for a, b in zip(self.least, self.most, strict=True)]
@@ -43,17 +46,31 @@ class ImpactIndex:
         spread = np.array(self.spread, np.int64)
         width = np.maximum(1, -(-(spread + 1) // LEVELS))
         level = (self.vectors - self.least) // width
-        self.postings = np.argsort(-level, axis=0, kind="stable").T.astype(np.int32).copy()
-        sorted_level = np.take_along_axis(level, self.postings.T.astype(np.int64), axis=0).T
-        above = np.minimum((sorted_level + 1) * width[:, None] - 1, spread[:, None])
-        below = spread[:, None] - sorted_level * width[:, None]
-        # impacts in processing order, for weights above and below zero
-        self.impacts = above, np.ascontiguousarray(below[:, ::-1])
-        self.orders = self.postings, np.ascontiguousarray(self.postings[:, ::-1])
-        self.falling = -self.impacts[0], -self.impacts[1]
+        order = np.argsort(level, axis=0, kind="stable").T
+        held = np.take_along_axis(level, order.T, axis=0).T
+        self.width, self.wide = width, spread
+        # vectors below each level, for where a run of postings ends
+        self.below = np.array([np.searchsorted(row, np.arange(LEVELS + 1)) for row in held])
+        # postings and their impacts in processing order, for weights above and below zero
+        self.postings = np.ascontiguousarray(order[:, ::-1]), np.ascontiguousarray(order)
+        self.impacts = (np.minimum((held[:, ::-1] + 1) * width[:, None] - 1, spread[:, None]).astype(np.float64),
+                        (spread[:, None] - held * width[:, None]).astype(np.float64))
+
+        # room for the postings of one round
+        self.rows, self.above = np.empty(self.vectors.size, np.int64), np.empty(self.vectors.size)
+
+    def ends(self, positive: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """How many postings of each dimension have an impact above ``least``."""
+        dims = np.arange(len(least))
+        up = len(self.ids) - self.below[dims, np.minimum((least + 1) // self.width, LEVELS)]
+        down = self.below[dims, np.clip(-((least - self.wide) // self.width), 0, LEVELS)]
+        return np.where(least >= self.wide, 0, np.where(positive, up, down))
 
     def scores(self, query: list[int], rows: np.ndarray | slice) -> np.ndarray:
         """Inner products with some of the vectors, without overflow."""
+        if sum(map(abs, query)) * self.largest < EXACT:
+            # every partial sum is an integer that a double holds
+            return (self.doubles[rows] @ np.array(query, np.float64)).astype(np.int64)
         if sum(map(abs, query)) * self.largest < 1 << 62:
             return self.vectors[rows] @ np.array(query, np.int64)
         return self.vectors[rows].astype(object) @ np.array(query, object)
@@ -61,9 +78,11 @@ class ImpactIndex:
     def possible(self, query: list[int], k: int) -> np.ndarray | slice:
         """Rows that can be among the best ``k`` (ties included): proven by bounds, whenever the rounds stop.
 
-        After all postings with a contribution above t, a vector's score is at
-        most what it has gathered plus t, or less, for each dimension not seen.
-        It is out if that is below the k-th best of some exact scores.
+        A round takes the postings with a contribution above t, dimension by
+        dimension from the highest impact down; t falls from round to round. A
+        vector's score is at most the sum of what its postings have above t, plus
+        t (or the most the dimension can give, if less) for each dimension. It is
+        out if that is below the k-th best of some exact scores.
         """
         n = len(self.ids)
         reach = [abs(w) * s for w, s in zip(query, self.spread, strict=True)]
@@ -71,35 +90,32 @@ class ImpactIndex:
             return slice(None)
         # what a vector with no impact at all would score
         floor = sum(w * (int(a) if w > 0 else int(b)) for w, a, b in zip(query, self.least, self.most, strict=True))
-        limits = np.array(reach, np.int64)
-        gathered, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        done = np.zeros(len(query), np.int64)
-        best = np.zeros(0, np.int64)
-        tried = np.zeros(n, bool)
-        weights = [(d, w > 0, abs(w)) for d, w in enumerate(query) if reach[d]]
-        kept = np.arange(n)
+        limits, weights = np.array(reach, np.int64), np.abs(np.array(query, np.int64))
+        positive = np.array(query, np.int64) > 0
+        tried, best, kept = np.zeros(n, bool), np.zeros(0, np.int64), np.arange(n)
         for share in ROUNDS:
             t = int(share * limits.max(initial=0))
-            for d, positive, weight in weights:
-                if limits[d] <= t:
-                    continue
-                side = 0 if positive else 1
-                # contributions above t: impacts above t / weight
-                end = int(np.searchsorted(self.falling[side][d], -(t // weight), side="left"))
-                if end > done[d]:
-                    rows = self.orders[side][d, done[d] : end]
-                    gathered[rows] += weight * self.impacts[side][d, done[d] : end]
-                    seen[rows] += 1
-                    done[d] = end
-            bound = gathered + (int(np.minimum(limits, t).sum()) + floor) - t * seen
-            fresh = np.argpartition(bound, n - 2 * k)[n - 2 * k :]
-            fresh = fresh[~tried[fresh]]
-            if len(fresh):
-                tried[fresh] = True
-                best = np.sort(np.concatenate([best, self.scores(query, fresh).astype(np.int64)]))[-k:]
+            # a contribution above t is an impact above t / weight
+            ends = np.where(limits > t, self.ends(positive, t // np.maximum(weights, 1)), 0)
+            bound = np.full(n, int(np.minimum(limits, t).sum()) + floor)
+            runs = [(0 if positive[d] else 1, d, ends[d], weights[d]) for d in np.flatnonzero(ends)]
+            if runs:
+                size, first = int(ends.sum()), 0
+                rows, above = self.rows[:size], self.above[:size]
+                np.concatenate([self.postings[i][d, :end] for i, d, end, _ in runs], out=rows)
+                for i, d, end, weight in runs:
+                    np.multiply(self.impacts[i][d, :end], weight, out=above[first : first + end])
+                    first += end
+                above -= t
+                bound += np.bincount(rows, above, n).astype(np.int64)
+            likely = np.argpartition(bound, n - 2 * k)[n - 2 * k :]
+            likely = likely[~tried[likely]]
+            if len(likely):
+                tried[likely] = True
+                best = np.sort(np.concatenate([best, self.scores(query, likely).astype(np.int64)]))[-k:]
             if len(best) == k:
                 kept = np.flatnonzero(bound >= best[0])
-                if len(kept) <= max(16 * k, n // 32):
+                if len(kept) <= max(16 * k, n // 2):
                     break
         return kept
 
@@ -190,7 +206,7 @@ def topk_search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     indexed = rows.select(F.size("v").alias("size"), dealt("id", blocks).alias("block"), numbers(chunks).alias("chunk"), F.lit(False).alias("asks"), "id", "v")
     asking = queries.select(F.size("v").alias("size"), numbers(blocks).alias("block"), dealt("query", chunks).alias("chunk"), F.lit(True).alias("asks"), F.col("query").alias("id"), "v")
     group = ["size", "block", "chunk"]
-    found = indexed.union(asking).repartition(*group).sortWithinPartitions(*group, "asks").mapInArrow(_search(k + 1), "query long, id long, score long")
+    found = indexed.union(asking).repartition(min(blocks * chunks, TASKS), *group).sortWithinPartitions(*group, "asks").mapInArrow(_search(k + 1), "query long, id long, score long")
     top = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     best = found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k + 1)
     lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("found"))
