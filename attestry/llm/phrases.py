@@ -17,9 +17,9 @@ NO_LANGUAGE = "und"
 #: Longest phrase, in words.
 LONGEST = 4
 #: Bytes of text that share one table of local word numbers.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Entries that a task gathers in one filter before it is written, and that a segment should hold after the merge.
-FILTER_ENTRIES, SEGMENT_ENTRIES = 1 << 21, 1 << 20
+FILTER_ENTRIES, SEGMENT_ENTRIES = 1 << 20, 1 << 20
 #: A lookup of more bytes than this is joined by a shuffle.
 LOOKUP_BYTES = 8 << 20
 
@@ -47,33 +47,37 @@ def _words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return folded[inside], lengths, starts, piece
 
 
-def _shards(batches):
+def _shards(limit: int):
     """Texts of one language, some MB of them, as local word numbers with 0 between pieces, and the words with their counts."""
-    task, number = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        langs = batch.column(1).dictionary_encode()
-        for k, lang in enumerate(langs.dictionary.to_pylist()):
-            texts = batch.column(0).take(pa.array(np.flatnonzero(langs.indices.to_numpy() == k)))
-            for _, offsets, data in text_slices(texts, SHARD_BYTES):
-                kept, lengths, _, piece = _words(offsets, data)
-                if not len(lengths):
-                    continue
-                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(kept)])
-                coded = column.dictionary_encode()
-                codes = coded.indices.to_numpy()
-                fresh = np.flatnonzero(piece[1:] != piece[:-1]) + 1
-                sequence = np.insert(codes + 1, fresh, 0)
-                wide = len(coded.dictionary) >= 1 << 16
-                words = coded.dictionary.cast(pa.large_string()).cast(pa.string())
-                counts = pa.array(np.bincount(codes, minlength=len(words)))
-                one = pa.array([0, len(words)], pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([(task << 40) + number], pa.int64()), pa.array([lang]), pa.array([wide]),
-                    pa.array([sequence.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
-                    pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, counts),
-                ], names=["shard", "lang", "wide", "sequence", "words", "counts"])
-                number += 1
+
+    def run(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            langs = batch.column(1).dictionary_encode()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                texts = batch.column(0).take(pa.array(np.flatnonzero(langs.indices.to_numpy() == k)))
+                for _, offsets, data in text_slices(texts, limit):
+                    kept, lengths, _, piece = _words(offsets, data)
+                    if not len(lengths):
+                        continue
+                    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+                    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(kept)])
+                    coded = column.dictionary_encode()
+                    codes = coded.indices.to_numpy()
+                    fresh = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+                    sequence = np.insert(codes + 1, fresh, 0)
+                    wide = len(coded.dictionary) >= 1 << 16
+                    words = coded.dictionary.cast(pa.large_string()).cast(pa.string())
+                    counts = pa.array(np.bincount(codes, minlength=len(words)))
+                    one = pa.array([0, len(words)], pa.int32())
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([(task << 40) + number], pa.int64()), pa.array([lang]), pa.array([wide]),
+                        pa.array([sequence.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
+                        pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, counts),
+                    ], names=["shard", "lang", "wide", "sequence", "words", "counts"])
+                    number += 1
+
+    return run
 
 
 def _resolve(batches):
@@ -110,8 +114,8 @@ def _grams(sequence: np.ndarray, size: int, bits: int, frequent: np.ndarray | No
             np.concatenate([ids[three + 2] << np.uint64(bits), joined[four + 2]]))
 
 
-def _filters(size: int, bits: int, segment_bits: int, frequent=None):
-    """Filters of the runs in stored sequences, one for some million entries, cut into segments: (segment, filter)."""
+def _filters(size: int, bits: int, segment_bits: int, entries: int, frequent=None):
+    """Filters of the runs in stored sequences, one for ``entries`` of them, cut into segments: (segment, filter)."""
     width = bits if size == 2 else 2 * bits
 
     def run(batches):
@@ -130,10 +134,10 @@ def _filters(size: int, bits: int, segment_bits: int, frequent=None):
                     continue
                 parts.append(qf.count_keys(*_grams(sequence, size, bits, held), width))
                 size_of += len(parts[-1])
-                if size_of >= FILTER_ENTRIES:
+                if size_of >= entries:
                     parts = [qf.merge(parts, width)]
                     size_of = len(parts[0])
-                    if size_of >= FILTER_ENTRIES // 2:
+                    if size_of >= entries // 2:
                         yield from written()
                         parts, size_of = [], 0
         yield from written()
@@ -141,7 +145,7 @@ def _filters(size: int, bits: int, segment_bits: int, frequent=None):
     return run
 
 
-def _merged(size: int, bits: int, segment_bits: int, least: int):
+def _merged(size: int, bits: int, segment_bits: int, least: int, entries: int):
     """Filters sorted by segment, merged; runs with at least ``least`` occurrences: (w1, w2, w3, w4, f, h)."""
     width = bits if size == 2 else 2 * bits
 
@@ -172,7 +176,7 @@ def _merged(size: int, bits: int, segment_bits: int, least: int):
                 number = own
                 parts.append(qf.unpack(batch.column(1)[i].as_py(), own, width, segment_bits))
                 pending += len(parts[-1])
-                if pending >= FILTER_ENTRIES:
+                if pending >= entries:
                     parts, pending = [qf.merge(parts, width)], 0
         if parts:
             yield from out(number, parts)
@@ -227,7 +231,7 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     texts = docs.select(
         F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang")).where("text <> ''")
     shards = stored(texts.mapInArrow(
-        _shards, "shard long, lang string, wide boolean, sequence binary, words array<string>, counts array<long>"), "shards")
+        _shards(SHARD_BYTES), "shard long, lang string, wide boolean, sequence binary, words array<string>, counts array<long>"), "shards")
     local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "entry")).select(
         "shard", "lang", "place", F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
     counted = stored(local.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
@@ -243,10 +247,10 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         shards.join(numbers, "shard").select("wide", "sequence", "pairs").mapInArrow(_resolve, "sequence binary"), "sequences")
 
     def frequent(size: int, held=None) -> DataFrame:
-        filters = sequences.mapInArrow(_filters(size, bits, segment_bits, held), "segment long, filter binary")
+        filters = sequences.mapInArrow(_filters(size, bits, segment_bits, FILTER_ENTRIES, held), "segment long, filter binary")
         dealt = filters.repartition("segment").sortWithinPartitions("segment")
         return stored(dealt.mapInArrow(
-            _merged(size, bits, segment_bits, least), "w1 long, w2 long, w3 long, w4 long, f long, h long"), "runs")
+            _merged(size, bits, segment_bits, least, FILTER_ENTRIES), "w1 long, w2 long, w3 long, w4 long, f long, h long"), "runs")
 
     pairs = frequent(2)
     bitmap = spark.sparkContext.broadcast(bitmap_of(F.col("h"), pairs))
