@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 
 # A factor may have at most this many levels; more would not be a factor but an id.
 MAX_LEVELS = 500
+# Weighted least squares steps of a fit; one that needs them all is reported as not converged.
+MAX_STEPS = 50
+# Rounds of proportional fitting, and combinations of levels that one task may hold.
+FITTING_STEPS, MAX_CELLS = 10_000, 1 << 20
 
 
 def factor_levels(df: DataFrame, factors: Sequence[str]) -> dict[str, list]:
@@ -91,6 +96,8 @@ class Fit:
     deviance: float
     df_residual: int
     rows: int
+    converged: bool = True
+    steps: int = 0
 
     @property
     def terms(self) -> int:
@@ -125,7 +132,7 @@ def _cross_products(data: DataFrame, weigh: Callable[[np.ndarray, np.ndarray], n
     return out
 
 
-def _independent(products: np.ndarray) -> list[int]:
+def independent_columns(products: np.ndarray) -> list[int]:
     """Columns that are not a combination of the columns before them."""
     kept: list[int] = []
     for j in range(len(products)):
@@ -169,11 +176,11 @@ def _fit(cells: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence],
     data, labels = design_matrix(cells, terms, levels)
     used = list(range(len(labels)))
     if not complete:
-        kept = _independent(_cross_products(data, lambda x, w: np.ones(len(x)), len(labels) + 1))
+        kept = independent_columns(_cross_products(data, lambda x, w: np.ones(len(x)), len(labels) + 1))
         used = [j - 1 for j in kept if j > 0]
         data, _ = design_matrix(cells, terms, levels, keep=used)
     glm = GeneralizedLinearRegression(family=family, link=link, labelCol="__label", weightCol="__weight",
-                                      featuresCol="features", maxIter=50, tol=1e-9)
+                                      featuresCol="features", maxIter=MAX_STEPS, tol=1e-9)
     model = glm.fit(data)
     summary = model.summary
     found = [float(model.intercept), *[float(b) for b in model.coefficients]]
@@ -187,6 +194,9 @@ def _fit(cells: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence],
     places = [0, *[j + 1 for j in used]]
     estimate, error = dict(zip(places, found)), dict(zip(places, errors))
     everything = range(len(labels) + 1)
+    steps = int(summary.numIterations)
+    if steps >= MAX_STEPS:
+        warnings.warn(f"the fit did not converge in {steps} steps", RuntimeWarning, stacklevel=2)
     return Fit(
         labels=["(Intercept)", *labels],
         estimates=[estimate.get(j, math.nan) for j in everything],
@@ -194,6 +204,8 @@ def _fit(cells: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence],
         deviance=float(summary.deviance) + base_deviance,
         df_residual=rows - len(places),
         rows=rows,
+        converged=steps < MAX_STEPS,
+        steps=steps,
     )
 
 
@@ -210,6 +222,72 @@ def poisson_models(table: DataFrame, formulas: Mapping[str, Sequence[str]], leve
                 for name, terms in formulas.items()}
 
 
+def _proportional_fit(n: np.ndarray, codes: list[np.ndarray]) -> tuple[np.ndarray, int, bool]:
+    """Expected counts whose sums over every margin in ``codes`` are those of ``n``: margins are scaled in turn until nothing moves."""
+    margins = [np.bincount(c, n) for c in codes]
+    fit = np.ones(len(n))
+    for step in range(1, FITTING_STEPS + 1):
+        before = fit
+        for code, margin in zip(codes, margins):
+            held = np.bincount(code, fit)
+            fit = fit * np.divide(margin, held, out=np.zeros(len(held)), where=held > 0)[code]
+        if np.max(np.abs(fit - before), initial=0) <= 1e-11 * max(n.max(initial=0), 1):
+            return fit, step, True
+    return fit, FITTING_STEPS, False
+
+
+def loglinear_fits(table: DataFrame, formulas: Mapping[str, Sequence[str]], levels: Mapping[str, Sequence],
+                   count: str = "n") -> dict[str, Fit]:
+    """Deviances of hierarchical log-linear models of one contingency table, by iterative proportional fitting.
+
+    All formulas are fitted in one job, a task for each; there is no design
+    matrix and there are no coefficients. ``table`` has a row for each observed
+    combination of the factors, absent ones are no zeros; rows with a level
+    outside ``levels`` do not count. A table that could pass MAX_CELLS is fitted
+    by weighted least squares (:func:`poisson_models`) in place of one task.
+    """
+    parsed = {name: expand_terms(terms) for name, terms in formulas.items()}
+    for name, terms in parsed.items():
+        lower = {t for term in terms for k in range(1, len(term)) for t in itertools.combinations(term, k)}
+        if missing := {frozenset(t) for t in lower} - {frozenset(t) for t in terms}:
+            raise ValueError(f"{name} lacks {sorted(map(sorted, missing))} below its interactions")
+    factors = sorted({f for terms in parsed.values() for term in terms for f in term})
+    if math.prod(len(levels[f]) for f in factors) > MAX_CELLS:
+        return poisson_models(table, formulas, levels, count)
+    margins = {name: [t for t in terms if not any(set(t) < set(o) for o in terms)] for name, terms in parsed.items()}
+    sizes = {f: len(levels[f]) for f in factors}
+    complete = math.prod(sizes.values())
+
+    def fit(model: pd.DataFrame) -> pd.DataFrame:
+        name = model["model"].iloc[0]
+        n = model["n"].to_numpy(np.float64)
+        at = model[factors].to_numpy(np.int64)
+        place = {f: at[:, i] for i, f in enumerate(factors)}
+        codes = [reduce(lambda a, f: a * sizes[f] + place[f], t, np.zeros(len(n), np.int64)) for t in margins[name]]
+        fitted, steps, converged = _proportional_fit(n, codes or [np.zeros(len(n), np.int64)])
+        terms = 1 + sum(math.prod(sizes[f] - 1 for f in t) for t in parsed[name])
+        if len(n) < complete:
+            # absent cells can make terms depend on each other
+            columns = [np.ones(len(n))] + [np.prod([place[f] == v for f, v in zip(t, values)], axis=0)
+                                          for t in parsed[name] for values in itertools.product(*[range(1, sizes[f]) for f in t])]
+            terms = int(np.linalg.matrix_rank(np.column_stack(columns).astype(float)))
+        some = n > 0
+        deviance = 2 * (float(np.sum(n[some] * np.log(n[some] / fitted[some]))) - float(np.sum(n - fitted)))
+        return pd.DataFrame({"model": [name], "deviance": deviance, "cells": len(n), "terms": terms, "steps": steps, "converged": converged})
+
+    coded = [reduce(lambda chain, v: chain.when(F.col(f) == F.lit(v[1]), v[0]), list(enumerate(levels[f]))[1:],
+                    F.when(F.col(f) == F.lit(levels[f][0]), 0)).alias(f) for f in factors]
+    cells = table.select(*coded, F.col(count).cast("double").alias("n")).dropna()
+    named = cells.withColumn("model", F.explode(F.array(*[F.lit(name) for name in formulas])))
+    rows = named.groupBy("model").applyInPandas(fit, "model STRING, deviance DOUBLE, cells INT, terms INT, steps INT, converged BOOLEAN").collect()
+    found = {}
+    for r in rows:
+        if not r["converged"]:
+            warnings.warn(f"{r['model']} did not converge in {r['steps']} steps", RuntimeWarning, stacklevel=2)
+        found[r["model"]] = Fit([], [], [], r["deviance"], r["cells"] - r["terms"], r["cells"], r["converged"], r["steps"])
+    return {name: found[name] for name in formulas if name in found}
+
+
 def poisson_loglinear(table: DataFrame, terms: Sequence[str], levels: Mapping[str, Sequence],
                       count: str = "n") -> Fit:
     return poisson_models(table, {"model": terms}, levels, count)["model"]

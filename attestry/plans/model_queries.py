@@ -61,7 +61,7 @@ def _(spark, sf):
 
 def _ladder(spark, sf, only=None):
     formulas = models.loglinear_formulas(*FACTORS)
-    return models.poisson_models(_table(spark, sf), {m: formulas[m] for m in only or formulas}, LEVELS)
+    return models.loglinear_fits(_table(spark, sf), {m: formulas[m] for m in only or formulas}, LEVELS)
 
 
 _OVER = "sum(n) OVER (PARTITION BY {})"
@@ -297,3 +297,22 @@ def _(spark, sf):
     fit = mixed.random_intercept_glm(counts, "n", ["l1 * subject"], LEVELS, family="poisson")
     counts.unpersist()
     return models.coefficient_table(spark, fit)
+
+
+# the published formula has all four factors; its reference levels are the first in alphabetical order after renaming
+_RENAMED = experiment.relevel(LEVELS, subject="They", gender_coarse="nonbinary", picture="nonbinary / other")
+
+
+@query("random_intercept_four_factors")
+def _(spark, sf):
+    counts = experiment.contingency(analysis(spark, sf), ["participant", *LEVELS])
+    fit = mixed.random_intercept_glm(counts, "n", ["subject * l1 * gender_coarse * picture"], _RENAMED, family="poisson")
+    return models.coefficient_table(spark, fit)
+
+
+@query("random_intercept_crossed")
+def _(spark, sf):
+    answers = analysis(spark, sf).withColumn("they", F.when(F.col("subject") == "They", "They").otherwise("other"))
+    fit = mixed.crossed_intercepts_glm(
+        answers, "they", ["gender_coarse * l1"], LEVELS | {"they": ["other", "They"]}, item="picture")
+    return models.coefficient_table(spark, fit)

@@ -34,7 +34,7 @@ NEEDS_FULL_TABLE = {"poisson_deviances", "compare_main_effects", "poisson_satura
                     "poisson_contrasts", "poisson_four_factors", "compare_models", "logistic_three_factors"}
 # Fits without a closed form; tests/test_models.py holds them against brute force.
 NO_SQL = {"random_intercept_logistic", "random_intercept_comparison", "random_intercept_pictures",
-          "random_intercept_poisson"}
+          "random_intercept_poisson", "random_intercept_four_factors", "random_intercept_crossed"}
 
 
 def test_every_other_query_has_sql():
