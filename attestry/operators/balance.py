@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.exprs import (
-    abs_log_ratio, half_even, not_in, positive_log10, ratio, recode, sentence_case, sum_or_zero,
+    abs_log_ratio, half_even, join_null_safe, not_in, positive_log10, ratio, recode, sentence_case, sum_or_zero,
 )
 from attestry.functions.vocab import (
     PLACEHOLDERS, PLACEHOLDERS_INTERNATIONAL, PLACEHOLDERS_PEAKS, PLACEHOLDERS_PROFILE,
@@ -149,38 +149,43 @@ KEY_DIGITS = 12
 
 
 def _key(c: str) -> Column:
-    return F.round(F.col(c), KEY_DIGITS).asc_nulls_last()
+    return F.round(F.col(c), KEY_DIGITS)
 
 
-def balance_rank(profile: DataFrame, common_weight: int = 3, slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+def _rank_combined(weighed: DataFrame, orders: dict[str, list], combined: Column, last: list, slice_rows: int | None) -> DataFrame:
+    """The ranks of all orders, and the rank of their combination; profile rows are joined with them once."""
+    held = materialize(weighed, "profile")
+    ranks = ranking.independent_ranks(held, "name", orders, slice_rows).withColumn("combined_order", combined)
+    extra = [c for c in last if isinstance(c, str) and c not in orders]
+    if extra:
+        ranks = join_null_safe(ranks, held.select("name", *extra), ["name"])
+    keys = [F.col("combined_order").asc(), *[_key(c).asc_nulls_last() if c in extra else c for c in last]]
+    final = ranking.ordinal_rank(ranks, keys, out="rank_order", slice_rows=slice_rows).drop(*extra)
+    return join_null_safe(held, final, ["name"])
+
+
+def balance_rank(profile: DataFrame, common_weight: int = 3, slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """International ranking: range, average and commonness ranks, weighted and ranked again.
 
     Every rank breaks ties by further keys and finally by the order before it,
-    which starts alphabetically; a NULL deviation sorts last.
+    which starts alphabetically; a NULL deviation sorts last. The order before is
+    spelled out key by key, so that the ranks do not wait for each other.
     """
+    by_range = [_key("min_logratio"), _key("max_logratio"), _key("sd_logratio"), "-weighted_frequency", "-mean_asab", "-regions", "-entries", "name"]
+    by_mean = [_key("mean_logratio"), _key("median_logratio"), _key("se_logratio"), "-weighted_frequency", *by_range]
+    orders = {"order_logratio": by_range, "order_mean": by_mean, "order_common": ["-weighted_frequency", _key("sd_logratio"), *by_mean]}
     combined = F.col("order_logratio") + F.col("order_mean") + F.col("order_common") * common_weight
-    ranked = ranking.ordinal_ranks(weigh_commonness(profile), [
-        ("order_logratio", [_key("min_logratio"), _key("max_logratio"), _key("sd_logratio"), "-weighted_frequency",
-                            "-mean_asab", "-regions", "-entries", "name"]),
-        ("order_mean", [_key("mean_logratio"), _key("median_logratio"), _key("se_logratio"), "-weighted_frequency",
-                        "order_logratio"]),
-        ("order_common", ["-weighted_frequency", _key("sd_logratio"), "order_mean"]),
-        ("rank_order", [combined.asc(), "order_common"]),
-    ], slice_rows)
-    return ranked.withColumn("combined_order", combined)
+    return _rank_combined(weigh_commonness(profile), orders, combined, ["order_common"], slice_rows)
 
 
 def balance_rank_single(profile: DataFrame, last_key: str = "mean_logratio",
-                        slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+                        slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """One-region ranking: plain sum of three ranks, ties by ``last_key``."""
+    by_range = [_key("min_logratio"), _key("max_logratio"), _key("sd_logratio"), "name"]
+    by_mean = [_key("mean_logratio"), _key("median_logratio"), _key("se_logratio"), *by_range]
+    orders = {"order_logratio": by_range, "order_mean": by_mean, "order_common": ["-weighted_frequency", *by_mean]}
     combined = F.col("order_logratio") + F.col("order_mean") + F.col("order_common")
-    ranked = ranking.ordinal_ranks(weigh_commonness(profile, region_scaled=False), [
-        ("order_logratio", [_key("min_logratio"), _key("max_logratio"), _key("sd_logratio"), "name"]),
-        ("order_mean", [_key("mean_logratio"), _key("median_logratio"), _key("se_logratio"), "order_logratio"]),
-        ("order_common", ["-weighted_frequency", "order_mean"]),
-        ("rank_order", [combined.asc(), _key(last_key), "order_common"]),
-    ], slice_rows)
-    return ranked.withColumn("combined_order", combined)
+    return _rank_combined(weigh_commonness(profile, region_scaled=False), orders, combined, [last_key, "order_common"], slice_rows)
 
 
 def norming_filter(profile: DataFrame, placeholders: Sequence[str] = PLACEHOLDERS, min_entries: int = 2,
@@ -297,7 +302,7 @@ def international_unisex(df: DataFrame, names: DataFrame, min_ratio: float = 0.1
 
 
 def columns_by_count(summary: DataFrame, drop_below: int = 4, through: int = 0, prefix: str = "n",
-                     slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+                     slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """Ragged table: one column per region count, names stacked alphabetically.
 
     There is a column for every count from ``drop_below`` to the largest found, or to

@@ -79,7 +79,7 @@ def share_with_total_fallback(df: DataFrame, total_births: DataFrame, population
 
 def rank_in_group(df: DataFrame, keys: Sequence[str] = ("year", "asab"), measure: str = "number",
                   ties: str = "first", tiebreak: Sequence[str] = ("name",), seed: int = 0,
-                  out: str = "rank", slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+                  out: str = "rank", slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """Rank by descending ``measure``; an unknown count has an unknown rank.
 
     ``ties``: "first" (by ``tiebreak``), "average" (mean position, truncated) or

@@ -18,7 +18,7 @@ from attestry.session import materialize
 POINTS_PER_TASK = 200_000
 
 
-def bandwidths(points: DataFrame, group: Sequence[str], slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+def bandwidths(points: DataFrame, group: Sequence[str], slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """Normal-reference bandwidth per facet: 1.06 min(sd, IQR / 1.34) n^(-1/5) for x and y.
 
     ``points`` are distinct (x, y) per facet with their count ``w``.
@@ -71,7 +71,7 @@ def _grid_sums(group: Sequence[str], xs: np.ndarray, ys: np.ndarray):
 
 def density2d(df: DataFrame, group: Sequence[str], x: str | Column, y: str | Column, xlim: tuple[float, float],
               ylim: tuple[float, float], grid: int = 100, bins: int = 10,
-              points_per_task: int = POINTS_PER_TASK, slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+              points_per_task: int = POINTS_PER_TASK, slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """Density of (x, y) per facet on a ``grid`` x ``grid`` lattice, scaled to maximum 1 and cut into bins.
 
     Points outside the limits are left out first. Equal points are counted

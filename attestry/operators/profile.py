@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.exprs import half_even, join_null_safe, not_in, ratio, recode, sum_strict
+from attestry.functions.exprs import half_even, join_dimension, join_null_safe, not_in, ratio, recode, sum_strict
 from attestry.functions.vocab import REGISTER_AREAS_WITH_NI
 from attestry.operators import ranking
 from attestry.operators.reshape import pivot_values
@@ -57,7 +57,7 @@ def _summaries(column: str) -> list[Column]:
     ]
 
 
-def _distribution(totals: DataFrame, column: str, by: Sequence[str], slice_rows: int) -> DataFrame:
+def _distribution(totals: DataFrame, column: str, by: Sequence[str], slice_rows: int | None) -> DataFrame:
     """Summary statistics per group; the median comes from counted values, as groups are unbounded."""
     medians = ranking.group_quantiles(totals, column, {"median": 0.5}, by, slice_rows)
     return join_null_safe(totals.groupBy(*by).agg(*_summaries(column)), medians, by, "left")
@@ -67,13 +67,13 @@ def name_totals(df: DataFrame, by: Sequence[str] = ("region", "name", "asab")) -
     return df.groupBy(*by).agg(sum_strict(F.col("number")).alias("total"))
 
 
-def total_distribution(df: DataFrame, slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+def total_distribution(df: DataFrame, slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """How names' totals are distributed per (region, sex)."""
     return _distribution(name_totals(df), "total", ["region", "asab"], slice_rows)
 
 
 def coverage_distribution(df: DataFrame, min_total: int = 1, placeholders: Sequence[str] = ("Baby",),
-                          slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+                          slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """How names' totals are distributed per number of regions they occur in."""
     per_region = name_totals(df.where(not_in(F.col("name"), placeholders)), ("name", "region"))
     per_name = per_region.where(F.col("total") > min_total).groupBy("name").agg(
@@ -82,11 +82,11 @@ def coverage_distribution(df: DataFrame, min_total: int = 1, placeholders: Seque
     return _distribution(per_name, "total", ["regions"], slice_rows)
 
 
-def above_median(df: DataFrame, slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+def above_median(df: DataFrame, slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """Rows whose count exceeds the median of name totals of their (region, sex)."""
     keys = ["region", "asab"]
     medians = ranking.group_quantiles(name_totals(df), "total", {"median": 0.5}, keys, slice_rows)
-    return join_null_safe(df, medians, keys).where(F.col("number") > F.col("median"))
+    return join_dimension(df, medians, keys, "inner", null_safe=True).where(F.col("number") > F.col("median"))
 
 
 def longevity(df: DataFrame) -> DataFrame:

@@ -1,15 +1,15 @@
 """Order-dependent statistics that survive one group holding most of the rows.
 
 A window partitioned by the group puts the whole group into one task. Here rows
-are range-partitioned on (group, order) into slices of a bounded size, numbered
-inside each slice, and shifted by the totals of the slices before it, so a hot
-group is spread over many tasks. The plan is the same for every size; only the
-number of slices follows the rows.
+are range-partitioned on (group, order) into slices and stored once, in order,
+with their place (slice and position); a place turns into a rank with the sizes
+of earlier slices, so a hot group is spread over many tasks. The plan is the same
+for every size; only the number of slices follows the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,70 +17,89 @@ from pyspark.sql import functions as F
 from attestry.functions.exprs import join_null_safe, nulls_last
 from attestry.session import materialize
 
-# Rows of a slice, and the slices that even a small table is cut into.
-SLICE_ROWS, LEAST_SLICES = 500_000, 4
+# Rows of a slice; None cuts as finely as the session shuffles. Slices that a table with a given size is cut into at least.
+SLICE_ROWS, LEAST_SLICES = None, 4
 
-_SLICE = "__slice"
+_SLICE, _AT = "__slice", "__at"
 _BEFORE = "__before"
+_ORDER = "__order"
+
+
+def _sliced(df: DataFrame, by: Sequence[str], keys: Sequence[Column], slice_rows: int | None,
+            keep: Sequence[str] | None = None) -> DataFrame:
+    """The rows (or some columns of them) stored in order: slice, and place in the whole table."""
+    order = [*[F.col(k) for k in by], *keys]
+    if slice_rows is None:
+        ranged = df.repartitionByRange(*order)
+    else:
+        ranged = df.repartitionByRange(max(LEAST_SLICES, -(-df.count() // slice_rows)), *order)
+    # the upper bits of the id are the partition's number, the lower ones count its rows in order
+    placed = ranged.sortWithinPartitions(*order).withColumn(_AT, F.monotonically_increasing_id())
+    stored = materialize(placed if keep is None else placed.select(*keep, _AT), "slices")
+    return stored.withColumn(_SLICE, F.shiftright(_AT, 33))
+
+
+def _with_shift(ranged: DataFrame, by: Sequence[str], total: Column, more: Column) -> DataFrame:
+    """Add what earlier slices of the group hold of ``total``, plus ``more`` of the own slice; one row per slice and group is joined."""
+    totals = ranged.groupBy(*by, _SLICE).agg(total.alias("__total"), more.alias("__more"))
+    earlier = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(*by, _SLICE, (F.coalesce(F.sum("__total").over(earlier), F.lit(0)) + F.col("__more")).alias(_BEFORE))
+    # no hint, its size decides when it is known
+    return join_null_safe(ranged, shifts, [_SLICE, *by]) if by else ranged.join(shifts, _SLICE)
+
+
+def _ranked(ranged: DataFrame, by: Sequence[str], out: str) -> DataFrame:
+    shifted = _with_shift(ranged, by, F.count("*"), 1 - F.min(_AT))
+    return shifted.withColumn(out, (F.col(_AT) + F.col(_BEFORE)).cast("int")).drop(_SLICE, _AT, _BEFORE)
 
 
 def running_total(df: DataFrame, order: Sequence[str | Column], weight: Column, by: Sequence[str] = (),
-                  out: str = "running", slice_rows: int = SLICE_ROWS) -> DataFrame:
+                  out: str = "running", slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """Cumulative sum of ``weight`` along ``order`` inside each ``by`` group.
 
-    ``order`` has to identify rows uniquely inside a group. The rows are stored
-    before they are cut, so that both passes see the same ones; their number is
-    read from the files' footers.
+    ``order`` has to identify rows uniquely inside a group.
     """
-    staged = materialize(df, "unranked")
-    return _accumulate(staged, order, weight, by, out, max(LEAST_SLICES, -(-staged.count() // slice_rows)))
-
-
-def _accumulate(staged: DataFrame, order, weight, by, out, slices: int) -> DataFrame:
-    keys = nulls_last(*order)
-    ranged = materialize(
-        staged.repartitionByRange(slices, *[F.col(k) for k in by], *keys).withColumn(_SLICE, F.spark_partition_id()), "slices"
-    )
-    totals = ranged.groupBy(*by, _SLICE).agg(F.sum(weight).alias("__total"))
-    earlier = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(*by, _SLICE, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias(_BEFORE))
-    local = Window.partitionBy(_SLICE, *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = ranged.withColumn(out, F.sum(weight).over(local))
-    # one row per slice and group; no hint, its size decides when it is known
-    return (
-        (join_null_safe(numbered, shifts, [_SLICE, *by]) if by else numbered.join(shifts, _SLICE))
-        .withColumn(out, F.col(out) + F.col(_BEFORE))
-        .drop(_SLICE, _BEFORE)
-    )
+    ranged = _sliced(df, by, nulls_last(*order), slice_rows)
+    local = Window.partitionBy(_SLICE, *by).orderBy(_AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shifted = _with_shift(ranged.withColumn(out, F.sum(weight).over(local)), by, F.sum(weight), F.lit(0))
+    return shifted.withColumn(out, F.col(out) + F.col(_BEFORE)).drop(_SLICE, _AT, _BEFORE)
 
 
 def ordinal_rank(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "rank",
-                 null_when: Column | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                 null_when: Column | None = None, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """1..n along ``order`` inside each ``by`` group; rows matching ``null_when`` get NULL.
 
-    Rows that get NULL must sort last, which NULL sort keys do.
+    Rows that get NULL must sort last, which NULL sort keys do. Rows are stored
+    once, in order; the rank itself needs no window over them.
     """
-    ranked = running_total(df, order, F.lit(1), by, out, slice_rows)
-    value = F.col(out).cast("int")
-    return ranked.withColumn(out, value if null_when is None else F.when(~null_when, value))
+    ranked = _ranked(_sliced(df, by, nulls_last(*order), slice_rows), by, out)
+    return ranked if null_when is None else ranked.withColumn(out, F.when(~null_when, F.col(out)))
 
 
-def ordinal_ranks(df: DataFrame, steps: Sequence[tuple[str, Sequence[str | Column]]],
-                  slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Several global ranks, each step free to use the ranks of the steps before it.
+def independent_ranks(df: DataFrame, key: str, orders: Mapping[str, Sequence[str | Column]],
+                      slice_rows: int | None = SLICE_ROWS) -> DataFrame:
+    """Several global ranks of the same rows from one range partitioning: (key, one rank for each of ``orders``).
 
-    An order entry may be a column expression over earlier ranks.
+    An entry of an order is a column name (with ``-`` for descending) or an
+    ascending expression; NULL sorts last. Only the sort keys and ``key``, which
+    identifies rows, are shuffled; ``key`` and the places are stored.
     """
-    staged = materialize(df, "unranked")
-    slices = max(LEAST_SLICES, -(-staged.count() // slice_rows))
-    for out, order in steps:
-        staged = _accumulate(staged, order, F.lit(1), (), out, slices)
-        staged = staged.withColumn(out, F.col(out).cast("int"))
-    return staged
+    fields: list[tuple[str, int, Column, bool]] = []
+    for i, order in enumerate(orders.values()):
+        for j, entry in enumerate(order):
+            down = isinstance(entry, str) and entry.startswith("-")
+            value = F.col(entry[1:] if down else entry) if isinstance(entry, str) else entry
+            fields.append((f"__k{i}_{j}", i, value, down))
+    # a row for each order; keys of the others are NULL
+    tall = [F.struct(F.lit(i).alias(_ORDER), *[F.when(F.lit(of == i), value).alias(name) for name, of, value, _ in fields]) for i in range(len(orders))]
+    rows = df.select(F.col(key), F.inline(F.array(*tall)))
+    ranged = _sliced(rows, [_ORDER], nulls_last(*[f"-{name}" if down else name for name, _, _, down in fields]), slice_rows, [key, _ORDER])
+    ranked = _ranked(ranged, [_ORDER], "__rank")
+    return ranked.groupBy(key).agg(*[F.max(F.when(F.col(_ORDER) == i, F.col("__rank"))).alias(out) for i, out in enumerate(orders)])
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", descending: bool = True,
-                 truncate: bool = True, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                 truncate: bool = True, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """Rank in which ties share their mean position, cut to an integer by default.
 
     Works on the counts per distinct value, so ties never travel row by row.
@@ -94,14 +113,14 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "
 
 
 def random_rank(df: DataFrame, value: str, tiebreak: str, seed: int, by: Sequence[str] = (), out: str = "rank",
-                slice_rows: int = SLICE_ROWS) -> DataFrame:
+                slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """Descending rank with ties broken by a seeded hash, so a rerun gives the same order."""
     shuffled = F.md5(F.concat(F.col(tiebreak), F.lit(str(seed)))).asc_nulls_last()
     return ordinal_rank(df, [f"-{value}", shuffled, tiebreak], by, out, F.col(value).isNull(), slice_rows)
 
 
 def group_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-                    slice_rows: int = SLICE_ROWS, weight: str | None = None) -> DataFrame:
+                    slice_rows: int | None = SLICE_ROWS, weight: str | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probs``.
 
     Distinct values are counted first (rows may already stand for ``weight``

@@ -42,7 +42,7 @@ def pilot_list(df: DataFrame, min_count: int = 4, min_block: int = 100, digits:
 
 
 def biased_strata(combined: DataFrame, ratio_cut: float = 3.0, amab_freq: float = 11.0, afab_freq: float = 10.9,
-                  equi_freq: float = 9.0, slice_rows: int = ranking.SLICE_ROWS) -> DataFrame:
+                  equi_freq: float = 9.0, slice_rows: int | None = ranking.SLICE_ROWS) -> DataFrame:
     """Three frequent strata: AMAB-biased, AFAB-biased and balanced names.
 
     The ratio is unsigned, so a very frequent biased name can be in both biased

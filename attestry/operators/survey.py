@@ -97,6 +97,10 @@ def names_with_min_ratings(ratings: DataFrame, minimum: Mapping[str, int],
     return wide
 
 
+# Answers that may become columns of a table.
+MAX_ANSWERS = 200
+
+
 def ethnicity_recode(ratings: DataFrame) -> DataFrame:
     return ratings.withColumn("ethnicity_cat", recode(F.lower("ethnicity"), ETHNICITY_CATEGORIES, "white"))
 
@@ -104,10 +108,13 @@ def ethnicity_recode(ratings: DataFrame) -> DataFrame:
 def demographic_crosstab(ratings: DataFrame, per_person: int = 51) -> DataFrame:
     """Participants (ratings / ratings per person) by ethnicity and area, one column per answer given, 0 if none.
 
-    The answers are taken from the data; a missing one is counted as ``no_answer``.
+    The answers are taken from the data, MAX_ANSWERS at most; a missing one is counted as ``no_answer``.
     """
     coded = materialize(participant_area(ethnicity_recode(ratings)).select("ethnicity_cat", "area", "gender_cat"), "crosstab")
-    answers = sorted(r[0] for r in coded.select("gender_cat").distinct().collect() if r[0] is not None)
+    found = coded.select("gender_cat").where("gender_cat IS NOT NULL").distinct().limit(MAX_ANSWERS + 1).collect()
+    if len(found) > MAX_ANSWERS:
+        raise ValueError(f"more than {MAX_ANSWERS} answers; recode them before they become columns")
+    answers = sorted(r[0] for r in found)
     cells = [(F.count_if(F.col("gender_cat") == g), g.lower().replace(" ", "_")) for g in answers]
     cells.append((F.count_if(F.col("gender_cat").isNull()), "no_answer"))
     return coded.groupBy("ethnicity_cat", "area").agg(*[(n / F.lit(float(per_person))).alias(out) for n, out in cells])

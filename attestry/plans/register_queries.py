@@ -257,9 +257,10 @@ class Rows:
 
 def split_by(rows, unit: str, years) -> dict[int, Rows]:
     """The registers of every ``unit`` value, ranked together instead of one by one."""
-    summed = materialize(rows.groupBy(unit, "year", "name", "asab").agg(F.sum("number").alias("number")))
-    three = materialize(st.ranked(summed, (unit,)))
-    two = materialize(st.ranked(st.two_sexes(summed, (unit,)), (unit,)))
+    # a folder for each unit, so that its register reads no other's rows
+    summed = materialize(rows.groupBy(unit, "year", "name", "asab").agg(F.sum("number").alias("number")), "registers", [unit])
+    three = materialize(st.ranked(summed, (unit,)), "registers", [unit])
+    two = materialize(st.ranked(st.two_sexes(summed, (unit,)), (unit,)), "registers", [unit])
 
     def part(df, i):
         return df.where(F.col(unit) == i).drop(unit)

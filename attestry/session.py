@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,19 +54,20 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", by: Sequence[str] = ()) -> DataFrame:
     """Compute once into Parquet in the shared folder, so that later passes see the same rows.
 
-    Lineage is cut, and later filters and column choices reach the files. A frame
-    that comes from here is returned as it is.
+    Lineage is cut, and later filters and column choices reach the files; filters
+    on the columns ``by`` choose folders. A frame that comes from here is returned
+    as it is.
     """
     if getattr(df, "_materialized", False):
         return df
     spark, empty = df.sparkSession, [f.name for f in df.schema if f.dataType.typeName() == "void"]
     path = fresh_path(spark, label)
     kept = df.drop(*empty)
-    kept.write.parquet(path)
-    out = spark.read.schema(kept.schema).parquet(path)
+    kept.write.partitionBy(*by).parquet(path)
+    out = spark.read.schema(kept.schema).parquet(path).select(*[F.col(f"`{c}`") for c in kept.columns])
     if empty:
         out = out.withColumns({c: F.lit(None) for c in empty}).select(*[F.col(f"`{c}`") for c in df.columns])
     out._materialized = True

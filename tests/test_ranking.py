@@ -74,12 +74,24 @@ def test_quantiles_without_groups(skewed):
     assert got == pytest.approx(float(np.median(skewed.toPandas()["v"])))
 
 
-def test_later_steps_see_earlier_ranks(skewed):
-    for limit in (40, 10_000):
-        got = ranking.ordinal_ranks(skewed, [("a", ["v", "name"]), ("b", ["name"]), ("c", [(ranking.F.col("a") + ranking.F.col("b")).asc(), "b"])],
-                                    limit).collect()
-        want = sorted(got, key=lambda r: (r["a"] + r["b"], r["b"]))
-        assert [r["c"] for r in want] == list(range(1, len(got) + 1))
+def test_independent_ranks_of_one_partitioning(spark, skewed):
+    data = skewed.withColumn("w", ranking.F.when(ranking.F.col("v") % 7 > 0, -ranking.F.col("v") / 3)).unionByName(
+        spark.createDataFrame([(None, None, "z", None), ("x", None, "y", 0.0)], "k string, v int, name string, w double"))
+    orders = {"a": ["-v", "name"], "b": ["name"], "c": [ranking.F.round("w", 1), "-k", "v", "name"]}
+    for limit in (40, 10_000, None):
+        got = ranking.independent_ranks(data, "name", orders, limit)
+        for out, order in orders.items():
+            alone = ranking.ordinal_rank(data.withColumn("r", ranking.F.round("w", 1)), ["r" if not isinstance(o, str) else o for o in order], out=out, slice_rows=limit)
+            assert rows(got, "name", out) == rows(alone, "name", out)
+
+
+def test_rows_are_stored_once(spark, skewed, monkeypatch):
+    stored = []
+    held = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, label="table": stored.append(df.columns) or held(df, label))
+    ranking.ordinal_rank(skewed, ["-v", "name"], ["k"]).collect()
+    ranking.independent_ranks(skewed, "name", {"a": ["v", "name"], "b": ["name"]}).collect()
+    assert stored == [["k", "v", "name", "__at"], ["name", "__order", "__at"]]
 
 
 @settings(max_examples=8, deadline=None)
