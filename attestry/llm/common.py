@@ -140,26 +140,34 @@ def powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each run of values, runs laid end to end: the sum of scrambled (place in the run, value) pairs.
+
+    Every pair is scrambled before it is added, so runs whose values follow a
+    pattern collide no more often than others. Values have 32 bits at most.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(values)) - np.repeat(starts, lengths)
+    pairs = (place.astype(np.uint64) << np.uint64(32)) | values.astype(np.uint64)
+    return mix(np.add.reduceat(mix(pairs + _BASE), starts) + lengths.astype(np.uint64))
+
+
 def word_hashes(offsets: np.ndarray, data: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, A-Z lower-cased: (row offsets into the words, hashes)."""
     if not len(data):
         return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
-    up, down = powers(len(data))
     folded = _FOLD[data]
     inside = word_bytes[folded]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
-    finish = inside.copy()
-    finish[:-1] &= ~inside[1:]
     edges = offsets[1:-1][offsets[1:-1] < len(data)]
     begin[edges] = inside[edges]
-    edges = edges[edges > 0]
-    finish[edges - 1] = inside[edges - 1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    return np.searchsorted(starts, offsets), hashes
+    starts = np.flatnonzero(begin)
+    # places of the words among the bytes inside words
+    first = np.cumsum(inside)[starts] - 1
+    letters = folded[inside]
+    return np.searchsorted(starts, offsets), run_hashes(letters, first, np.diff(np.append(first, len(letters))))
 
 
 def shingle_hashes(offsets: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

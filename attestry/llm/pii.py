@@ -8,6 +8,7 @@ surroundings, trained on the resulting probabilities, decides.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,15 +54,34 @@ SIDE = 24
 FIELDS = "array<struct<kind:string,start:int,end:int,span:string,before:string,after:string>>"
 
 
+#: Matches whose positions are summed up together; blocks of them are shifted by the lengths of earlier blocks.
+RUN = 128
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _found(text: Column, pattern: str, guard: str, kind: str) -> Column:
     """All matches of a pattern with code point positions and their surroundings.
 
-    The gaps between matches give the positions, so the text is walked once
-    whatever the number of matches.
+    The gaps between matches give the positions. They are summed up in blocks of
+    RUN matches, so that no step copies more than a block of spans.
     """
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    walk = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(FIELDS).alias("out"))
+    walk = F.filter(F.arrays_zip(hits.alias("hit"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next")), lambda x: x["hit"].isNotNull())
+
+    def long(x: Column) -> Column:
+        return F.length(x["gap"]) + F.length(x["hit"])
+
+    def block(walk: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(walk) - 1) / RUN).cast("int")), lambda i: F.slice(walk, i * RUN + 1, F.lit(RUN)))
+
+    def begins(blocks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(blocks, first, lambda s, x: F.struct(
+            (s["at"] + F.aggregate(x, F.lit(0), lambda n, y: n + long(y))).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
@@ -71,8 +91,13 @@ def _found(text: Column, pattern: str, guard: str, kind: str) -> Column:
             F.right(x["gap"], F.lit(SIDE)).alias("before"), F.left(F.coalesce(x["next"], F.lit("")), F.lit(2)).alias("after"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).cast(FIELDS).alias("out"))
 
-    spans = F.aggregate(F.filter(walk, lambda x: x["hit"].isNotNull()), empty, step, lambda s: s["out"])
-    return F.when(text.rlike(guard), spans).otherwise(F.array().cast(FIELDS))
+    def spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(FIELDS).alias("out")), step, lambda s: s["out"])
+
+    none = F.array().cast(FIELDS)
+    found = _let(walk, lambda w: F.when(F.size(w) > 0, _let(block(w), lambda b: _let(begins(b), lambda a: F.flatten(
+        F.transform(b, lambda x, i: spans(x, F.get(a, i))))))).otherwise(none))
+    return F.when(text.rlike(guard), found).otherwise(none)
 
 
 def _digits(span: Column) -> Column:
