@@ -12,8 +12,10 @@ from attestry.llm.common import map_text, text_slices
 
 #: Longest context in bytes, and the rows of each language that are learned from.
 ORDER, DOCS_PER_LANGUAGE = 3, 400
-#: The code table is contexts x bytes x languages; the order goes down until it fits.
-TABLE_BYTES = 96 << 20
+#: A context, its byte and its length are packed into a long; bytes scored at a time.
+MAX_ORDER, CHUNK = 6, 1 << 19
+#: Parts that a language's rows are dealt into before its sample is taken.
+SAMPLE_PARTS = 64
 UNKNOWN = "und"
 
 
@@ -47,70 +49,78 @@ class CodeTable:
     Any other costs the escape, -log2(distinct / (total + distinct)), plus its
     bits after the context shortened by its oldest byte; under the empty context
     stands a uniform code over 256 bytes. A context that a language never saw
-    costs it no escape. All bytes that no language saw share one column.
+    costs it no escape.
+
+    Only what a language saw is held: for each language and context length the
+    sorted (context, byte) entries and the sorted contexts with their escapes, so
+    the size follows the counts and ``order`` always holds.
     """
 
     def __init__(self, counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]], order: int):
-        self.langs = sorted(counts)
-        seen = np.unique(np.concatenate([np.zeros(0, np.int64)] + [by[1][0] for by in counts.values() if 1 in by]))
-        self.symbol = np.full(256, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        a = self.a = len(seen) + 1
-        packed: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        for lang, by in counts.items():
-            for size, (grams, n) in by.items():
-                code = np.zeros(len(grams), np.int64)
-                for k in range(size):
-                    code = code * a + self.symbol[(grams >> (8 * (size - 1 - k))) & 255]
-                packed[lang, size] = code, n
+        if not 0 <= order <= MAX_ORDER:
+            raise ValueError(f"contexts of 0 to {MAX_ORDER} bytes, not {order}")
+        self.langs, self.order = sorted(counts), order
+        #: by language and context length: entries, their bits, contexts, their escapes
+        self.tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        contexts = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([none[0]] + [packed.get((g, k + 1), none)[0] // a for g in self.langs])) for k in range(1, order + 1)]
-        while order > 1 and (sum(map(len, contexts[: order + 1])) * a * len(self.langs) * 4 > TABLE_BYTES or a**order * 4 > TABLE_BYTES):
-            order -= 1
-        self.order = order
-        first = np.cumsum([0, *map(len, contexts[: order + 1])])
-        self.bits = np.zeros((first[-1], a, len(self.langs)), np.float32)
-        #: rows[k]: the row of the longest known suffix of each context of k bytes
-        self.rows = [np.zeros(1, np.int32)]
-        for k in range(order + 1):
-            own = contexts[k]
-            if k:
-                rows = np.tile(self.rows[k - 1], a)
-                shorter = rows[own].copy()
-                rows[own] = first[k] + np.arange(len(own))
-                self.rows.append(rows)
-            for j, lang in enumerate(self.langs):
-                codes, n = packed.get((lang, k + 1), none)
-                base = self.bits[shorter, :, j] if k else np.full((1, a), 8.0, np.float32)
-                at = np.searchsorted(own, codes // a)
-                total = np.bincount(at, n, len(own))
-                distinct = np.bincount(at, minlength=len(own))
-                known = total > 0
-                whole = np.where(known, total + distinct, 1)
-                out = base + np.where(known, -np.log2(np.where(known, distinct, 1) / whole), 0)[:, None].astype(np.float32)
-                out[at, codes % a] = -np.log2(n / whole[at])
-                self.bits[first[k] : first[k + 1], :, j] = out
-        self.bits = self.bits.reshape(len(self.bits) * a, len(self.langs))
+        for lang in self.langs:
+            levels = []
+            for k in range(order + 1):
+                grams, n = counts[lang].get(k + 1, none)
+                by_gram = np.argsort(grams)
+                grams, n = grams[by_gram], n[by_gram]
+                contexts, at = np.unique(grams >> 8, return_inverse=True)
+                distinct = np.bincount(at, minlength=len(contexts))
+                whole = np.bincount(at, n, len(contexts)) + distinct
+                levels.append((grams, -np.log2(n / whole[at]), contexts, -np.log2(distinct / whole)))
+            self.tables.append(levels)
+
+    def _bits(self, levels: list, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram after the ``sizes`` bytes before it, under one language."""
+        out = np.zeros(len(grams))
+        left = np.arange(len(grams))
+        for k in range(self.order, -1, -1):
+            entries, bits, contexts, escapes = levels[k]
+            if not len(entries):
+                continue
+            deep = sizes[left] >= k
+            asked = left[deep]
+            gram = grams[asked] & ((1 << 8 * (k + 1)) - 1)
+            at = np.minimum(np.searchsorted(entries, gram), len(entries) - 1)
+            found = entries[at] == gram
+            out[asked[found]] += bits[at[found]]
+            missed, context = asked[~found], gram[~found] >> 8
+            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            known = contexts[at] == context
+            out[missed[known]] += escapes[at[known]]
+            left = np.concatenate([left[~deep], missed])
+        out[left] += 8.0
+        return out
 
     def lengths(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Code length in bits of each text under each language."""
+        """Code length in bits of each text under each language.
+
+        Bytes are taken CHUNK at a time, so memory does not grow with a text; in a
+        chunk, each distinct byte with its context is looked up once.
+        """
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        if not len(data):
-            return out
-        symbols = self.symbol[data]
-        context = np.zeros(len(data), np.int64)
-        rows = np.zeros(len(data), np.int64)
-        place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets)) if len(offsets) > 2 else np.arange(len(data))
-        for k in range(1, self.order + 1):
-            context[k:] += symbols[:-k] * self.a ** (k - 1)
-            if k < self.order:
-                short = np.flatnonzero(place == k)
-                rows[short] = self.rows[k][context[short]]
-        deep = place >= self.order
-        rows[deep] = self.rows[self.order][context[deep]]
-        bits = self.bits[rows * self.a + symbols]
-        full = np.flatnonzero(np.diff(offsets))
-        out[full] = np.add.reduceat(bits, offsets[:-1][full], axis=0, dtype=np.float64)
+        for first in range(0, len(data), CHUNK):
+            last = min(first + CHUNK, len(data))
+            lo, hi = np.searchsorted(offsets, first, side="right") - 1, np.searchsorted(offsets, last, side="left")
+            cuts = np.clip(offsets[lo : hi + 1], first, last) - first
+            rows = np.flatnonzero(np.diff(cuts)) + lo
+            place = np.arange(first, last) - np.repeat(offsets[lo:hi], np.diff(cuts))
+            sizes = np.minimum(place, self.order)
+            grams = data[first:last].astype(np.int64)
+            for k in range(1, self.order + 1):
+                before = np.zeros(last - first, np.int64)
+                start = min(max(0, k - first), last - first)
+                before[start:] = data[first + start - k : last - k]
+                grams |= np.where(place >= k, before, 0) << 8 * k
+            keys, where = np.unique(grams | sizes << 8 * (self.order + 1), return_inverse=True)
+            grams, sizes = keys & ((1 << 8 * (self.order + 1)) - 1), keys >> 8 * (self.order + 1)
+            for j, levels in enumerate(self.tables):
+                out[rows, j] += np.add.reduceat(self._bits(levels, grams, sizes)[where], cuts[rows - lo])
         return out
 
 
@@ -118,20 +128,24 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
           docs_per_language: int = DOCS_PER_LANGUAGE) -> CodeTable:
     """Learn from ``docs_per_language`` rows of each language, those with the smallest hashes of their ids.
 
-    Rows without text or language teach nothing. The rows to learn from are found
-    on ids alone; their number is bounded by languages x docs_per_language, and
-    so are the counted contexts that come to the driver.
+    Rows without text or language teach nothing; rows that share an id, or have none,
+    are told apart by a hash of their text, and equal rows teach once. The rows are found on hashes alone, first within SAMPLE_PARTS parts of a
+    language, then among those that are left, so that no task reads a whole
+    language. Their number is bounded by languages x docs_per_language, and so are
+    the counted contexts that come to the driver.
     """
-    by_hash = Window.partitionBy("lang").orderBy("h", "id")
-    usable = labelled.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
-    chosen = (
-        usable.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{id_col}`").alias("h"), F.col(f"`{lang_col}`").alias("lang"))
-        .withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= docs_per_language).select("id").distinct()
-    )
-    texts = usable.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    sample = texts.join(F.broadcast(chosen), texts["id"].eqNullSafe(chosen["id"]), "left_semi")
-    counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    usable = labelled.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{id_col}`").alias("h"), F.xxhash64(f"`{text_col}`").alias("t"),
+        F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    keys = usable.select("id", "h", "t", "lang").withColumn("part", F.pmod(F.hash("h", "t"), F.lit(SAMPLE_PARTS)))
+    for parts in (["lang", "part"], ["lang"]):
+        by_hash = Window.partitionBy(*parts).orderBy("h", "id", "t")
+        keys = keys.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= docs_per_language)
+    chosen = keys.select(F.col("id").alias("own_id"), F.col("t").alias("own_t"), F.col("lang").alias("own_lang")).distinct()
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("t") == F.col("own_t")) & (F.col("lang") == F.col("own_lang"))
+    sample = usable.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["id", "t", "lang"])
     table = context_counts(sample, "text", "lang", order).toArrow()
+    counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
     langs, sizes, grams, n = (table.column(i).to_numpy(zero_copy_only=False) for i in range(4))
     for lang in np.unique(langs.astype(str)):
         for size in range(1, order + 2):
@@ -149,7 +163,8 @@ def identify(docs: DataFrame, model: CodeTable, text_col: str = "text") -> DataF
     texts without a letter and all texts under a model without languages are
     ``und`` with score 0. Ties go to the alphabetically first language.
 
-    Scale: one pass without a shuffle; the broadcast table is bounded by TABLE_BYTES.
+    Scale: one pass without a shuffle; the broadcast table is bounded by
+    the rows that were learned from.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits", DoubleType())]

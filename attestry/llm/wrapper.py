@@ -41,20 +41,25 @@ BLOCKS = set(
 CLOSES_P = BLOCKS - set("body head html legend li dd dt option optgroup td th tr tbody thead tfoot summary".split()) | {"li", "dd", "dt"}
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-# Elements and names that never hold main text.
+# Elements that never hold main text.
 DROPPED_TAGS = set("head script style noscript template textarea title iframe button select input svg object".split())
 # Elements, roles and names that speak against main text; they only vote.
 ASIDE_TAGS = set("nav aside footer form label menu dialog".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: A whole class or id. Compounds vote only if every part speaks of a page's frame, or of a box around the named thing.
 ASIDE_NAMES = re.compile(
-    r"(?:(?:site|page|top|bottom|left|right|main|global|primary|secondary|post|entry|wp|js)[_-])*"
+    r"(?:(?:site|page|top|bottom|left|right|main|global|primary|secondary|post|entry|wp|js|user|reader|article)[_-])*"
     r"(?:ads?|advert\w*|adsense|sponsor\w*|promo(?:s|tions?)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|"
     r"side-?bars?|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|(?:site|page)?-?footer|comments?|replies|respond|disqus|social|"
     r"share|sharing|sharedaddy|related|recommended|newsletter|subscribe|signup|login|search|widgets?|skip-?link|copyright)"
-    r"(?:[_-](?:area|bar|box|list|wrap|wrapper|container|section|block|inner|links?|buttons?|form|posts?|notice|text|\d+))*"
+    r"(?:[_-](?:area|bar|box|list|wrap|wrapper|container|section|block|inner|links?|buttons?|form|posts?|notice|text|slot|unit|zone|space|thread|[a-z]|\d+))*"
     r"|(?:(?:site|page|top|main|global)-?)?header", re.I)
+#: What the text of a page is never in, however long it is; a form around all of a page is told by its main heading.
+FIRM_NAMES = re.compile(
+    r"(?:(?:user|reader|post|article|page|site)[_-])*(?:comments?|replies|respond|disqus|ads?|advert\w*|adsense|cookies?|consent|gdpr)"
+    r"(?:[_-](?:area|bar|box|list|wrap|wrapper|container|section|block|inner|form|notice|text|slot|unit|zone|space|thread|[a-z]|\d+))*", re.I)
 MAIN_TAGS = ("article", "main")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "header")
 # Elements that hold a piece of running text, never all of it.
 TEXTUAL = ("p", "li", "h1", "h2", "h3", "td", "dd", "blockquote", "pre")
 
@@ -65,10 +70,10 @@ ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 class Node:
     """An element, or a piece of text where ``tag`` is empty."""
 
-    __slots__ = ("tag", "name", "aside", "kids", "text")
+    __slots__ = ("tag", "name", "aside", "firm", "kids", "text")
 
     def __init__(self, tag: str, name: str = "", aside: bool = False, text: str = ""):
-        self.tag, self.name, self.aside, self.text = tag, name, aside, text
+        self.tag, self.name, self.aside, self.firm, self.text = tag, name, aside, False, text
         self.kids: list[Node] = []
 
     @property
@@ -127,7 +132,11 @@ def parse(page: str) -> Node:
         if name in MAIN_TAGS:
             for around in stack:
                 around.aside = False
+        if name == "h1":
+            for around in stack:
+                around.firm = False
         node = Node(name, re.sub("[0-9]+", "#", names.lower()), aside)
+        node.firm = aside and (name == "form" or any(FIRM_NAMES.fullmatch(n) for n in names.split()))
         stack[-1].kids.append(node)
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -144,7 +153,8 @@ def clean(text: str) -> str:
 class Block(NamedTuple):
     """A block of text: where it is, whether it is mostly links, whether an article or main holds it.
 
-    ``votes`` numbers the elements around it whose tag, role or name speaks against main text.
+    ``votes`` numbers the elements around it whose tag, role or name speaks against
+    main text; the numbers of comments, adverts, consent boxes and forms are negative.
     """
 
     path: str
@@ -193,7 +203,7 @@ def blocks_of(root: Node) -> list[Block]:
             continue
         if node.aside:
             voted += 1
-            votes = (*votes, voted)
+            votes = (*votes, -voted if node.firm else voted)
         own = path
         if node.tag in BLOCKS or node.aside:
             flush()
@@ -329,8 +339,20 @@ def induce(pages: list[str], constants: set[int]) -> str:
 
 
 def varying_of(blocks: list[Block], constants: set[int]) -> list[Block]:
-    """Blocks that are not template and that no vote takes away; a vote fails on elements with over half of the varying text."""
+    """Blocks that are not template and that no vote takes away.
+
+    Where an article or main keeps running text outside of all voted elements, every
+    vote holds, whatever the sizes. Elsewhere votes against comments, adverts,
+    consent boxes and forms hold if running text is left, and any other vote fails on
+    an element with over half of the varying text that is then left.
+    """
     varying = [b for b in blocks if key_of(b) not in constants]
+    plain = [b for b in varying if not b.votes]
+    if any(b.marked and _running(b) for b in plain):
+        return plain
+    firmly = [b for b in varying if all(vote > 0 for vote in b.votes)]
+    if any(_running(b) for b in firmly):
+        varying = firmly
     size: dict[int, int] = {}
     for block in varying:
         for vote in block.votes:
@@ -340,15 +362,27 @@ def varying_of(blocks: list[Block], constants: set[int]) -> list[Block]:
     return [b for b in varying if gone.isdisjoint(b.votes)] or varying
 
 
-def _menus(blocks: list[Block]) -> set[str]:
-    """Paths outside article and main where at least MENU blocks, and most text, are links: menus and lists of teasers."""
+def _running(block: Block) -> bool:
+    """Running text: no heading, and not mostly links."""
+    return not block.linked and _tag_of(block.path.rsplit("/", 1)[-1]) not in HEADINGS
+
+
+def _menus(blocks: list[Block], content: str) -> set[int]:
+    """Identities of links in menus and lists of teasers: at least MENU at one path outside article and main, where most text is links.
+
+    A list that follows running text of the content element, and hangs directly
+    below it, belongs to the text.
+    """
     texts: dict[str, list[Block]] = {}
+    started = False
     for block in blocks:
-        if not block.marked:
+        own = block.path[len(content) + 1 :].split("/") if block.path.startswith(content + "/") else []
+        started = started or (len(own) == 1 and _running(block))
+        if not block.marked and not (started and len(own) == 2 and _tag_of(own[0]) in ("ul", "ol")):
             texts.setdefault(block.path, []).append(block)
     return {
-        path for path, own in texts.items()
-        if sum(b.linked for b in own) >= MENU and 2 * sum(len(b.text) for b in own if b.linked) > sum(len(b.text) for b in own)}
+        id(link) for own in texts.values() for links in [[b for b in own if b.linked]]
+        if len(links) >= MENU and 2 * sum(len(b.text) for b in links) > sum(len(b.text) for b in own) for link in links}
 
 
 def _under(blocks: list[Block], content: str) -> list[Block]:
@@ -374,10 +408,10 @@ def main_text(blocks: list[Block], constants: set[int], content: str) -> list[st
     such path; the links of menus go. A page of nothing but template nodes keeps
     what is under the path.
     """
-    menus = _menus(blocks)
     for some in (varying_of(blocks, constants), varying_of(blocks, set())):
-        under = _under(some, content) or _under(some, content_path(some))
-        kept = [b.text for b in under if not (b.linked and b.path in menus)]
+        path = content if _under(some, content) else content_path(some)
+        under, menus = _under(some, path), _menus(some, content_path(some))
+        kept = [b.text for b in under if id(b) not in menus]
         if kept:
             return kept
     return []
@@ -394,8 +428,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     The wrapper then runs over every page, whatever the page marks as article or
     main: that text only weighs more when the content path is looked for. Scripts
     and the like never count. Menus, headers, footers, sidebars, notices, adverts,
-    forms and comments are known by element, role or the whole name of a block; they
-    go unless they hold an article or main, or over half of the page's varying text.
+    forms and comments are known by element, role or the whole name of a block. Those
+    that hold an article or main stay. Beside or inside an article with text of its
+    own all others go, whatever their size; on other pages comments, adverts, consent
+    boxes and forms go, and the rest unless it holds over half of the varying text.
 
     Columns named ``blocks`` or ``text`` are replaced. NULL and empty pages have no
     blocks and an empty text; pages without a host share the wrapper of no host;

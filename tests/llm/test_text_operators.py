@@ -275,6 +275,24 @@ def test_html_names_only_vote(spark):
     assert wrapper.extract(page, set(), "") == [long[0], "A source in a paragraph"]
 
 
+def test_html_asides_go_whatever_their_size():
+    """Comments, forms and adverts longer than a short article; a list of links under the text stays."""
+    rng = random.Random(11)
+    text, long = " ".join(words(rng, 8)), " ".join(words(rng, 90))
+    asides = [f"<{tag} {name}><p>{long}</p><p>{long}</p></{tag.split()[0]}>" for tag, name in (
+        ("div", "class='comments'"), ("section", "id='user-comments'"), ("ul", "class='reader-comments'"), ("form", ""), ("div", "class='ad-slot'"),
+        ("div", "class='cookie-notice-x'"))]
+    for aside in asides:
+        for frame in ("<article><h1>Title</h1><p>{t}</p>{a}</article>", "<article><h1>Title</h1><p>{t}</p></article>{a}",
+                      "<main><h1>Title</h1><p>{t}</p>{a}</main>", "<div class='x'><h1>Title</h1><p>{t}</p>{a}</div>"):
+            assert wrapper.extract(f"<body>{frame.format(t=text, a=aside)}</body>", set(), "") == ["Title", text], (aside[:40], frame)
+    form = f"<body><form id='all'><div class='x'><h1>Title</h1><p>{text}</p></div></form></body>"
+    assert wrapper.extract(form, set(), "") == ["Title", text]
+    links = "".join(f"<li><a href='/{i}'>Source {i}</a></li>" for i in range(3))
+    page = f"<body><ul>{links.replace('Source', 'Menu')}</ul><div class='x'><ul>{links.replace('Source', 'Jump')}</ul><p>{long}</p><ul>{links}</ul></div></body>"
+    assert wrapper.extract(page, set(), "") == [long, "Source 0", "Source 1", "Source 2"]
+
+
 def test_html_counts_all_pages_of_a_host(spark):
     """A notice on nine pages of ten goes wherever it is missing, and each of two layouts has its own wrapper."""
     rng = random.Random(12)
@@ -370,3 +388,44 @@ def test_language_code_lengths_are_exact(spark):
     got = model.lengths(np.array([0, len(data)]), data)[0]
     want = [sum(bits(lang, text[max(0, i - 2) : i], text[i]) for i in range(len(text))) for lang in model.langs]
     assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_language_lengths_do_not_depend_on_chunks(spark, monkeypatch):
+    """Texts cut into chunks anywhere, empty ones among them, cost what they cost alone."""
+    rng = random.Random(20)
+    docs = spark.createDataFrame([(i, language(rng, "abcdé" if i % 2 else "xyzab"), str(i % 2)) for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.train(docs, order=4)
+    texts = ["", "abc", *(language(rng, "abcdéxyz", 30) for _ in range(6)), "", "zz", ""]
+    raw = [t.encode() for t in texts]
+    offsets, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
+    alone = [model.lengths(np.array([0, len(r)]), np.frombuffer(r, np.uint8))[0] for r in raw]
+    for chunk in (1, 3, 7, 64, 1 << 19):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.allclose(model.lengths(offsets, data), alone)
+
+
+def test_language_order_holds_however_many_contexts(spark):
+    """A model of many languages and contexts keeps its order and holds only what was seen."""
+    rng = np.random.default_rng(3)
+    counts = {}
+    for lang in range(12):
+        grams = np.unique(rng.integers(0, 256, (60_000, 4), np.int64) @ (256 ** np.arange(4)))
+        counts[str(lang)] = {4: (grams, np.ones(len(grams), np.int64))}
+    model = langid.CodeTable(counts, 3)
+    assert model.order == 3 and sum(len(levels[3][0]) for levels in model.tables) == sum(len(c[4][0]) for c in counts.values())
+
+
+def test_language_sample_is_bounded_by_rows(spark):
+    """Rows without an id and rows of one id are told apart; ties and clashing columns have a defined result."""
+    texts = [("a" * 40 + str(i), "x") for i in range(30)] + [("b" * 40 + str(i), "y") for i in range(30)]
+    for ids in ([None] * 60, [7] * 60):
+        docs = spark.createDataFrame([(i, t, g, "s") for i, (t, g) in zip(ids, texts)] * 2, "doc_id long, text string, lang string, score string")
+        model = langid.train(docs, docs_per_language=5)
+        assert model.langs == ["x", "y"]
+        # of 30 texts with different numbers, five teach: at most ten digits and a letter
+        assert all(len(levels[0][0]) <= 11 for levels in model.tables)
+        out = langid.identify(docs, model)
+        assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "bits"]
+        assert all(r.lang_pred == r.lang for r in out.collect())
+    twins = spark.createDataFrame([(1, "abc abc", "q"), (2, "abc abc", "p")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(twins, langid.train(twins)).collect()} == {"p"}
