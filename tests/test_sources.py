@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 
@@ -81,3 +82,41 @@ def test_columns_are_bound_by_name(spark, tmp_path):
 def test_line_breaks_inside_quotes(spark, tmp_path):
     (tmp_path / "sheet.csv").write_text('note "with\nbreak"\nname,number\n"Zoë\nAnn",4\nBob,9\n')
     assert rows(readers.read_sheet_grid(spark, str(tmp_path / "sheet.csv"), "name STRING, number INT", skip=1, header=True)) == [("Bob", 9), ("Zoë\nAnn", 4)]
+
+
+def whole_file_records(text):
+    """Records of a text read from end to end."""
+    out, line, inside = [], "", False
+    for piece in text.split("\n"):
+        line = f"{line}\n{piece}" if inside else piece
+        inside ^= piece.count('"') % 2 == 1
+        if not inside:
+            out.append(line)
+    return [*out, line] if inside else out[:-1] if text.endswith("\n") else out
+
+
+@pytest.mark.parametrize("split", ["16", "61", "100000"])
+def test_records_of_several_splits(spark, tmp_path, split):
+    """Quoted breaks at split borders, records longer than a split, an open quote at the end, empty lines and empty files."""
+    rng = random.Random(5)
+    texts = {"empty.csv": "", "open.csv": 'a,b\n"never\nclosed,\n1', "one.csv": "x" * 300, "wide.csv": 'k,"' + "\n".join("ab" for _ in range(200)) + '"\nlast,1\n'}
+    for n in range(3):
+        cells = ['"' + "".join(rng.choice('ab\n\r,') for _ in range(rng.randrange(40))) + '"' if rng.random() < 0.4 else "z" * rng.randrange(9) for _ in range(120)]
+        texts[f"many{n}.csv"] = "".join(c + rng.choice([",", "\n", "\r\n", ',""""\n']) for c in cells) + "\n"
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = readers.read_records(spark, str(tmp_path))
+        got = {}
+        for r in frame.collect():
+            got.setdefault(r.file.rsplit("/", 1)[-1], []).append((r["at"], r.line))
+    finally:
+        for key in ("files.maxPartitionBytes", "files.openCostInBytes", "execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(f"spark.sql.{key}")
+    want = {name: list(enumerate(whole_file_records(text))) for name, text in texts.items() if text}
+    assert {name: sorted(v) for name, v in got.items()} == want
+    preamble = readers.read_sheet_grid(spark, str(tmp_path / "wide.csv"), "name STRING, text STRING", skip=0)
+    assert rows(preamble) == [("k", "\n".join("ab" for _ in range(200))), ("last", "1")]
