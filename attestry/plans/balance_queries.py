@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.operators import balance, profile, stimuli
+from attestry.operators import balance, profile, sketches, stimuli
 from attestry.plans import ctes, standins
 from attestry.plans.ctes import in_list
 from attestry.plans.registry import query
@@ -510,6 +510,13 @@ def _(spark, sf):
     return profile.always_attested_series(_medium(spark, sf), min_years=5)
 
 
+@query("sketched_profile")
+def _(spark, sf):
+    cells = materialize(sketches.name_sketches(standins.attestations(spark, sf)))
+    by_region = sketches.unisex_sketch(cells, ["region"])
+    return by_region.unionByName(sketches.unisex_sketch(cells).withColumn("region", F.lit(None).cast("string")))
+
+
 @query("unisex_intersection", f"""
 SELECT name FROM medium WHERE asab = 'F' INTERSECT SELECT name FROM medium WHERE asab = 'M' INTERSECT SELECT name FROM ({_ALWAYS}) AS a""",
        "medium")

@@ -131,6 +131,37 @@ def _(spark, sf):
     return density.density2d(items, ["l_returnflag"], "l_discount", "l_tax", (0.0, 0.1), (0.0, 0.08), grid=60)
 
 
+def _kde_binned(points: str, group: str, x_range: float, y_range: float, grid: int, bins: int, refine: int) -> str:
+    cells = (grid - 1) * refine
+    step_x, step_y, fine_x, fine_y = (f"CAST({r / n!r} AS DOUBLE)" for n in (grid - 1, cells) for r in (x_range, y_range))
+    return f"""
+WITH spread AS (SELECT {group}, count(*) AS n,
+             1.06 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * count(*) ** -0.2 AS h_x,
+             1.06 * least(stddev_samp(y), (quantile_cont(y, 0.75) - quantile_cont(y, 0.25)) / 1.34) * count(*) ** -0.2 AS h_y
+      FROM {points} GROUP BY {group}),
+placed AS (SELECT *, least(floor(x / {fine_x}), {cells - 1}) AS jx, least(floor(y / {fine_y}), {cells - 1}) AS jy FROM {points}),
+nodes AS (SELECT {group}, jx + r AS jx, jy + u AS jy, sum(CASE r WHEN 1 THEN x / {fine_x} - jx ELSE 1 - (x / {fine_x} - jx) END
+             * CASE u WHEN 1 THEN y / {fine_y} - jy ELSE 1 - (y / {fine_y} - jy) END) AS m
+      FROM placed CROSS JOIN (VALUES (0), (1)) AS a(r) CROSS JOIN (VALUES (0), (1)) AS b(u) GROUP BY ALL)
+SELECT {group}, ix, iy, ix * {step_x} AS x, iy * {step_y} AS y, density, ndensity,
+       least({bins}, CAST(floor(ndensity * {bins}) AS INTEGER) + 1) AS level, error FROM (
+SELECT *, density / max(density) OVER (PARTITION BY {group}) AS ndensity FROM (
+SELECT p.{group}, ix, iy, sum(m * exp(-0.5 * ((ix * {step_x} - jx * {fine_x}) / h_x) ** 2) * exp(-0.5 * ((iy * {step_y} - jy * {fine_y}) / h_y) ** 2))
+       / (2 * pi() * any_value(n) * any_value(h_x) * any_value(h_y)) AS density,
+       any_value(({fine_x} ** 2 / 8 / h_x ** 2 + {fine_y} ** 2 / 8 / h_y ** 2) / (2 * pi() * h_x * h_y)) AS error
+FROM nodes AS p JOIN spread AS h ON h.{group} = p.{group} AND h_x > 0 AND h_y > 0
+CROSS JOIN (SELECT CAST(i AS INTEGER) AS ix FROM range({grid}) AS a(i)) AS gx
+CROSS JOIN (SELECT CAST(j AS INTEGER) AS iy FROM range({grid}) AS b(j)) AS gy
+GROUP BY ALL) AS d) AS s"""
+
+
+@query("density2d_binned", _kde_binned("(SELECT l_returnflag, CAST(l_discount AS DOUBLE) AS x, CAST(l_tax AS DOUBLE) AS y FROM lineitem)", "l_returnflag", 0.1, 0.08, 60, 10, 4), "",
+       approx="x y density ndensity error")
+def _(spark, sf):
+    items = st.table(spark, sf, "lineitem").select("l_returnflag", "l_discount", "l_tax")
+    return density.density2d_binned(items, ["l_returnflag"], "l_discount", "l_tax", (0.0, 0.1), (0.0, 0.08), grid=60)
+
+
 @query("rating_density", _kde("""(SELECT area, fem AS x, masc AS y FROM placed WHERE area IS NOT NULL AND fem BETWEEN 0 AND 100
 AND masc BETWEEN 0 AND 100)""", "area", 100.0, 100.0, 30, 15), "placed", approx="x y density ndensity")
 def _(spark, sf):

@@ -32,9 +32,9 @@ def _norm(v):
 # used in SQL do not hold.
 NEEDS_FULL_TABLE = {"poisson_deviances", "compare_main_effects", "poisson_saturated_coefficients", "logistic_coefficients",
                     "poisson_contrasts", "poisson_four_factors", "compare_models", "logistic_three_factors"}
-# Fits without a closed form; tests/test_models.py holds them against brute force.
+# Fits without a closed form, and estimates; tests/test_models.py and tests/test_sketches_density.py hold them against exact results.
 NO_SQL = {"random_intercept_logistic", "random_intercept_comparison", "random_intercept_pictures",
-          "random_intercept_poisson", "random_intercept_four_factors", "random_intercept_crossed"}
+          "random_intercept_poisson", "random_intercept_four_factors", "random_intercept_crossed", "sketched_profile"}
 
 
 def test_every_other_query_has_sql():
