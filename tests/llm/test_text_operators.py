@@ -293,6 +293,16 @@ def test_html_asides_go_whatever_their_size():
     assert wrapper.extract(page, set(), "") == [long, "Source 0", "Source 1", "Source 2"]
 
 
+def test_html_long_and_repeated_pages(spark):
+    """Every paragraph of a very long page is kept; repeated rows are treated alike."""
+    rng = random.Random(13)
+    paragraphs = [[f"{i} {k} " + " ".join(words(rng, 6)) for k in range(400)] for i in range(2)]
+    pages = ["<body><div>Shop</div><article>" + "".join(f"<p>{p}</p>" for p in own) + "</article></body>" for own in paragraphs]
+    rows = [(i % 2, "http://h.example.org/", pages[i % 2]) for i in range(6)]
+    got = [(r.page_id, r.blocks) for r in wrapper.extract_pages(spark.createDataFrame(rows, PAGES)).collect()]
+    assert len(got) == 6 and all(blocks == paragraphs[i] for i, blocks in got)
+
+
 def test_html_counts_all_pages_of_a_host(spark):
     """A notice on nine pages of ten goes wherever it is missing, and each of two layouts has its own wrapper."""
     rng = random.Random(12)
