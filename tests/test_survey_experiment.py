@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import vocab
 from attestry.operators import experiment, survey
+from attestry.plans import standins as st
 from tests.conftest import rows
 
 
@@ -102,3 +103,17 @@ def test_relevel():
     assert experiment.relevel({"s": ["He", "She", "They"]}, s="They") == {"s": ["They", "He", "She"]}
     with pytest.raises(ValueError):
         experiment.relevel({"s": ["He"]}, s="They")
+
+
+def test_people_are_dealt_to_bounded_tasks(spark, tmp_path, monkeypatch):
+    people = [(i, f"C{i}", i % 25, 1.5 * i, "BUILDING") for i in range(1000)] + [(None, None, None, None, None)] + [(7, "C7", 7, 10.5, "BUILDING")] * 2
+    columns = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(people, columns).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    whole = [rows(e(spark, str(tmp_path))) for e in (st.demographics_export, st.consent_export, st.gender_export)]
+    monkeypatch.setattr(st, "PEOPLE_PER_TASK", 100)
+    for export, before in zip((st.demographics_export, st.consent_export, st.gender_export), whole):
+        dealt = export(spark, str(tmp_path))
+        assert rows(dealt) == before
+        each = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(each) > 5 and max(each) < len(before) / 4
+    assert len(rows(survey.clean_demographics(st.demographics_export(spark, str(tmp_path))))) == 1001
