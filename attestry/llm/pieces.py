@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType,
+    ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType,
 )
 
 from attestry.llm.common import map_text, mix, run_hashes, text_slices
@@ -22,6 +22,8 @@ SAMPLES = 3
 #: Text that one lattice is built for; a longer text has one of its own.
 LATTICE_BYTES = 256 << 10
 SPACE, OTHER_SPACE, NEWLINE = 0x2581, 0x10FFFF + 1, 0x0A
+#: Ids that are spelled together to compare them with their texts.
+SPELL_IDS = 1 << 14
 #: No Gumbel value from 32 random bits is this far above its location.
 REACH = 23.0
 #: Steps of a path that are looked at first, as far as their prefix has this log chance.
@@ -106,6 +108,22 @@ class Vocabulary:
         """The bytes of an array of valid ids, the space in front included."""
         return self.letters[_spread(self.letter_at[ids], self.letter_count[ids])]
 
+    def spells(self, rows: list[np.ndarray], texts: list[np.ndarray]) -> list[bool]:
+        """Whether each row of valid ids, the space in front left out, gives the bytes of its text."""
+        out, first = [], 0
+        while first < len(rows):
+            # as many rows as have SPELL_IDS ids, one at least
+            last, size = first + 1, len(rows[first])
+            while last < len(rows) and size + len(rows[last]) <= SPELL_IDS:
+                size += len(rows[last])
+                last += 1
+            ids = np.concatenate(rows[first:last])
+            bounds = np.concatenate([[0], np.cumsum(self.letter_count[ids])])[np.concatenate([[0], np.cumsum([len(r) for r in rows[first:last]])])]
+            letters = self.spell(ids)
+            out += [np.array_equal(letters[a + 1 : b], text) for a, b, text in zip(bounds[:-1], bounds[1:], texts[first:last], strict=True)]
+            first = last
+        return out
+
     def decode(self, ids) -> str:
         """The text of a row of ids; ids outside the vocabulary and control pieces are empty."""
         out = b"".join([self.bytes[i] for i in ids if 0 <= i < self.size])
@@ -480,7 +498,7 @@ def segment(vocabulary: Vocabulary, texts: list[str], seeds: np.ndarray, samples
 
 
 def sample_pieces(docs: DataFrame, model_path: str = MODEL, key_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES,
-                  ids_of: int | None = None) -> DataFrame:
+                  ids_of: int | None = None, packed: bool = False) -> DataFrame:
     """Distinct segmentations of each text, drawn without replacement by their probability.
 
     Adds ``segmentations``, in the order drawn: (n_pieces, log_prob, perturbed,
@@ -489,8 +507,9 @@ def sample_pieces(docs: DataFrame, model_path: str = MODEL, key_col: str = "doc_
     segmentation's value exceeds the first value that was not drawn, 0 where
     nothing was left; ``ids_sha256`` digests the ids as 32-bit little-endian
     numbers; ``ids`` are filled for the first ``ids_of`` segmentations, all by
-    default; ``decodes`` tells that the ids of the first give the text back, and is
-    NULL for the others, which go through the same words.
+    default, as arrays, or ``packed`` as the bytes that are digested, which Spark
+    passes on and writes far faster; ``decodes`` tells that the ids of this
+    segmentation give the text back.
 
     The draw depends on the row's key and text alone, not on partitions. NULL and
     empty texts have no segmentation, texts with fewer segmentations have them all;
@@ -499,8 +518,8 @@ def sample_pieces(docs: DataFrame, model_path: str = MODEL, key_col: str = "doc_
     every text is decoded to itself.
 
     Scale: one pass without a shuffle. The lattice is built once for each distinct
-    word of some texts, words never sharing a piece; memory follows LATTICE_BYTES,
-    or one text where it is longer. The model file is read on the driver and
+    word of some texts, words never sharing a piece, and their results go on before
+    the next ones are read; memory follows LATTICE_BYTES, or one text where it is longer. The model file is read on the driver and
     broadcast, half a megabyte.
     """
     with open(model_path, "rb") as file:
@@ -508,10 +527,10 @@ def sample_pieces(docs: DataFrame, model_path: str = MODEL, key_col: str = "doc_
     entry = StructType([
         StructField("n_pieces", IntegerType()), StructField("log_prob", DoubleType()), StructField("perturbed", DoubleType()),
         StructField("log_inclusion", DoubleType()), StructField("ids_sha256", StringType()), StructField("decodes", BooleanType()),
-        StructField("ids", ArrayType(IntegerType()))])
+        StructField("ids", BinaryType() if packed else ArrayType(IntegerType()))])
     arrow = pa.struct([
         ("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()),
-        ("ids_sha256", pa.string()), ("decodes", pa.bool_()), ("ids", pa.list_(pa.int32()))])
+        ("ids_sha256", pa.string()), ("decodes", pa.bool_()), ("ids", pa.binary() if packed else pa.list_(pa.int32()))])
     keep = samples if ids_of is None else ids_of
     key = F.xxhash64(F.col(f"`{key_col}`"))
     rest = [c for c in docs.columns if c.lower() != "segmentations"]
@@ -524,37 +543,53 @@ def sample_pieces(docs: DataFrame, model_path: str = MODEL, key_col: str = "doc_
         def work(job: pa.Array) -> list[pa.Array]:
             texts, seeds = job.field("text"), job.field("seed").to_numpy(zero_copy_only=False).view(np.uint64)
             columns: list[list] = [[] for _ in range(6)]
-            counts, ids_of_all = [], []
+            counts, kept, sizes = [], [], []
             for first, offsets, data in text_slices(texts, LATTICE_BYTES):
                 own = [t or "" for t in texts.slice(first, len(offsets) - 1).to_pylist()]
                 results = segment(vocabulary, own, mix(seeds[first : first + len(own)]), samples)
-                for i, (drawn, after) in enumerate(results):
+                whole = iter(vocabulary.spells([ids for drawn, _ in results for ids, _, _ in drawn], [
+                    data[offsets[i] : offsets[i + 1]] for i, (drawn, _) in enumerate(results) for _ in drawn]))
+                for drawn, after in results:
                     counts.append(len(drawn))
                     for nth, (ids, log_prob, value) in enumerate(drawn):
                         far = log_prob - after
                         inclusion = 0.0 if after == -np.inf else far if far < -30 else float(np.log(-np.expm1(-np.exp(min(far, 700.0)))))
                         sha = hashlib.sha256(ids.astype("<i4", copy=False)).hexdigest()
-                        whole = vocabulary.spell(ids)[1:].tobytes() == data[offsets[i] : offsets[i + 1]].tobytes() if nth == 0 else None
-                        for column, v in zip(columns, (len(ids), log_prob, value, inclusion, sha, whole)):
+                        for column, v in zip(columns, (len(ids), log_prob, value, inclusion, sha, next(whole))):
                             column.append(v)
-                        ids_of_all.append(ids if nth < keep else None)
-            flat = pa.StructArray.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, arrow)] + [pa.array(ids_of_all, pa.list_(pa.int32()))], fields=list(arrow))
+                        sizes.append(len(ids) if nth < keep else -1)
+                        if nth < keep:
+                            kept.append(ids)
+            missing, numbers = np.array(sizes, np.int64) < 0, np.concatenate(kept) if kept else np.zeros(0, np.int32)
+            ends = np.append(0, np.cumsum(np.maximum(sizes, 0)))
+            if packed:
+                ids_of_all = pa.Array.from_buffers(pa.large_binary(), len(sizes), [
+                    pa.array(~missing).buffers()[1], pa.py_buffer(ends * 4), pa.py_buffer(numbers.astype("<i4", copy=False))]).cast(pa.binary())
+            else:
+                ids_of_all = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers, pa.int32()), mask=pa.array(missing))
+            flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)] + [ids_of_all], fields=list(arrow))
             return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)]
 
         return work
 
-    done = map_text(jobs, "job", [StructField("segmentations", ArrayType(entry))], make)
+    def cut(job: pa.Array):
+        return ((first, len(offsets) - 1) for first, offsets, _ in text_slices(job.field("text"), LATTICE_BYTES))
+
+    done = map_text(jobs, "job", [StructField("segmentations", ArrayType(entry))], make, cut)
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], "segmentations")
 
 
 def decode_pieces(rows: DataFrame, ids_col: str, model_path: str = MODEL, out_col: str = "decoded") -> DataFrame:
-    """Add the text of a column of piece ids; NULL stays NULL, unknown ids are empty."""
+    """Add the text of a column of piece ids, arrays or packed; NULL stays NULL, unknown ids are empty."""
     with open(model_path, "rb") as file:
         model = rows.sparkSession.sparkContext.broadcast(file.read())
 
     def make():
         vocabulary = vocabulary_of(model.value)
-        return lambda ids: [pa.array([None if r is None else vocabulary.decode([i for i in r if i is not None]) for r in ids.to_pylist()], pa.string())]
+
+        def numbers(r):
+            return np.frombuffer(r, "<i4").tolist() if isinstance(r, bytes) else [i for i in r if i is not None]
+
+        return lambda ids: [pa.array([None if r is None else vocabulary.decode(numbers(r)) for r in ids.to_pylist()], pa.string())]
 
     return map_text(rows, ids_col, [StructField(out_col, StringType())], make)

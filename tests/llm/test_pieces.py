@@ -1,5 +1,6 @@
 """Sampled segmentations against enumeration, and exact round trips."""
 
+import hashlib
 import math
 import os
 from collections import Counter
@@ -9,6 +10,7 @@ import pytest
 
 from attestry.llm import pieces
 from attestry.llm.common import mix
+from attestry.llm.queries import op1_sampled_pieces
 from tests.llm.test_text_operators import TEXT
 
 pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no tokenizer files")
@@ -114,3 +116,33 @@ def test_rows(spark):
 def test_decode_odd_ids(spark):
     rows = spark.createDataFrame([([],), (None,), ([0, 1, 2, 99999, -1, None],)], "ids array<int>")
     assert [r.decoded for r in pieces.decode_pieces(rows, "ids").collect()] == ["", None, ""]
+
+
+def test_query_returns_and_decodes_every_sample(spark, tmp_path):
+    texts = ["Hello  world\nfoo é 漢字 a", "a", "\n\n", "▁ \U0001f600", "word " * 20000, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    result = op1_sampled_pieces(spark, str(tmp_path))
+    assert len(result.collect()) == len(texts)
+    for r in result.collect():
+        assert r.decodes is True and r.n_samples == len(r.ids) == len(r.ids_sha256) and (r.n_samples > 0) == bool(texts[r.doc_id])
+        assert [hashlib.sha256(ids).hexdigest() for ids in r.ids] == r.ids_sha256
+        assert [len(ids) // 4 for ids in r.ids] == r.n_pieces
+    decoded = pieces.decode_pieces(result.selectExpr("doc_id", "explode(ids) AS ids"), "ids").collect()
+    assert len(decoded) == sum(r.n_samples for r in result.collect()) > len(texts) and all(r.decoded == texts[r.doc_id] for r in decoded)
+    arrays = pieces.sample_pieces(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert {r.doc_id: [np.array(s.ids, "<i4").tobytes() for s in r.segmentations] for r in arrays} == {r.doc_id: [bytes(i) for i in r.ids] for r in result.collect()}
+    for packed in (False, True):
+        drawn = pieces.sample_pieces(spark.read.parquet(f"{tmp_path}/documents.parquet"), ids_of=1, packed=packed).collect()
+        assert all(s.decodes is True and (s.ids is None) == (nth > 0) for r in drawn for nth, s in enumerate(r.segmentations))
+
+
+def test_spelling_tells_wrong_ids(vocabulary, monkeypatch):
+    texts = [b"some words", "漢字 é".encode(), b"x"]
+    drawn = pieces.segment(vocabulary, [t.decode() for t in texts], mix(np.arange(3).astype(np.uint64)), 1)
+    ids = [own[0][0] for own, _ in drawn]
+    raw = [np.frombuffer(t, np.uint8) for t in texts]
+    for limit in (1, 1 << 16):
+        monkeypatch.setattr(pieces, "SPELL_IDS", limit)
+        assert vocabulary.spells(ids, raw) == [True] * 3
+        assert vocabulary.spells([ids[0][:-1], ids[1], ids[0]], raw) == [False, True, False]
+    assert vocabulary.spells([], []) == []
