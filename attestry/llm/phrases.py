@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.exprs import join_dimension
 from attestry.llm import quotient_filter as qf
-from attestry.llm.common import bitmap_holds, bitmap_of, mix, stored, text_slices
+from attestry.llm.common import arrow_batches, bitmap_holds, bitmap_of, mix, stored, text_slices
 
 #: Language of a document whose language is NULL.
 NO_LANGUAGE = "und"
@@ -18,8 +18,11 @@ NO_LANGUAGE = "und"
 LONGEST = 4
 #: Bytes of text that share one table of local word numbers.
 SHARD_BYTES = 2 << 20
-#: Entries that a task gathers in one filter before it is written, and that a segment should hold after the merge.
-FILTER_ENTRIES, SEGMENT_ENTRIES = 1 << 20, 1 << 20
+#: Entries that a task gathers in one filter before it is written, that a segment should hold after the merge, and that
+#: filters of a segment are merged at.
+FILTER_ENTRIES, SEGMENT_ENTRIES, MERGE_ENTRIES = 1 << 20, 1 << 20, 1 << 19
+#: Rows and bytes that go to a Python worker at once, and text that it gathers for shards of all languages together.
+BATCH_ROWS, BATCH_BYTES, HELD_BYTES = 1000, 4 << 20, 8 << 20
 #: A lookup of more bytes than this is joined by a shuffle.
 LOOKUP_BYTES = 8 << 20
 
@@ -39,10 +42,11 @@ def _words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edges = offsets[:-1][offsets[:-1] < len(data)]
     begin[edges] = inside[edges]
     starts = np.flatnonzero(begin)
-    taken = np.cumsum(inside)
+    # 32 bits hold the places of any text, and half the memory
+    taken = np.cumsum(inside, dtype=np.int32)
     first = taken[starts] - 1 if len(starts) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(first, taken[-1] if len(taken) else 0))
-    cuts = np.cumsum(_CUT[folded])
+    cuts = np.cumsum(_CUT[folded], dtype=np.int32)
     piece = cuts[starts] + np.searchsorted(offsets, starts, side="right") if len(starts) else np.zeros(0, np.int64)
     return folded[inside], lengths, starts, piece
 
@@ -52,30 +56,48 @@ def _shards(limit: int):
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
+        held: dict[str, list[pa.Array]] = {}
+        sizes: dict[str, int] = {}
+
+        def written(lang: str):
+            nonlocal number
+            sizes.pop(lang)
+            for _, offsets, data in text_slices(pa.concat_arrays(held.pop(lang)), limit):
+                kept, lengths, _, piece = _words(offsets, data)
+                if not len(lengths):
+                    continue
+                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(kept)])
+                coded = column.dictionary_encode()
+                codes = coded.indices.to_numpy()
+                fresh = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+                sequence = np.insert(codes + 1, fresh, 0)
+                wide = len(coded.dictionary) >= 1 << 16
+                words = coded.dictionary.cast(pa.large_string()).cast(pa.string())
+                counts = pa.array(np.bincount(codes, minlength=len(words)))
+                one = pa.array([0, len(words)], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([(task << 40) + number], pa.int64()), pa.array([lang]), pa.array([wide]),
+                    pa.array([sequence.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
+                    pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, counts),
+                ], names=["shard", "lang", "wide", "sequence", "words", "counts"])
+                number += 1
+
         for batch in batches:
             langs = batch.column(1).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 texts = batch.column(0).take(pa.array(np.flatnonzero(langs.indices.to_numpy() == k)))
-                for _, offsets, data in text_slices(texts, limit):
-                    kept, lengths, _, piece = _words(offsets, data)
-                    if not len(lengths):
-                        continue
-                    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(kept)])
-                    coded = column.dictionary_encode()
-                    codes = coded.indices.to_numpy()
-                    fresh = np.flatnonzero(piece[1:] != piece[:-1]) + 1
-                    sequence = np.insert(codes + 1, fresh, 0)
-                    wide = len(coded.dictionary) >= 1 << 16
-                    words = coded.dictionary.cast(pa.large_string()).cast(pa.string())
-                    counts = pa.array(np.bincount(codes, minlength=len(words)))
-                    one = pa.array([0, len(words)], pa.int32())
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([(task << 40) + number], pa.int64()), pa.array([lang]), pa.array([wide]),
-                        pa.array([sequence.astype("<u4" if wide else "<u2").tobytes()], pa.binary()),
-                        pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, counts),
-                    ], names=["shard", "lang", "wide", "sequence", "words", "counts"])
-                    number += 1
+                if sizes.get(lang, 0) and sizes[lang] + texts.nbytes > limit:
+                    yield from written(lang)
+                held.setdefault(lang, []).append(texts)
+                sizes[lang] = sizes.get(lang, 0) + texts.nbytes
+            if sum(sizes.values()) >= HELD_BYTES:
+                for lang in list(sizes):
+                    if len(sizes) > 1 and sum(sizes.values()) < HELD_BYTES // 2:
+                        break
+                    yield from written(max(sizes, key=sizes.get))
+        for lang in list(sizes):
+            yield from written(lang)
 
     return run
 
@@ -230,8 +252,9 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     spark = docs.sparkSession
     texts = docs.select(
         F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang")).where("text <> ''")
-    shards = stored(texts.mapInArrow(
-        _shards(SHARD_BYTES), "shard long, lang string, wide boolean, sequence binary, words array<string>, counts array<long>"), "shards")
+    with arrow_batches(spark, BATCH_ROWS, BATCH_BYTES):
+        shards = stored(texts.mapInArrow(
+            _shards(SHARD_BYTES), "shard long, lang string, wide boolean, sequence binary, words array<string>, counts array<long>"), "shards")
     local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "entry")).select(
         "shard", "lang", "place", F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
     counted = stored(local.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
@@ -243,14 +266,16 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     numbers = local.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(
         F.collect_list(F.struct("place", F.col("id").cast("int").alias("id"))).alias("pairs"))
-    sequences = stored(
-        shards.join(numbers, "shard").select("wide", "sequence", "pairs").mapInArrow(_resolve, "sequence binary"), "sequences")
+    with arrow_batches(spark, BATCH_ROWS, BATCH_BYTES):
+        sequences = stored(
+            shards.join(numbers, "shard").select("wide", "sequence", "pairs").mapInArrow(_resolve, "sequence binary"), "sequences")
 
     def frequent(size: int, held=None) -> DataFrame:
         filters = sequences.mapInArrow(_filters(size, bits, segment_bits, FILTER_ENTRIES, held), "segment long, filter binary")
         dealt = filters.repartition("segment").sortWithinPartitions("segment")
-        return stored(dealt.mapInArrow(
-            _merged(size, bits, segment_bits, least, FILTER_ENTRIES), "w1 long, w2 long, w3 long, w4 long, f long, h long"), "runs")
+        with arrow_batches(spark, BATCH_ROWS, BATCH_BYTES):
+            return stored(dealt.mapInArrow(
+                _merged(size, bits, segment_bits, least, MERGE_ENTRIES), "w1 long, w2 long, w3 long, w4 long, f long, h long"), "runs")
 
     pairs = frequent(2)
     bitmap = spark.sparkContext.broadcast(bitmap_of(F.col("h"), pairs))

@@ -11,6 +11,7 @@ import pytest
 
 from attestry.llm import phrases, spelling, topk_search
 from attestry.llm import quotient_filter as qf
+from attestry.llm.common import arrow_batches
 from attestry.llm.phrases import mine_phrases
 from attestry.llm.spelling import spelling_groups
 from attestry.llm.topk_search import ImpactIndex
@@ -121,6 +122,28 @@ def test_phrases_of_many_filters_and_segments(spark, monkeypatch):
     assert found_phrases(spark, docs, least=4) == plain_phrases(docs, least=4)
 
 
+def test_shards_hold_texts_of_many_batches(spark):
+    rows = [(f"w{i} w{i % 7}. é", "ab"[i % 2]) for i in range(400)] + [(None, "a"), ("", "b")]
+    texts = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    schema = "shard long, lang string, wide boolean, sequence binary, words array<string>, counts array<long>"
+    with arrow_batches(spark, 10, 1 << 20):
+        shards = texts.mapInArrow(phrases._shards(1 << 20), schema).collect()
+    assert sorted(r.lang for r in shards) == ["a", "b"] and len({r.shard for r in shards}) == 2
+    assert sum(sum(r.counts) for r in shards) == 1200
+    with arrow_batches(spark, 10, 1 << 20):
+        cut = texts.mapInArrow(phrases._shards(600), schema).collect()
+    assert len(cut) > 4 and len({r.shard for r in cut}) == len(cut) and sum(sum(r.counts) for r in cut) == 1200
+
+
+def test_batch_settings_come_back(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    with pytest.raises(ZeroDivisionError), arrow_batches(spark, 10, 1 << 20):
+        assert [spark.conf.get(n) for n in names] == ["10", str(1 << 20)]
+        raise ZeroDivisionError
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def test_phrases_edge_cases(spark):
     assert found_phrases(spark, []) == []
     assert found_phrases(spark, [(1, None, "en"), (2, "", None), (3, " \n.,", "en"), (None, "one", None)]) == []
