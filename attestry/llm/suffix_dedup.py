@@ -12,6 +12,8 @@ from attestry.llm.common import bitmap_holds, bitmap_of, hash_pair, map_text, mi
 
 #: Positions of one text that are worked on at a time; a longer text is cut into such pieces.
 PIECE = 1 << 19
+#: Bytes of shorter pieces that are laid end to end and worked on at once.
+GROUP = 1 << 17
 #: Low bits of a rank that give way to its place in the piece.
 PLACE = np.uint64((1 << 20) - 1)
 #: Neighbouring positions that are ranked together.
@@ -46,23 +48,58 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+class Pieces:
+    """Pieces of texts laid end to end: their bytes, where each begins and ends, its text's class, and its place in the text."""
+
+    def __init__(self, parts: list[tuple[int, int, int, np.ndarray]]):
+        self.c0, self.c1, self.begin = (np.array([p[k] for p in parts], np.int64) for k in range(3))
+        self.data = np.concatenate([p[3] for p in parts]) if len(parts) > 1 else parts[0][3]
+        self.offsets = np.concatenate([[0], np.cumsum([len(p[3]) for p in parts])])
+
+    def in_text(self, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Places in their texts of places in these bytes."""
+        return at + (self.begin - self.offsets[:-1])[own]
+
+    def places(self, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return place(self.c0[own], self.c1[own], self.in_text(at, own))
+
+
 def runs_of(data: np.ndarray, size: int, short: int):
-    """Cut the positions of a text into runs that share the place of their least rank of ``short`` bytes within ``size`` bytes.
+    """:func:`runs_in` for one text, piece by piece: (piece offset, ranks, anchors, their places, first positions, ends)."""
+    for begin in range(0, len(data) - size + 1, PIECE):
+        yield begin, *runs_in(Pieces([(0, 0, begin, data[begin : begin + PIECE + size - 1])]), size, short)[:-1]
+
 
-    Yields (piece offset, ranks, anchors, their places, first positions, ends). The
-    anchor and its distance depend on the ``size`` bytes alone, so equal strings
-    have equal anchors at equal distances, and two equal strings of one text are
-    in different runs.
+def runs_in(pieces: Pieces, size: int, short: int):
+    """Cut the positions of pieces into runs that share the place of their least rank of ``short`` bytes within ``size`` bytes.
+
+    Returns (ranks, anchors, their places, first positions, ends, number of the piece).
+    Only strings that end within their piece count. The anchor and its distance depend
+    on the ``size`` bytes alone, so equal strings have equal anchors at equal distances,
+    and two equal strings of one text are in different runs.
     """
-    span = size - short + 1
-    for begin in range(0, len(data) - size + 1, PIECE):
-        part = data[begin : begin + PIECE + size - 1]
-        ranks = Ranks(part)
-        names = ranks.every(short)
-        least = _sliding_min((names & ~PLACE) | np.arange(len(names), dtype=np.uint64), span)
-        first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        spots = (least[first] & PLACE).astype(np.int64)
-        yield begin, ranks, names[spots], spots, first, np.append(first[1:], len(least))
+    ranks = Ranks(pieces.data)
+    names = ranks.every(short)
+    least = _sliding_min((names & ~PLACE) | np.arange(len(names), dtype=np.uint64), size - short + 1)
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    new[pieces.offsets[:-1]] = True
+    first = np.flatnonzero(new)
+    own = np.searchsorted(pieces.offsets, first, side="right") - 1
+    # a string that would reach into the next piece is none
+    whole = pieces.offsets[1:][own] - size + 1
+    ends = np.minimum(np.append(first[1:], len(least)), whole)
+    some = ends > first
+    first, ends, own = first[some], ends[some], own[some]
+    spots = (least[first] & PLACE).astype(np.int64)
+    return ranks, names[spots], spots, first, ends, own
+
+
+def _alike(values: np.ndarray, own: np.ndarray):
+    """Groups of equal values of one piece: (order that brings them together, keeping their order, first of each group, sizes)."""
+    order = np.lexsort((values, own))
+    v, o = values[order], own[order]
+    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (o[1:] != o[:-1])]))
+    return order, first, np.diff(np.append(first, len(order)))
 
 
 def cells_of(spots: np.ndarray, first: np.ndarray, ends: np.ndarray, cell: int):
@@ -75,19 +112,29 @@ def cells_of(spots: np.ndarray, first: np.ndarray, ends: np.ndarray, cell: int):
     return run, number, lo, np.minimum(ends[run] - 1, spots[run] - cell * number)
 
 
-def _texts(batches, size: int):
-    """(class hashes, bytes) of every text that is long enough."""
+def _pieces(batches, size: int):
+    """Every text that is long enough, in pieces: long ones alone, others by the group."""
+    parts, held = [], 0
     for batch in batches:
         c0, c1 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
         for first, offsets, data in text_slices(batch.column(0)):
             for i in np.flatnonzero(np.diff(offsets) >= size):
-                yield c0[first + i], c1[first + i], data[offsets[i] : offsets[i + 1]]
+                text = data[offsets[i] : offsets[i + 1]]
+                for begin in range(0, len(text) - size + 1, PIECE):
+                    part = text[begin : begin + PIECE + size - 1]
+                    if held and held + len(part) > GROUP:
+                        yield Pieces(parts)
+                        parts, held = [], 0
+                    parts.append((c0[first + i], c1[first + i], begin, part))
+                    held += len(part)
+    if parts:
+        yield Pieces(parts)
 
 
 def place(c0, c1, at):
     """A 64-bit name for a position of a text."""
-    c = np.array([c0, c1], np.int64).view(np.uint64)
-    return mix(mix(c[:1] ^ mix(np.asarray(at).astype(np.uint64))) + c[1:])
+    c0, c1, at = (np.asarray(x, np.int64).view(np.uint64) for x in (c0, c1, at))
+    return mix(mix(c0 ^ mix(at)) + c1)
 
 
 def _flush(parts: list[list[np.ndarray]], names: list[str], least: int = 0):
@@ -103,11 +150,12 @@ def _anchors(size: int, short: int):
 
     def run(batches):
         parts: list[list[np.ndarray]] = []
-        for c0, c1, data in _texts(batches, size):
-            for begin, _, anchors, _, first, _ in runs_of(data, size, short):
-                kinds, at, times = np.unique(anchors, return_index=True, return_counts=True)
-                last = len(anchors) - 1 - np.unique(anchors[::-1], return_index=True)[1][times > 1]
-                parts.append([np.concatenate([kinds, kinds[times > 1]]), place(c0, c1, begin + first[np.concatenate([at, last])])])
+        for pieces in _pieces(batches, size):
+            _, anchors, _, first, _, own = runs_in(pieces, size, short)
+            order, group, times = _alike(anchors, own)
+            some = times > 1
+            at = np.concatenate([order[group], order[(group + times - 1)[some]]])
+            parts.append([anchors[at], pieces.places(first[at], own[at])])
             yield from _flush(parts, names, 1 << 16)
         yield from _flush(parts, names)
 
@@ -115,20 +163,19 @@ def _anchors(size: int, short: int):
 
 
 def _open_cells(batches, size: int, short: int, cell: int, repeated, outer):
-    """Cells of every text's runs that the bitmaps let through: repeated anchors, and open runs where that is known.
+    """Cells of all runs that the bitmaps let through: repeated anchors, and open runs where that is known.
 
-    Yields (c0, c1, piece offset, ranks, anchor, anchor's place, cell number, first and last position).
+    Yields (pieces, ranks, anchor, anchor's place, cell number, first and last position, number of the piece).
     """
     bits, open_runs = repeated.value, outer and outer.value
-    for c0, c1, data in _texts(batches, size):
-        for begin, ranks, anchors, spots, first, ends in runs_of(data, size, short):
-            use = bitmap_holds(bits, anchors)
-            if open_runs is not None:
-                use &= bitmap_holds(open_runs, place(c0, c1, begin + first))
-            use = np.flatnonzero(use)
-            if len(use):
-                own, number, lo, hi = cells_of(spots[use], first[use], ends[use], cell)
-                yield c0, c1, begin, ranks, anchors[use][own], spots[use][own], number, lo, hi
+    for pieces in _pieces(batches, size):
+        ranks, anchors, spots, first, ends, own = runs_in(pieces, size, short)
+        use = np.flatnonzero(bitmap_holds(bits, anchors))
+        if open_runs is not None:
+            use = use[bitmap_holds(open_runs, pieces.places(first[use], own[use]))]
+        if len(use):
+            run, number, lo, hi = cells_of(spots[use], first[use], ends[use], cell)
+            yield pieces, ranks, anchors[use][run], spots[use][run], number, lo, hi, own[use][run]
 
 
 def _cells(size: int, short: int, cell: int, repeated, outer=None):
@@ -142,18 +189,21 @@ def _cells(size: int, short: int, cell: int, repeated, outer=None):
 
     def run(batches):
         parts: list[list[np.ndarray]] = []
-        for c0, c1, begin, ranks, anchors, spots, number, lo, hi in _open_cells(batches, size, short, cell, repeated, outer):
+        for pieces, ranks, anchors, spots, number, lo, hi, own in _open_cells(batches, size, short, cell, repeated, outer):
             core = mix(mix(anchors ^ number.astype(np.uint64)) + ranks.of(spots - cell * number, size - cell + 1))
             hi = hi + size
             whole = ranks.of(lo, hi - lo)
-            _, at, back, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-            again = times[back] > 1
-            sure = merge(lo[again], hi[again]) if again.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            lo, hi = np.concatenate([lo[at], sure[0]]), np.concatenate([hi[at], sure[1]])
-            none = np.zeros(len(sure[0]), np.uint64)
+            order, group, times = _alike(whole, own)
+            at, again = order[group], order[np.repeat(times > 1, times)]
+            # a gap between pieces keeps their runs apart
+            sure = merge(lo[again] + own[again], hi[again] + own[again]) if len(again) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            sure_own = np.searchsorted(pieces.offsets[:-1] + np.arange(len(pieces.begin)), sure[0], side="right") - 1
+            lo, hi = np.concatenate([lo[at], sure[0] - sure_own]), np.concatenate([hi[at], sure[1] - sure_own])
+            own = np.concatenate([own[at], sure_own])
+            none = np.zeros(len(sure_own), np.uint64)
             parts.append([
-                np.concatenate([core[at], none]), np.concatenate([whole[at], none]), place(c0, c1, begin + lo),
-                np.full(len(lo), c0), np.full(len(lo), c1), begin + lo, begin + hi, np.arange(len(lo)) >= len(at)])
+                np.concatenate([core[at], none]), np.concatenate([whole[at], none]), pieces.places(lo, own),
+                pieces.c0[own], pieces.c1[own], pieces.in_text(lo, own), pieces.in_text(hi, own), np.arange(len(lo)) >= len(at)])
             yield from _flush(parts, names, 1 << 16)
         yield from _flush(parts, names)
 
@@ -172,12 +222,13 @@ def _positions(size: int, short: int, cell: int, repeated, outer, opened):
     def run(batches):
         bits = opened.value
         parts: list[list[np.ndarray]] = []
-        for c0, c1, begin, ranks, _, _, _, lo, hi in _open_cells(batches, size, short, cell, repeated, outer):
-            pick = bitmap_holds(bits, place(c0, c1, begin + lo))
+        for pieces, ranks, _, _, _, lo, hi, own in _open_cells(batches, size, short, cell, repeated, outer):
+            pick = bitmap_holds(bits, pieces.places(lo, own))
             lo, lengths = lo[pick], (hi - lo + 1)[pick]
             if len(lo):
+                own = np.repeat(own[pick], lengths)
                 at = np.repeat(lo - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                parts.append([ranks.of(at, half), ranks.of(at + size - half, half), np.full(len(at), c0), np.full(len(at), c1), begin + at])
+                parts.append([ranks.of(at, half), ranks.of(at + size - half, half), pieces.c0[own], pieces.c1[own], pieces.in_text(at, own)])
             yield from _flush(parts, names, 1 << 17)
         yield from _flush(parts, names)
 
@@ -229,7 +280,8 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", size: int = 400) -> Da
 
     Scale: equal texts are one class; what is shuffled are some rows per ``size``
     bytes, then the runs of repeated anchors, then the open cells and positions. All
-    counting is by partial aggregates of a smallest and a largest place. Three bitmaps
+    counting is by partial aggregates of a smallest and a largest place. A task works
+    on GROUP bytes of texts at once, or on one piece of a longer text. Three bitmaps
     of 16 MB are broadcast; they only keep rows that cannot matter from being written.
     """
     spark = docs.sparkSession

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attestry.llm import suffix_dedup as module
@@ -65,3 +66,28 @@ def test_edges(spark):
     assert out.columns == ["doc_id", "text", "kept", "n_bytes", "n_removed", "spans"]
     got = sorted((r.doc_id or -1, r.n_removed, r.n_bytes) for r in out.collect())
     assert got == [(-1, len(text) - 1, len(text) - 1), (1, len(text), len(text)), (1, len(text), len(text)), (3, 0, 5)]
+
+
+def test_texts_laid_end_to_end_keep_their_runs(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, n, 10**6)).encode() for n in (90, 60, 300, 75)] + [b"x" * 400, b"x" * 401, b"ab" * 500]
+    texts += [texts[2]]
+    monkeypatch.setattr(module, "GROUP", 5000)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(range(len(texts))), pa.array(range(len(texts)))], names=["text", "c0", "c1"])
+    groups = list(module._pieces([batch], 400))
+    assert 1 < len(groups) < len(texts) and sum(len(g.data) for g in groups) == sum(len(t) for t in texts if len(t) >= 400)
+    got = []
+    for group in groups:
+        _, anchors, spots, first, ends, own = module.runs_in(group, 400, 133)
+        got += zip(group.c0[own], anchors, group.in_text(spots, own), group.in_text(first, own), group.in_text(ends, own))
+    alone = []
+    for i, text in enumerate(texts):
+        for begin, _, anchors, spots, first, ends in module.runs_of(np.frombuffer(text, np.uint8), 400, 133):
+            alone += zip([i] * len(anchors), anchors, begin + spots, begin + first, begin + ends)
+    assert sorted(got) == sorted(alone)
+
+
+def test_covered_texts_beside_each_other(spark):
+    # runs that end and begin where two texts meet in a group stay apart
+    rows = [(i, c * (401 + i)) for i, c in enumerate("abcdefg")] + [(9, " ".join(words(random.Random(3), 200, 10**6)))]
+    assert [r[2] for r in compare(spark, rows)] == [401 + i for i in range(7)] + [0]
