@@ -66,13 +66,16 @@ class Vocabulary:
                 weights[i] = -np.log(2.0 + (rank if rank < self.size else 0))
                 self.bytes[i] = piece.replace("▁", " ").encode()
                 self.longest = max(self.longest, len(piece))
-        self.letters = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.letter_count = np.array([len(b) for b in self.bytes])
-        self.letter_at = np.cumsum(self.letter_count) - self.letter_count
+        self.spellings = pa.array(self.bytes, pa.large_binary())
         self.weights, self.byte_weight = weights, -np.log(self.size + 2.0)
         self._place_edges(np.array([n << 21 | c for n, c in edges], np.int64), np.array(list(edges.values()), np.int64))
         self.piece = np.full(len(edges) + 1, -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
+        # the nodes of first characters are looked up by character
+        self.root = np.full(OTHER_SPACE + 1, -1, np.int32)
+        for (node, c), to in edges.items():
+            if not node:
+                self.root[c] = to
 
     def _place_edges(self, keys: np.ndarray, child: np.ndarray) -> None:
         """Put the edges of the trie into a hash table at most a quarter full."""
@@ -88,14 +91,17 @@ class Vocabulary:
             slot[todo] = (slot[todo] + 1) & (len(self.edge) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+        slot = keys.view(np.uint64) * _SPREAD
+        slot >>= self.shift
+        return slot.view(np.int64)
 
     def follow(self, keys: np.ndarray) -> np.ndarray:
         """The node that each edge (node << 21 | character) leads to, -1 where there is none."""
         slot = self._slot(keys)
-        there = self.edge[slot]
-        out = np.where(there == keys, self.child[slot], -1)
-        other = np.flatnonzero((there != keys) & (there >= 0))
+        there, out = self.edge.take(slot), self.child.take(slot)
+        other = np.flatnonzero(there != keys)
+        out[other] = -1
+        other = other[there.take(other) >= 0]
         while len(other):
             slot[other] = (slot[other] + 1) & (len(self.edge) - 1)
             there = self.edge[slot[other]]
@@ -104,9 +110,10 @@ class Vocabulary:
             other = other[~hit & (there >= 0)]
         return out
 
-    def spell(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of an array of valid ids, the space in front included."""
-        return self.letters[_spread(self.letter_at[ids], self.letter_count[ids])]
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of an array of valid ids, the space in front included, and where each id's bytes begin."""
+        _, offsets, letters = self.spellings.take(pa.array(ids)).buffers()
+        return np.frombuffer(letters, np.uint8) if letters is not None and letters.size else np.zeros(0, np.uint8), np.frombuffer(offsets, np.int64)[: len(ids) + 1]
 
     def spells(self, rows: list[np.ndarray], texts: list[np.ndarray]) -> list[bool]:
         """Whether each row of valid ids, the space in front left out, gives the bytes of its text."""
@@ -117,9 +124,8 @@ class Vocabulary:
             while last < len(rows) and size + len(rows[last]) <= SPELL_IDS:
                 size += len(rows[last])
                 last += 1
-            ids = np.concatenate(rows[first:last])
-            bounds = np.concatenate([[0], np.cumsum(self.letter_count[ids])])[np.concatenate([[0], np.cumsum([len(r) for r in rows[first:last]])])]
-            letters = self.spell(ids)
+            letters, at = self.spell(np.concatenate(rows[first:last]))
+            bounds = at[np.concatenate([[0], np.cumsum([len(r) for r in rows[first:last]])])].tolist()
             out += [np.array_equal(letters[a + 1 : b], text) for a, b, text in zip(bounds[:-1], bounds[1:], texts[first:last], strict=True)]
             first = last
         return out
@@ -154,87 +160,92 @@ class Lattice:
         codes = chars[_spread(starts, sizes)].astype(np.int64)
         n = len(codes)
         left = np.repeat(self.first[1:], sizes) - np.arange(n)
-        at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
+        at, node, depth = np.arange(n), vocabulary.root.take(codes).astype(np.int64), 0
         found, choices = [], np.zeros(n, np.int64)
         while len(at):
-            node = vocabulary.follow(node << 21 | codes[at + depth])
             hit = np.flatnonzero(node >= 0)
-            at, node = at[hit], node[hit]
+            at, node = at.take(hit), node.take(hit)
             depth += 1
-            piece = vocabulary.piece[node]
+            piece = vocabulary.piece.take(node)
             is_piece = np.flatnonzero(piece >= 0)
-            ends_here = at[is_piece]
+            ends_here = at.take(is_piece)
             # which arc of its place each one is
-            found.append((ends_here, piece[is_piece], depth, choices[ends_here]))
-            choices[ends_here] += 1
-            more = left[at] > depth
-            at, node = at[more], node[more]
+            nth = choices.take(ends_here)
+            found.append((ends_here, piece.take(is_piece) << 32 | depth, nth))
+            choices[ends_here] = nth + 1
+            more = np.flatnonzero(left.take(at) > depth)
+            at, node = at.take(more), node.take(more)
+            if len(at):
+                node = vocabulary.follow(node << 21 | codes.take(at + depth))
+        # a character that is no piece by itself has an arc for its bytes, after the others of its place
         lone = np.ones(n, bool)
         lone[found[0][0]] = False
         lone = np.flatnonzero(lone)
-        width = np.select([codes[lone] < 0x80, codes[lone] < 0x800, codes[lone] < 0x10000], [1, 2, 3], 4)
-        width[codes[lone] == OTHER_SPACE] = 3
-        nth = np.concatenate([*(f[3] for f in found), choices[lone]])
-        choices[lone] += 1
+        letter = codes.take(lone)
+        width = np.select([letter < 0x80, letter < 0x800, letter < 0x10000], [1, 2, 3], 4)
+        width[letter == OTHER_SPACE] = 3
+        nth = choices.take(lone)
+        choices[lone] = nth + 1
         self.choices = choices
         self.arc = np.concatenate([[0], np.cumsum(choices)])
-        places = np.concatenate([*(f[0] for f in found), lone])
-        pieces = np.concatenate([f[1] for f in found])
-        order = self.arc[places] + nth
-
-        def placed(values: np.ndarray, kind) -> np.ndarray:
-            out = np.empty(len(order), kind)
-            out[order] = values
-            return out
-
-        nth = placed(nth, np.int64)
+        single = self.arc.take(lone) + nth
+        # pieces and their lengths, place by place
+        both = np.empty(self.arc[-1], np.int64)
+        for places, made, nth in found:
+            both[self.arc.take(places) + nth] = made
+        both[single] = -1 << 32 | 1
         self.at = np.repeat(np.arange(n), choices)
-        self.piece = placed(np.concatenate([pieces, np.full(len(lone), -1, np.int64)]), np.int32)
-        self.span = placed(np.concatenate([*(np.full(len(f[0]), f[2]) for f in found), np.ones(len(lone), np.int64)]), np.int64)
-        self.ids = placed(np.concatenate([np.ones(len(pieces), np.int8), width.astype(np.int8)]), np.int8)
-        weight = placed(np.concatenate([vocabulary.weights[pieces], width * vocabulary.byte_weight]), np.float64)
+        self.piece, self.span = (both >> 32).astype(np.int32), both & 0xFFFFFFFF
+        self.ids = np.ones(len(both), np.int8)
+        self.ids[single] = width
+        weight = vocabulary.weights.take(np.maximum(self.piece, 0))
+        weight[single] = width * vocabulary.byte_weight
         self.codes = codes
         # backwards over the places, all words at once: arcs by the length left, those that end their word at a place of weight 0
-        target = np.where(left[self.at] > self.span, self.at + self.span, n)
+        target = np.where(left.take(self.at) > self.span, self.at + self.span, n)
         beta = np.zeros(n + 1)
         # numpy counts numbers of 16 bits instead of comparing them
         by_left = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
-        count = choices[by_left]
-        arcs = _spread(self.arc[:-1][by_left], count)
-        sorted_weight, sorted_target = weight[arcs], target[arcs]
+        count = choices.take(by_left)
+        arcs = _spread(self.arc.take(by_left), count)
+        sorted_weight, sorted_target = weight.take(arcs), target.take(arcs)
         begin = np.concatenate([[0], np.cumsum(count)])
-        levels = np.searchsorted(left[by_left], np.arange(1, (left.max() if n else 0) + 2))
+        levels = np.searchsorted(left.take(by_left), np.arange(1, (left.max() if n else 0) + 2))
         for lo, hi in zip(levels[:-1], levels[1:]):
-            value = sorted_weight[begin[lo] : begin[hi]] + beta[sorted_target[begin[lo] : begin[hi]]]
+            value = sorted_weight[begin[lo] : begin[hi]] + beta.take(sorted_target[begin[lo] : begin[hi]])
             groups = begin[lo:hi] - begin[lo]
             top = np.maximum.reduceat(value, groups)
             beta[by_left[lo:hi]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count[lo:hi])), groups))
-        self.log_p = np.minimum(weight + beta[target] - beta[self.at], 0.0)
+        self.log_p = np.minimum(weight + beta.take(target) - beta.take(self.at), 0.0)
         self.chance = np.exp(self.log_p)
-        # cumulated place by place, so that a draw depends on nothing but the place
-        within = self.chance.copy()
-        later, back = np.flatnonzero(nth >= 1), 1
-        while len(later):
-            ranks = nth[later]
-            turn = later[ranks == back]
-            within[turn] += within[turn - 1]
-            later, back = later[ranks > back], back + 1
+        # cumulated place by place, so that a draw depends on nothing but the place;
+        # the arc of the highest chance from each place, and the draws it takes
+        within, self.likely = self.chance.copy(), self.arc[:-1].copy()
+        several, back = np.flatnonzero(choices > 1), 1
+        start, count = self.arc.take(several), choices.take(several)
+        whole = top = self.chance.take(start)
+        best = start
+        while len(several):
+            turn = start + back
+            value = self.chance.take(turn)
+            whole = value + whole
+            within[turn] = whole
+            best, top, back = np.where(value > top, turn, best), np.maximum(value, top), back + 1
+            over = count > back
+            gone, more = np.flatnonzero(~over), np.flatnonzero(over)
+            self.likely[several.take(gone)] = best.take(gone)
+            several, start, count, whole, top, best = (x.take(more) for x in (several, start, count, whole, top, best))
         within[self.arc[1:] - 1] = 1.0
         self.key = self.at + np.minimum(within, 1.0)
-        # the arc of the highest chance from each place, and the draws it takes
-        top = np.maximum.reduceat(self.chance, self.arc[:-1]) if n else self.chance
-        likely = np.flatnonzero(self.chance == np.repeat(top, self.choices))[::-1]
-        self.likely = np.zeros(n, np.int64)
-        self.likely[self.at[likely]] = likely
-        self.upto = self.key[self.likely]
-        self.since = np.where(self.likely > self.arc[:-1], self.key[self.likely - 1], -1.0)
+        self.upto = self.key.take(self.likely)
+        self.since = np.where(self.likely > self.arc[:-1], self.key.take(self.likely - 1, mode="wrap"), -1.0)
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The arc from each place that a number in [0, 1) falls to."""
         key = place + u
-        arc = self.likely[place]
-        other = np.flatnonzero((key >= self.upto[place]) | (key < self.since[place]))
-        arc[other] = np.searchsorted(self.key, key[other], side="right")
+        arc = self.likely.take(place)
+        other = np.flatnonzero((key >= self.upto.take(place)) | (key < self.since.take(place)))
+        arc[other] = np.searchsorted(self.key, key.take(other), side="right")
         return arc
 
 
@@ -275,25 +286,26 @@ class _Walk:
         lattice, active = search.lattice, np.flatnonzero(start < end)
         # word by word instead of in text order, so that neighbours look at the same pieces
         blocks = start[active] >> max(int(lattice.first[-1]).bit_length() - 16, 0)
-        active = active[np.argsort(blocks.astype(np.uint16), kind="stable")]
-        shift, seen = chars - start, []
-        place, last, moved, seeds = start[active], end[active], shift[active], search.seeds[rows[active]]
+        active = active.take(np.argsort(blocks.astype(np.uint16), kind="stable"))
+        seen, counts = [], np.zeros(len(start), np.int64)
+        place, last, char, seeds = start.take(active), end.take(active), chars.take(active), search.seeds.take(rows.take(active))
         while len(active):
-            u = (_random(seeds, moved + place, stream) >> np.uint64(32)).astype(np.float64) * 2.0**-32
+            u = (_random(seeds, char, stream) >> np.uint64(32)).astype(np.float64) * 2.0**-32
             arc = lattice.draw(place, u)
-            seen.append((active, arc))
-            place = place + lattice.span[arc]
-            more = np.flatnonzero(place < last)
-            active, place, last, moved, seeds = active[more], place[more], last[more], moved[more], seeds[more]
-        counts = np.zeros(len(start), np.int64)
-        for who, _ in seen:
-            counts[who] += 1
+            seen.append((active, arc, char))
+            span = lattice.span.take(arc)
+            place = place + span
+            going = place < last
+            done, more = np.flatnonzero(~going), np.flatnonzero(going)
+            counts[active.take(done)] = len(seen)
+            char = char + span
+            active, place, last, char, seeds = (x.take(more) for x in (active, place, last, char, seeds))
         offset = np.cumsum(counts) - counts
-        self.arcs = np.zeros(counts.sum(), np.int64)
-        for k, (who, arc) in enumerate(seen):
-            self.arcs[offset[who] + k] = arc
+        self.arcs, self.at = np.zeros((2, counts.sum()), np.int64)
+        for k, (who, arc, char) in enumerate(seen):
+            spot = offset.take(who) + k
+            self.arcs[spot], self.at[spot] = arc, char
         self.bounds = np.append(offset, len(self.arcs))
-        self.at = np.repeat(shift, counts) + lattice.at[self.arcs]
         self.ids, self.id_bounds = search.ids_of(self.arcs)
 
 
@@ -318,20 +330,23 @@ class _Search:
     def ids_of(self, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of arcs, characters without a piece as bytes, and where each arc's ids begin."""
         lattice = self.lattice
-        ids = lattice.piece[arcs]
+        ids = lattice.piece.take(arcs)
         spelled = np.flatnonzero(ids < 0)
-        if not len(spelled):
-            return ids, np.arange(len(arcs) + 1)
-        sizes = lattice.ids[arcs].astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        out = np.repeat(ids, sizes)
-        single = spelled[sizes[spelled] == 1]
-        out[bounds[single]] = self.vocabulary.byte_ids[lattice.codes[lattice.at[arcs[single]]]]
-        for i in spelled[sizes[spelled] > 1]:
+        sizes = lattice.ids.take(arcs.take(spelled)).astype(np.int64)
+        bounds = np.arange(len(arcs) + 1)
+        wide = np.flatnonzero(sizes > 1)
+        if len(wide):
+            long = np.ones(len(arcs), np.int64)
+            long[spelled] = sizes
+            ids = np.repeat(ids, long)
+            np.cumsum(long, out=bounds[1:])
+        single = spelled[sizes == 1]
+        ids[bounds.take(single)] = self.vocabulary.byte_ids[lattice.codes[lattice.at[arcs[single]]]]
+        for i in spelled[wide].tolist():
             code = int(lattice.codes[lattice.at[arcs[i]]])
             raw = chr(SPACE if code == OTHER_SPACE else code).encode("utf-8")
-            out[bounds[i] : bounds[i + 1]] = self.vocabulary.byte_ids[list(raw)]
-        return out, bounds
+            ids[bounds[i] : bounds[i + 1]] = self.vocabulary.byte_ids[list(raw)]
+        return ids, bounds
 
     def _siblings(self, arcs, at, before: float, top: float, seed, stream: int, wanted: int):
         """The best nodes of siblings along a whole path: [(value, step, log chance before the step)]."""
@@ -360,13 +375,17 @@ class _Search:
         valid = index < hi[:, None]
         index = np.where(valid, index, 0) if len(walk.arcs) else np.zeros_like(index)
         if len(walk.arcs):
-            arcs = walk.arcs[index]
-            log_p = np.where(valid, lattice.log_p[arcs], 0.0)
+            arcs = walk.arcs.take(index)
+            log_p = np.where(valid, lattice.log_p.take(arcs), 0.0)
             total = before[:, None] + np.cumsum(log_p, axis=1)
             prefix = total - log_p
-            usable = valid & (lattice.choices[lattice.at[arcs]] > 1) & (prefix >= NEAR)
-            location = prefix + np.log(np.maximum(-np.expm1(log_p), 1e-300))
-            value = np.where(usable, _below(location, top[:, None], _random(self.seeds[rows][:, None], walk.at[index], stream)), -np.inf)
+            who, step = np.nonzero(valid & (prefix >= NEAR))
+            some = np.flatnonzero(lattice.choices.take(lattice.at.take(arcs[who, step])) > 1)
+            who, step = who.take(some), step.take(some)
+            location = prefix[who, step] + np.log(np.maximum(-np.expm1(log_p[who, step]), 1e-300))
+            # no step is left out that has a value
+            value = np.full((len(paths), max(step.max(initial=0) + 1, min(wanted, width))), -np.inf)
+            value[who, step] = _below(location, top.take(who), _random(self.seeds.take(rows.take(who)), walk.at.take(lo.take(who) + step), stream))
             best = np.argsort(-value, axis=1, kind="stable")[:, :wanted]
             enough = (np.take_along_axis(value, best, 1)[:, -1] >= NEAR + REACH) & (best.shape[1] == wanted) & ((hi - lo <= width) | (total[:, -1] < NEAR))
         whole = before.copy()
@@ -374,7 +393,7 @@ class _Search:
         if len(some):
             # sums over lo[i] to hi[i]; every second one is over what lies between two walks
             edges = np.stack([lo[some], hi[some]], axis=1).ravel()
-            whole[some] += np.add.reduceat(np.append(lattice.log_p[walk.arcs], 0.0), edges)[::2]
+            whole[some] += np.add.reduceat(np.append(lattice.log_p.take(walk.arcs), 0.0), edges)[::2]
         for i, (r, path, start, v) in enumerate(paths):
             head = len(path.head)
             if hi[i] > lo[i]:
@@ -395,7 +414,7 @@ class _Search:
         seeds = self.seeds[[r for r, _ in popped]]
         chars = np.array([char for _, char in steps], np.int64)
         draw, again = _uniform(_random(seeds, chars, 64 + k)), _random(seeds, chars, 128 + k)
-        out = []
+        out, left = [], []
         for i, ((r, (minus, _, path, step, gone, prefix)), (old, char)) in enumerate(zip(popped, steps)):
             place = lattice.at[old]
             rest = [a for a in range(lattice.arc[place], lattice.arc[place + 1]) if a not in gone]
@@ -404,10 +423,14 @@ class _Search:
             pick = min(int(np.searchsorted(whole, draw[i] * whole[-1], side="right")), len(rest) - 1)
             arc = rest[pick]
             if len(rest) > 1:
-                location = prefix + np.log(max(whole[-1] - chance[pick], 1e-300))
-                value = float(_below(location, -minus, again[i : i + 1])[0])
-                heapq.heappush(self.heaps[r], (-value, k << 40, path, step, (*gone, arc), prefix))
+                left.append((i, arc, prefix + np.log(max(whole[-1] - chance[pick], 1e-300))))
             out.append((r, path, step, arc, char, prefix + float(lattice.log_p[arc]), -minus))
+        if left:
+            at = [i for i, _, _ in left]
+            values = _below(np.array([location for _, _, location in left]), np.array([-popped[i][1][0] for i in at]), again[at])
+            for (i, arc, _), value in zip(left, values.tolist()):
+                r, (_, _, path, step, gone, prefix) = popped[i]
+                heapq.heappush(self.heaps[r], (-value, k << 40, path, step, (*gone, arc), prefix))
         return out
 
     def run(self, samples: int):
@@ -438,26 +461,25 @@ class _Search:
                 lead, lead_at = self.found[r][path][0].lead(step)
                 grown.append((r, _Path(np.append(lead, arc), np.append(lead_at, char), walk, bounds[i], bounds[i + 1]), before, value))
             self._open(grown, 192 + k, samples)
-        return [([(self._ids(path), log_p, value) for path, log_p, value in own], -heap[0][0] if heap else -np.inf) for own, heap in zip(self.found, self.heaps)]
+        heads = [path.head for own in self.found for path, _, _ in own]
+        ids, bounds = self.ids_of(np.concatenate([none, *heads]))
+        cut = bounds.take(np.cumsum([0] + [len(head) for head in heads])).tolist()
+        before = iter(zip(cut[:-1], cut[1:]))
+
+        def whole(path: _Path) -> np.ndarray:
+            (a, b), walk = next(before), path.walk
+            tail = walk.ids[walk.id_bounds[path.lo] : walk.id_bounds[path.hi]]
+            return np.concatenate([ids[a:b], tail]) if b > a else tail
 
-    def _ids(self, path: _Path) -> np.ndarray:
-        walk = path.walk
-        tail = walk.ids[walk.id_bounds[path.lo] : walk.id_bounds[path.hi]]
-        return np.concatenate([self.ids_of(path.head)[0], tail]) if len(path.head) else tail
+        return [([(whole(path), log_p, value) for path, log_p, value in own], -heap[0][0] if heap else -np.inf) for own, heap in zip(self.found, self.heaps)]
 
 
 def _words(texts: list[str]):
     """Characters of all texts with a space in front, and their words: (chars, starts, ends, row of each word, place in its text)."""
-    parts = []
-    for text in texts:
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        own = np.empty(len(codes) + 1 if len(codes) else 0, np.int64)
-        if len(codes):
-            own[0] = SPACE
-            own[1:] = np.where(codes == 0x20, SPACE, np.where(codes == SPACE, OTHER_SPACE, codes))
-        parts.append(own)
-    sizes = np.array([len(p) for p in parts])
-    chars = np.concatenate(parts)
+    chars = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le"), np.uint32).astype(np.int64)
+    space, other = np.flatnonzero(chars == 0x20), np.flatnonzero(chars == SPACE)
+    chars[space], chars[other] = SPACE, OTHER_SPACE
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts])
     row_start = np.cumsum(sizes) - sizes
     begin = np.zeros(len(chars), bool)
     space, line = chars == SPACE, chars == NEWLINE

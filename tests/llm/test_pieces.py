@@ -146,3 +146,36 @@ def test_spelling_tells_wrong_ids(vocabulary, monkeypatch):
         assert vocabulary.spells(ids, raw) == [True] * 3
         assert vocabulary.spells([ids[0][:-1], ids[1], ids[0]], raw) == [False, True, False]
     assert vocabulary.spells([], []) == []
+
+
+def test_values_are_drawn_for_likely_steps_alone(vocabulary, monkeypatch):
+    """Steps past a prefix of chance NEAR get no value, so a long text costs what its first words do."""
+    drawn, below = [], pieces._below
+    monkeypatch.setattr(pieces, "_below", lambda location, top, bits: drawn.append(np.size(location)) or below(location, top, bits))
+    rows, seeds = 20, mix(np.arange(20).astype(np.uint64))
+    found = pieces.segment(vocabulary, ["the cat sat on the mat " * 100] * rows, seeds, 3)
+    assert all(len({ids.tobytes() for ids, *_ in own}) == 3 for own, _ in found)
+    assert sum(drawn) < rows * 3 * pieces.STEPS / 2
+
+
+def test_spelling_tells_places(vocabulary):
+    ids = pieces.segment(vocabulary, ["some words 漢 é"], mix(np.arange(1).astype(np.uint64)), 1)[0][0][0][0]
+    letters, at = vocabulary.spell(ids)
+    assert [letters[a:b].tobytes() for a, b in zip(at[:-1], at[1:])] == [vocabulary.bytes[i] for i in ids]
+    assert vocabulary.spell(ids[:0])[1].tolist() == [0]
+
+
+def test_character_that_is_no_piece_by_itself(vocabulary):
+    """Where longer pieces begin with it, its bytes are one more way."""
+    import copy
+
+    node = int(vocabulary.follow(np.array([ord("t")], np.int64))[0])
+    less = copy.copy(vocabulary)
+    less.piece = vocabulary.piece.copy()
+    less.piece[node] = -1
+    found = pieces.segment(less, ["a\nthe"], mix(np.arange(1).astype(np.uint64)), 1000)
+    ways = [tuple(ids.tolist()) for ids, *_ in found[0][0]]
+    assert len(set(ways)) == len(ways) and found[0][1] == -np.inf
+    assert all(less.decode(ids) == "a\nthe" for ids in ways)
+    assert any(less.byte_ids[ord("t")] in ids for ids in ways) and any(less.byte_ids[ord("t")] not in ids for ids in ways)
+    assert math.isclose(sum(math.exp(log_p) for _, log_p, _ in found[0][0]), 1.0, rel_tol=1e-9)
