@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from attestry.llm import suffix_dedup as module
+from attestry.llm.queries import op10_suffix_dedup
 from attestry.llm.suffix_dedup import suffix_dedup
 from tests.llm import brute
 from tests.llm.test_text_operators import TEXT, words
@@ -91,3 +92,21 @@ def test_covered_texts_beside_each_other(spark):
     # runs that end and begin where two texts meet in a group stay apart
     rows = [(i, c * (401 + i)) for i, c in enumerate("abcdefg")] + [(9, " ".join(words(random.Random(3), 200, 10**6)))]
     assert [r[2] for r in compare(spark, rows)] == [401 + i for i in range(7)] + [0]
+
+
+def test_planted_passages_are_told_by_their_bytes(spark, tmp_path):
+    """Passages of over 50 words in two documents each: those of 400 bytes or more are removed, shorter ones and other documents stay."""
+    rng = random.Random(17)
+    rows, planted = [], {}
+    for group in range(40):
+        passage = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(rng.randrange(51, 90)))
+        for side in "ab":
+            planted[len(rows)] = len(passage)
+            rows.append((len(rows), f"{' '.join(words(rng, 60, 10**6))} {side}<{passage}>{side} {' '.join(words(rng, 60, 10**6))}"))
+    rows += [(i, " ".join(words(rng, 160, 10**6))) for i in range(len(rows), len(rows) + 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    # the brackets around a passage are repeated with it
+    assert {i for i, r in got.items() if r.repeated} == {i for i, size in planted.items() if size + 2 >= 400}
+    assert all(r.n_removed == planted[i] + 2 and r.n_spans == 1 for i, r in got.items() if r.repeated)
+    assert 0 < sum(r.repeated for r in got.values()) < len(planted)
