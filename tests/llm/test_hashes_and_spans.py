@@ -1,10 +1,13 @@
 """Words and texts whose bytes follow a pattern, and texts with very many matches."""
 
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from attestry.llm import ngram_join as join_module
 from attestry.llm import pieces, pii
 from attestry.llm.common import NOT_BLANK, word_hashes
 from attestry.llm.ngram_join import ngram_join
@@ -26,6 +29,22 @@ def test_patterned_words_have_hashes_of_their_own():
     assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words))
 
 
+def test_sets_of_a_batch_in_bounded_memory(monkeypatch):
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 5003}" for j in range(450)) for i in range(1000)] + [None, "", "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    found = [(int(i), s) for ids, sets in join_module._sets([batch], 5) for i, s in zip(ids, sets)]
+    tracemalloc.start()
+    for _ in join_module._sets([batch], 5):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    monkeypatch.setattr(join_module, "TEXT_BYTES", 1 << 30)
+    whole = [(int(i), s) for ids, sets in join_module._sets([batch], 5) for i, s in zip(ids, sets)]
+    assert [i for i, _ in found] == list(range(len(texts))) == [i for i, _ in whole]
+    assert all(np.array_equal(a, b) for (_, a), (_, b) in zip(found, whole))
+
+
 def test_word_hashes_of_many_rows():
     rows = ["", "Ab c", " ", "ab", "c AB  ", "", "x"]
     data = "".join(rows).encode()
